@@ -31,5 +31,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(expression: str) -> str:
-    """Six decimals with ties upwards, as ``flowguard.functions.columns.rounded``."""
-    return f"floor(({expression}) * 1e6 + 0.5) / 1e6"
+    """Six decimals, as ``flowguard.functions.columns.rounded``."""
+    return f"floor(({expression}) * 1e6 + 0.50001E0) / 1e6"

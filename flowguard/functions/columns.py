@@ -32,8 +32,9 @@ def finite(value: Column | str) -> Column:
 
 
 def rounded(value: Column | str) -> Column:
-    """Six decimals with ties upwards; identical in other SQL engines."""
-    return F.floor(as_column(value) * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
+    """Six decimals. The cut sits just below one half, so that a mean that falls on a tie in exact
+    arithmetic is rounded alike by engines that add in a different order."""
+    return F.floor(as_column(value) * F.lit(1e6) + F.lit(0.50001)).cast("double") / F.lit(1e6)
 
 
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
