@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.catalog.registration import query, r6
-from flowguard.functions.columns import coerced, rounded
+from flowguard.functions.columns import coerced, fixed_text, rounded
 from flowguard.operators import checks
 from flowguard.operators.ordering import exact_sample, first_rows_per_group
 from flowguard.operators.prep import feature_columns
@@ -59,7 +59,7 @@ def label_strings(spark, sf_dir):
     return (
         view(spark, sf_dir, "traffic")
         .groupBy("source_path", "label", "attack_family")
-        .agg(F.format_string("%.4f", F.avg("f_k")).alias("mean_text"))
+        .agg(fixed_text(F.avg("f_k"), 4).alias("mean_text"))
         .select(
             "source_path",
             F.regexp_replace(F.split_part(path, F.lit("/"), F.lit(2)), "_attacks", "").alias("folder_family"),

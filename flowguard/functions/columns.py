@@ -66,3 +66,8 @@ def bin_index(value: Column, edges: Sequence[float]) -> Column:
     for step in above:
         index = index + step
     return F.when((value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1]))), index)
+
+
+def fixed_text(value: Column | str, digits: int) -> Column:
+    """Fixed-point text whose ties go to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(as_column(value), digits))

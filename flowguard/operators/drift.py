@@ -108,7 +108,7 @@ def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
 def kolmogorov_smirnov(
     reference: DataFrame, current: DataFrame, features: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """(feature_id, n_ref, n_cur, ks_statistic) over the non-null values of each side.
+    """(feature_id, n_ref, n_cur, ks_statistic, ks_pvalue) over the non-null values of each side.
 
     Values are counted per (feature, value), then walked in value buckets; a bucket only reports its
     totals and the extremes of its local difference, which the offsets of earlier buckets shift.
@@ -137,11 +137,16 @@ def kolmogorov_smirnov(
     offsets = bucket_offsets(buckets, ["feature_id"], {"ref_before": "ref", "cur_before": "cur"})
     shift = F.col("ref_before") / ref_size - F.col("cur_before") / cur_size
     found = offsets.groupBy("feature_id").agg(
-        F.max(F.greatest(F.abs(shift + F.col("high")), F.abs(shift + F.col("low")))).alias("ks_statistic"),
+        F.max(F.greatest(F.abs(shift + F.col("high")), F.abs(shift + F.col("low")))).alias("distance"),
         F.sum("ref").alias("n_ref"),
         F.sum("cur").alias("n_cur"),
     )
-    return found
+    both_present = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    return (
+        found.withColumn("ks_statistic", F.when(both_present, F.col("distance")))
+        .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")))
+        .drop("distance")
+    )
 
 
 def feature_drift(
@@ -163,19 +168,9 @@ def feature_drift(
     ks = kolmogorov_smirnov(reference, current, names, rows_per_bucket)
     name = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("feature_id") + 1)
     joined = psi.join(ks, "feature_id", "left")
-    statistic = F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0), F.col("ks_statistic"))
-    return (
-        joined.withColumn("ks_statistic", statistic)
-        .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")))
-        .select(
-            name.alias("feature"),
-            "psi",
-            "ks_statistic",
-            "ks_pvalue",
-            F.coalesce(
-                (F.col("psi") > cfg.psi_threshold) | (F.col("ks_pvalue") < cfg.ks_pvalue_threshold), F.lit(False)
-            ).alias("drifted"),
-        )
+    drifted = (F.col("psi") > cfg.psi_threshold) | (F.col("ks_pvalue") < cfg.ks_pvalue_threshold)
+    return joined.select(
+        name.alias("feature"), "psi", "ks_statistic", "ks_pvalue", F.coalesce(drifted, F.lit(False)).alias("drifted")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import ratio
+from flowguard.functions.columns import fixed_text, ratio
 from flowguard.operators.prefix import ROWS_PER_BUCKET, bucket_offsets, running_totals, value_splits, within_bucket
 from flowguard.operators.quantiles import bucketed
 from flowguard.session import driver_rows
@@ -242,7 +242,7 @@ def report_lines(metrics: DataFrame, artifacts: DataFrame, title: Column | str,
         *by,
         block.alias("block"),
         F.col("position").alias("position"),
-        F.format_string("- %s: %.6f", "metric", "value").alias("line"),
+        F.concat(F.lit("- "), "metric", F.lit(": "), fixed_text("value", 6)).alias("line"),
     )
     artifact_lines = artifacts.select(
         *by, F.lit(4).alias("block"), "position", F.format_string("- %s: %s", "name", "location").alias("line")

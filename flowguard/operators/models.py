@@ -1,4 +1,196 @@
-"""Placeholder."""
+"""Boosted attack classifier and logistic fusion as Spark ML fits, scores as native expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-def argmax_class(p):
+
+from flowguard.config import BENIGN, BoostConfig, FusionConfig
+from flowguard.functions.columns import as_column
+from flowguard.operators.prep import require_columns
+from flowguard.session import driver_rows
+from flowguard.sources import stores
+
+
+def argmax_class(probabilities: Column | str) -> Column:
+    p = as_column(probabilities)
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
+def assembled(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
+    require_columns(df, features, "feature")
+    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(df)
+
+
+def class_weights(df: DataFrame, y: str) -> DataFrame:
+    """(class, weight) with weight n / (classes * n_class)."""
+    counts = {r[0]: r[1] for r in driver_rows(df.groupBy(y).agg(F.count("*")), "classes")}
+    total = sum(counts.values())
+    kind = df.schema[y].dataType.simpleString()
+    rows = [(c, total / (len(counts) * n)) for c, n in sorted(counts.items())]
+    return df.sparkSession.createDataFrame(rows, f"`{y}` {kind}, weight double")
+
+
+@dataclass(frozen=True)
+class BoostedClassifier:
+    """One boosted binary model per class, or a single one for two classes.
+
+    Spark's boosting is binary: class probabilities are the per-class sigmoid scores scaled to sum 1.
+    """
+
+    features: tuple[str, ...]
+    classes: tuple[str, ...]
+    models: tuple[GBTClassificationModel, ...]
+
+    @property
+    def benign_index(self) -> int:
+        if BENIGN not in self.classes:
+            raise ValueError("the training rows have no benign class")
+        return self.classes.index(BENIGN)
+
+    def predict_proba(self, df: DataFrame, output: str = "proba") -> DataFrame:
+        """Adds the array of class probabilities, indexed by class id."""
+        rows = assembled(df, self.features, "__features")
+        names = []
+        for i, model in enumerate(self.models):
+            rows = (
+                model.setFeaturesCol("__features")
+                .setPredictionCol(f"__p{i}")
+                .setProbabilityCol(f"__v{i}")
+                .setRawPredictionCol(f"__r{i}")
+                .transform(rows)
+                .drop(f"__p{i}", f"__r{i}")
+            )
+            names.append(vector_to_array(F.col(f"__v{i}"))[1])
+        if len(self.models) == 1:
+            positive = names[0]
+            proba = F.array(F.lit(1.0) - positive, positive)
+        else:
+            total = sum(names[1:], names[0])
+            proba = F.array(*[n / total for n in names])
+        helpers = [f"__v{i}" for i in range(len(self.models))]
+        return rows.withColumn(output, proba).drop("__features", *helpers)
+
+    def attack_score(self, df: DataFrame, output: str = "clf_score") -> DataFrame:
+        """Adds 1 - P(benign)."""
+        rows = self.predict_proba(df, "__proba")
+        return rows.withColumn(output, F.lit(1.0) - F.col("__proba")[self.benign_index]).drop("__proba")
+
+    def importances(self, spark: SparkSession) -> DataFrame:
+        """(feature, weight): mean of the models' gain importances."""
+        totals = [0.0] * len(self.features)
+        for model in self.models:
+            for i, v in enumerate(model.featureImportances.toArray()):
+                totals[i] += float(v) / len(self.models)
+        return spark.createDataFrame(list(zip(self.features, totals)), "feature string, weight double")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [("feature", i, f) for i, f in enumerate(self.features)]
+        rows += [("class", i, c) for i, c in enumerate(self.classes)]
+        stores.write_table(spark.createDataFrame(rows, "role string, ord int, name string").coalesce(1), f"{path}/layout")
+        for i, model in enumerate(self.models):
+            model.write().overwrite().save(f"{path}/model-{i}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "BoostedClassifier":
+        layout = sorted(driver_rows(stores.read_table(spark, f"{path}/layout"), "model layout"), key=lambda r: r.ord)
+        features = tuple(r.name for r in layout if r.role == "feature")
+        classes = tuple(r.name for r in layout if r.role == "class")
+        if not features or not classes:
+            raise ValueError(f"incomplete model layout under {path}")
+        count = 1 if len(classes) == 2 else len(classes)
+        models = tuple(GBTClassificationModel.load(f"{path}/model-{i}") for i in range(count))
+        return BoostedClassifier(features, classes, models)
+
+
+def fit_boosted(
+    train: DataFrame,
+    features: Sequence[str],
+    classes: Sequence[str],
+    label: str = "label",
+    cfg: BoostConfig = BoostConfig(),
+    validation: DataFrame | None = None,
+) -> BoostedClassifier:
+    """Boosted trees on the training rows; stops early only when validation rows are given.
+
+    ``classes`` come from the training rows alone.
+    """
+    if len(classes) < 2:
+        raise ValueError("a classifier needs at least two classes")
+    stop = validation is not None and cfg.early_stopping
+    rows = train.select(label, *features, F.lit(False).alias("__validation"))
+    if stop:
+        rows = rows.unionByName(validation.select(label, *features, F.lit(True).alias("__validation")))
+    table = assembled(rows, features).select(F.col(label).alias("__label"), "features", "__validation").persist()
+    try:
+        targets = [classes[1]] if len(classes) == 2 else list(classes)
+        models = []
+        for target in targets:
+            booster = GBTClassifier(
+                featuresCol="features",
+                labelCol="__y",
+                maxIter=cfg.trees,
+                maxDepth=cfg.depth,
+                stepSize=cfg.learning_rate,
+                subsamplingRate=cfg.row_subsample,
+                featureSubsetStrategy=str(cfg.column_subsample) if cfg.column_subsample < 1 else "all",
+                maxBins=cfg.max_bins,
+                seed=cfg.seed,
+                cacheNodeIds=True,
+            )
+            if stop:
+                booster = booster.setValidationIndicatorCol("__validation")
+            models.append(booster.fit(table.withColumn("__y", (F.col("__label") == target).cast("double"))))
+    finally:
+        table.unpersist()
+    return BoostedClassifier(tuple(features), tuple(classes), tuple(models))
+
+
+@dataclass(frozen=True)
+class FusionModel:
+    weights: tuple[float, ...]
+    intercept: float
+
+    def to_frame(self, spark: SparkSession) -> DataFrame:
+        rows = [(-1, self.intercept), *enumerate(self.weights)]
+        return spark.createDataFrame([(i, float(v)) for i, v in rows], "ord int, value double")
+
+    @staticmethod
+    def from_frame(table: DataFrame) -> "FusionModel":
+        rows = {r.ord: r.value for r in driver_rows(table, "fusion coefficients")}
+        if -1 not in rows:
+            raise ValueError("the fusion table has no intercept")
+        return FusionModel(tuple(rows[i] for i in range(len(rows) - 1)), rows[-1])
+
+
+def fit_fusion(df: DataFrame, signals: Sequence[str], y: str, cfg: FusionConfig = FusionConfig()) -> FusionModel:
+    """L2 logistic regression with inverse strength C and balanced classes.
+
+    Minimising C * sum(w * loss) + |b|^2 / 2 equals Spark's mean loss with regParam = 1 / (C * sum(w)),
+    and balanced weights sum to the row count.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(y).agg(F.count("*")).collect()}
+    if len(counts) != 2:
+        raise ValueError("fusion needs rows of both classes")
+    total = sum(counts.values())
+    weight = F.lit(1.0)
+    if cfg.balanced:
+        weight = F.when(F.col(y) == 1, F.lit(total / (2.0 * counts[1]))).otherwise(F.lit(total / (2.0 * counts[0])))
+    rows = df.select(*[F.col(s).cast("double").alias(s) for s in signals], F.col(y).cast("double").alias("__y"), weight.alias("__w"))
+    fit = LogisticRegression(
+        featuresCol="features",
+        labelCol="__y",
+        weightCol="__w",
+        regParam=1.0 / (cfg.c * total),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=cfg.max_iter,
+        tol=1e-8,
+    ).fit(assembled(rows, signals))
+    return FusionModel(tuple(float(v) for v in fit.coefficients.toArray()), float(fit.intercept))

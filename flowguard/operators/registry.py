@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.config import PROMOTION_GATES, GateThresholds
-from flowguard.functions.columns import as_column
+from flowguard.functions.columns import as_column, fixed_text
 
 # Names used in versions and decisions.
 NAMESPACE = "hybrid"
@@ -56,13 +57,13 @@ def _gates(thresholds: GateThresholds) -> list[tuple[str, Column, float, Column]
     gap = F.col("fusion_f1") - F.col("baseline_f1_weighted")
 
     def below(name: str, minimum: float) -> Column:
-        return F.format_string(f"{name} below threshold (%.4f < %.4f)", F.col(name), F.lit(minimum))
+        return F.format_string(f"{name} below threshold (%s < %s)", fixed_text(name, 4), fixed_text(F.lit(minimum), 4))
 
     no_gain = F.format_string(
-        "fusion_f1 does not improve enough over baseline (%.4f - %.4f < %.4f)",
-        F.col("fusion_f1"),
-        F.col("baseline_f1_weighted"),
-        F.lit(thresholds.min_fusion_over_baseline_gap),
+        "fusion_f1 does not improve enough over baseline (%s - %s < %s)",
+        fixed_text("fusion_f1", 4),
+        fixed_text("baseline_f1_weighted", 4),
+        fixed_text(F.lit(float(thresholds.min_fusion_over_baseline_gap)), 4),
     )
     minima = {
         "fusion_f1": thresholds.min_fusion_f1,
@@ -114,6 +115,10 @@ def canonical_json(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def threshold_hash(thresholds: GateThresholds = PROMOTION_GATES) -> Column:
+    return content_hash(F.lit(json.dumps(asdict(thresholds), sort_keys=True, separators=(",", ":"))))
+
+
 def file_hashes(df_binary: DataFrame) -> DataFrame:
     """(path, hash) of a ``binaryFile`` scan."""
     return df_binary.select("path", F.sha2("content", 256).alias("hash"))
@@ -136,13 +141,13 @@ def promotion_decision(
     folds = canonical_json(["loao_mean_f1", "loao_min_f1", "loao_mean_attack_rate_pred", "loao_run_count"])
     first = own if experiment_text is None else as_column(experiment_text)
     second = folds if runs_text is None else as_column(runs_text)
-    gates = F.lit("{" + ",".join(f'"{k}":{v}' for k, v in sorted(asdict(thresholds).items())) + "}")
-    hashes = [content_hash(first), content_hash(second), content_hash(gates)]
+    gates = threshold_hash(thresholds)
+    hashes = [content_hash(first), content_hash(second), gates]
     return decided.withColumns(
         {
             "champion_source": F.when(F.col("approved"), F.lit(CHAMPION)).otherwise(F.lit("none")),
             "experiment_hash": content_hash(F.concat_ws("|", first, second)),
-            "config_hash": content_hash(gates),
+            "config_hash": gates,
             "version": version_id(hashes, namespace),
             "model_name": F.lit(CHAMPION),
             "promoted_from": F.lit(PROMOTED_FROM),

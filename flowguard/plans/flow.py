@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.config import METADATA, SOURCE, DriftConfig, PrepConfig, SplitConfig
+from flowguard.config import METADATA, SOURCE, DriftConfig, PrepConfig, RetrainingPolicy, SplitConfig
 from flowguard.operators import checks, drift, prep
 from flowguard.operators.ordering import exact_sample
 from flowguard.operators.splits import stratified_split
 from flowguard.plans.views import TRAFFIC_FEATURES, view
+from flowguard.sources import stores
 from flowguard.sources.traffic_csv import device_filter
 
 
@@ -67,3 +68,20 @@ def split_drift(spark: SparkSession, sf_dir: str, cfg: DriftConfig = DriftConfig
     data = prepare(labelled, key="row_key")
     held_out = data.table.where(F.col("split") != "train")
     return drift.feature_drift(data.split("train"), held_out, TRAFFIC_FEATURES, cfg)
+
+
+def drift_job(
+    reference: DataFrame,
+    current: DataFrame,
+    metric_pairs: DataFrame,
+    features: Sequence[str] | None = None,
+    cfg: DriftConfig = DriftConfig(),
+    policy: RetrainingPolicy = RetrainingPolicy(),
+    report_path: str | None = None,
+) -> DataFrame:
+    """Feature drift, concept drift, severity and the retraining decision, one row per metric pair."""
+    results = drift.feature_drift(reference, current, features, cfg)
+    decided = drift.retraining_decision(drift.drift_report(results, metric_pairs, cfg), policy)
+    if report_path is not None:
+        stores.write_report(decided, report_path)
+    return decided
