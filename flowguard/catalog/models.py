@@ -1 +1,141 @@
-"""Empty for now."""
+"""Model fits and the flows around them. Iterative fits have no SQL counterpart."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowguard.catalog.registration import query
+from flowguard.catalog.scoring import signals
+from flowguard.config import AutoencoderConfig, BoostConfig, HybridConfig
+from flowguard.operators import models, prep, scoring, weights
+from flowguard.operators.attribution import shap_weights as attribution_weights
+from flowguard.operators.autoencoder import fit_autoencoder
+from flowguard.operators.splits import stratified_split
+from flowguard.plans import hybrid
+from flowguard.plans.views import VECTOR_FEATURES, view
+from flowguard.session import materialize, scratch_path
+
+# Few and shallow rounds: the catalog shows the jobs, not a tuned detector.
+BOOST = BoostConfig(trees=4, depth=3, early_stopping=False)
+AUTOENCODER = AutoencoderConfig(hidden=(32,), latent=8, epochs=4)
+HYBRID = HybridConfig(boost=replace(BOOST, trees=2, depth=2), autoencoder=AUTOENCODER, multiclass=False)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, split and scaled; classes are benign, gafgyt and mirai."""
+    rows = view(spark, sf_dir, "vectors").withColumn("label", F.split_part("label", F.lit("_"), F.lit(1)))
+    parts = stratified_split(rows, "label", "row_key")
+    params = prep.fit_preprocessor(parts.where("split = 'train'"), VECTOR_FEATURES)
+    return materialize(prep.transform(parts, params, keep=["row_key", "label", "split"]))
+
+
+def binary_classifier(rows: DataFrame) -> models.BoostedClassifier:
+    train = rows.where("split = 'train'").withColumn(
+        "label", F.when(F.col("label") == "benign", "benign").otherwise("attack")
+    )
+    return models.fit_boosted(train, VECTOR_FEATURES, ["benign", "attack"], cfg=BOOST)
+
+
+@query("gbt_attack_score")
+def gbt_attack_score(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return binary_classifier(rows).attack_score(rows).select("row_key", "label", "split", "clf_score")
+
+
+@query("attack_score")
+def attack_score(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
+    cfg = replace(BOOST, trees=2, depth=2, early_stopping=True)
+    model = models.fit_boosted(train, VECTOR_FEATURES, ["benign", "gafgyt", "mirai"], cfg=cfg, validation=val)
+    scored = model.predict_proba(rows)
+    return scored.select(
+        "row_key",
+        (F.lit(1.0) - F.col("proba")[model.benign_index]).alias("attack_score"),
+        models.argmax_class("proba").alias("prediction"),
+    )
+
+
+@query("importance_weights")
+def importance_weights(spark, sf_dir):
+    return weights.normalize_weights(binary_classifier(vectors(spark, sf_dir)).importances(spark))
+
+
+@query("shap_weights")
+def shap_weights(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    raw = attribution_weights(binary_classifier(rows), rows.where("split = 'train'"), "row_key")
+    return weights.normalize_weights(raw)
+
+
+@query("ae_training_loss")
+def ae_training_loss(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    model = fit_autoencoder(rows.where("split = 'train' AND label = 'benign'"), VECTOR_FEATURES, cfg=AUTOENCODER)
+    # Next to the training loss: the mean error the trained network leaves on benign and attack rows.
+    errors = model.add_error(rows).agg(
+        F.avg(F.when(F.col("label") == "benign", F.col("rec_error"))).alias("benign_error"),
+        F.avg(F.when(F.col("label") != "benign", F.col("rec_error"))).alias("attack_error"),
+    )
+    cells = ", ".join(f"{i}, {v!r}D" for i, v in enumerate(model.losses))
+    return errors.selectExpr(f"stack({len(model.losses)}, {cells}) AS (epoch, loss)", "benign_error", "attack_error")
+
+
+@query("fusion_fit")
+def fusion_fit(spark, sf_dir):
+    rows = scoring.with_dual_score(signals(spark, sf_dir), "clf_score", "rec_error")
+    return models.fit_fusion(rows, hybrid.SIGNALS, "y").to_frame(spark)
+
+
+@query("hybrid_train_metrics")
+def hybrid_train_metrics(spark, sf_dir):
+    run = hybrid.fit_hybrid(vectors(spark, sf_dir), VECTOR_FEATURES, replace(HYBRID, multiclass=True))
+    return hybrid.run_metrics(run)
+
+
+@query("exp_baseline_vs_fusion")
+def exp_baseline_vs_fusion(spark, sf_dir):
+    run = hybrid.fit_hybrid(vectors(spark, sf_dir), VECTOR_FEATURES, HYBRID)
+    table = hybrid.run_metrics(run)
+    return table.groupBy("metric").pivot("model", ["baseline_multiclass", "hybrid_binary", "fusion_binary"]).agg(F.first("value"))
+
+
+@query("loao_fold_metrics")
+def loao_fold_metrics(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    fold = hybrid.fold_table(rows, "row_key")[0]
+    cfg = replace(HYBRID, weighting="shap")
+    return hybrid.run_fold(rows, fold, VECTOR_FEATURES, cfg, "row_key", hybrid.FoldConfig())
+
+
+@query("loao_experiment")
+def loao_experiment(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return hybrid.loao_experiment(rows, VECTOR_FEATURES, replace(HYBRID, weighting="importance"))
+
+
+@query("score_batch")
+def score_batch(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    model = hybrid.fit_hybrid(rows, VECTOR_FEATURES, HYBRID).model
+    columns = ["row_key", "prediction", "predicted_label", "confidence", "anomaly_score", "details"]
+    return model.score(rows, normalize="batch").select(*columns)
+
+
+@query("artifact_reuse")
+def artifact_reuse(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    store = scratch_path(spark, "model-store")
+    parts = []
+    for attempt in (1, 2):
+        model, reused = hybrid.fit_or_load(rows, VECTOR_FEATURES, HYBRID, store)
+        scored = model.score(rows, normalize="fitted")
+        parts.append(
+            scoring.score_summary(scored).select(
+                F.lit(attempt).alias("attempt"), F.lit(reused).alias("reused"), "total_items", "attack_count", "mean_confidence"
+            )
+        )
+    return parts[0].unionByName(parts[1])

@@ -144,6 +144,7 @@ class HybridConfig:
     dual: DualConfig = field(default_factory=DualConfig)
     fusion: FusionConfig = field(default_factory=FusionConfig)
     weighting: str = "ones"  # ones, importance or shap
+    multiclass: bool = True  # one boosted model per class, or benign against all attacks
     attribution_rows: int = 1000
     max_feature_columns: int = 25
     max_total_rows: int | None = None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,16 +92,17 @@ def fold_table(df: DataFrame, key: str, cfg: FoldConfig = FoldConfig()) -> list[
     return [(i, a, *at[(i, "test")]) for i, a in enumerate(attacks)]
 
 
-def loao_folds(df: DataFrame, key: str, cfg: FoldConfig = FoldConfig()) -> DataFrame:
-    """All folds as one table: fold, held_out_attack, role (train or test) and the row.
-
-    Benign rows are divided anew in every fold; the held-out attack is only ever tested.
-    """
-    folds = fold_table(df, key, cfg)
+def assign_folds(
+    df: DataFrame, folds: Sequence[tuple[int, str, str, str]], key: str, cfg: FoldConfig = FoldConfig()
+) -> DataFrame:
+    """The rows once per given fold, with fold, held_out_attack and role."""
     table = F.array(
         *[
             F.struct(
-                F.lit(i).alias("fold"), F.lit(a).alias("held_out_attack"), F.lit(h).alias("last_hash"), F.lit(k).alias("last_key")
+                F.lit(i).alias("fold"),
+                F.lit(a).alias("held_out_attack"),
+                F.lit(h).alias("last_hash"),
+                F.lit(k).alias("last_key"),
             )
             for i, a, h, k in folds
         ]
@@ -120,6 +121,14 @@ def loao_folds(df: DataFrame, key: str, cfg: FoldConfig = FoldConfig()) -> DataF
     )
 
 
+def loao_folds(df: DataFrame, key: str, cfg: FoldConfig = FoldConfig()) -> DataFrame:
+    """All folds as one table: fold, held_out_attack, role (train or test) and the row.
+
+    Benign rows are divided anew in every fold; the held-out attack is only ever tested.
+    """
+    return assign_folds(df, fold_table(df, key, cfg), key, cfg)
+
+
 def fold_leakage(folds: DataFrame, key: str) -> DataFrame:
     """Rows found on both sides of a fold, per fold; all zero for a sound fold table."""
     sides = folds.groupBy("fold", key).agg(F.count_distinct("role").alias("sides"))

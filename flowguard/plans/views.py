@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 TRAFFIC_FEATURES = ["f_value", "f_user", "f_hour", "f_k", "f_const"]
 FLOW_FEATURES = ["f_qty", "f_price", "f_disc", "f_tax"]
 VECTOR_FEATURES = [f"f{i}" for i in range(25)]
@@ -53,6 +56,11 @@ SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS client,
   CAST({k} AS DOUBLE) / 99 AS confidence
 FROM {events}"""
 
+_TIMED_TRAFFIC = """
+SELECT CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS f_value,
+  CAST({k} AS DOUBLE) AS f_k
+FROM {events}"""
+
 # One experiment report per client: model qualities are shares of that client's own events.
 _EXPERIMENTS = """
 SELECT concat('run_', CAST(user_id AS STRING)) AS run_name, user_id,
@@ -101,6 +109,7 @@ FROM {traffic}"""
 
 _EVENT_VIEWS = {
     "traffic": _TRAFFIC,
+    "timed_traffic": _TIMED_TRAFFIC,
     "request_log": _REQUEST_LOG,
     "experiments": _EXPERIMENTS,
     "loao_runs": _LOAO_RUNS,
@@ -136,6 +145,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_text(name, "get_json_object(props, '$.k')", base, 0))
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str, copies: int = 1) -> DataFrame:
+    """An event view over a file stream of the events; ``copies`` replays every event that often."""
+    if name not in _EVENT_VIEWS:
+        raise KeyError(f"{name} is not a view over the events")
+
+    def source() -> DataFrame:
+        return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+    rows = source()
+    for _ in range(copies - 1):
+        rows = rows.unionByName(source())
+    temporary = f"events_stream_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(temporary)
+    return spark.sql(_text(name, "get_json_object(props, '$.k')", {"events": temporary}, 0))
+
+
 def duckdb_view(name: str) -> str:
     """The same view as a DuckDB subquery over the pre-registered tables."""
     base = {t: t for t in ("events", "lineitem", "embeddings")}
