@@ -12,7 +12,7 @@ from flowguard.operators import prep, splits
 from flowguard.operators.ordering import shuffle_rank as shuffle_ranks
 from flowguard.plans.flow import prepare
 from flowguard.plans.views import FLOW_FEATURES, TRAFFIC_FEATURES, view, with_views
-from flowguard.session import scratch_path
+from flowguard.session import materialize, scratch_path
 from flowguard.sources import stores
 
 
@@ -169,7 +169,7 @@ def scale_apply(spark, sf_dir):
 )
 def label_encode(spark, sf_dir):
     rows = view(spark, sf_dir, "traffic").select("row_key", "label")
-    return prep.encode_labels(rows, prep.label_dimension(rows))
+    return prep.encode_labels(rows, prep.label_classes(rows))
 
 
 def _traffic_prep(rows: str, keep: str, rest: str) -> str:
@@ -194,11 +194,11 @@ LABEL_ID_SQL = """CAST((SELECT count(DISTINCT d.label) FROM train_rows d WHERE d
     ),
 )
 def preprocess_transform(spark, sf_dir):
-    rows = splits.stratified_split(view(spark, sf_dir, "traffic"), "label", "row_key")
+    rows = materialize(splits.stratified_split(view(spark, sf_dir, "traffic"), "label", "row_key"), "splits", "split")
     train = rows.where("split = 'train'")
     params = prep.fit_preprocessor(train, TRAFFIC_FEATURES)
     table = prep.transform(rows, params, keep=["row_key", "label", "split"])
-    return round_all(prep.encode_labels(table, prep.label_dimension(train)), TRAFFIC_FEATURES)
+    return round_all(prep.encode_labels(table, prep.label_classes(train)), TRAFFIC_FEATURES)
 
 
 @query(
@@ -210,7 +210,7 @@ def preprocess_transform(spark, sf_dir):
     ),
 )
 def preprocess_infer(spark, sf_dir):
-    rows = splits.stratified_split(view(spark, sf_dir, "traffic"), "label", "row_key")
+    rows = materialize(splits.stratified_split(view(spark, sf_dir, "traffic"), "label", "row_key"), "splits", "split")
     params = prep.fit_preprocessor(rows.where("split = 'train'"), TRAFFIC_FEATURES)
     unlabelled = rows.where("split = 'test'").select("row_key", *TRAFFIC_FEATURES)
     return round_all(prep.transform(unlabelled, params, keep=["row_key"]), TRAFFIC_FEATURES)

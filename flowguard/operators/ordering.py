@@ -13,35 +13,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowguard.functions.columns import hash_order
-from flowguard.session import attach, driver_rows
+from flowguard.operators.quantiles import kth_smallest
+from flowguard.session import attach_rows, driver_rows
 
-PREFIX_DIGITS = 4  # 65,536 hash prefixes per group
+PREFIX_DIGITS = 4  # 65,536 hash prefixes where a table is ranked whole
+ROWS_PER_PREFIX = 100_000
+MAX_PREFIX_DIGITS = 5
+
+
+def prefix_digits(largest_group: int) -> int:
+    """Hex digits that leave about ROWS_PER_PREFIX rows per prefix, and never more than 16^5 prefixes."""
+    digits = 1
+    while digits < MAX_PREFIX_DIGITS and largest_group > ROWS_PER_PREFIX * 16**digits:
+        digits += 1
+    return digits
 
 
 def hash_cutoffs(
-    rows: DataFrame, quotas: Iterable[tuple[object, str, int]], prefix_digits: int = PREFIX_DIGITS
+    rows: DataFrame, quotas: Iterable[tuple[object, str, int]], largest_group: int
 ) -> dict[tuple[object, str], tuple[str, str]]:
     """Last chosen (hash, key) per (group, cut) of a ``(group, hash, key)`` table with unique keys.
 
     A quota of 0 has no threshold and is left out; a quota must not exceed the size of its group.
     """
-    wanted = [(g, c, k) for g, c, k in quotas if k > 0]
+    wanted = [(g, c, int(k)) for g, c, k in quotas if k > 0]
     if not wanted:
         return {}
-    spark = rows.sparkSession
     kind = rows.schema["group"].dataType.simpleString()
-    quota_table = spark.createDataFrame(wanted, f"group {kind}, cut string, quota bigint")
-    prefixed = rows.withColumn("prefix", F.substring("hash", 1, prefix_digits))
+    prefixed = rows.withColumn("prefix", F.substring("hash", 1, prefix_digits(largest_group)))
     order = Window.partitionBy("group").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     counts = prefixed.groupBy("group", "prefix").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
     last = driver_rows(
-        attach(counts, quota_table, ["group"], how="inner")
+        attach_rows(counts, wanted, f"group {kind}, cut string, quota bigint", ["group"], how="inner")
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("group", "prefix", "cut", (F.col("quota") - F.col("upto") + F.col("n")).alias("need")),
         "hash cut-offs",
     )
-    edge_table = spark.createDataFrame(last, f"group {kind}, prefix string, cut string, need bigint")
-    ranked = attach(prefixed, edge_table, ["group", "prefix"], how="inner").withColumn(
+    schema = f"group {kind}, prefix string, cut string, need bigint"
+    ranked = attach_rows(prefixed, last, schema, ["group", "prefix"], how="inner").withColumn(
         "rank", F.row_number().over(Window.partitionBy("group", "prefix", "cut").orderBy("hash", "key"))
     )
     hits = ranked.where(F.col("rank") == F.col("need")).select("group", "cut", "hash", "key").collect()
@@ -63,7 +72,7 @@ def exact_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     rows = df.select(
         F.lit(0).alias("group"), hash_order(seed, key).alias("hash"), F.col(key).cast("string").alias("key")
     )
-    cut = hash_cutoffs(rows, [(0, "sample", size)])
+    cut = hash_cutoffs(rows, [(0, "sample", size)], total)
     if not cut:
         return df.limit(0)
     last_hash, last_key = cut[(0, "sample")]
@@ -92,8 +101,6 @@ def first_rows_per_group(df: DataFrame, group: str, key: str, cap: int) -> DataF
 
     The key at rank ``cap`` is found per group by order statistics, so no group is sorted whole.
     """
-    from flowguard.operators.quantiles import kth_smallest
-
     if cap <= 0:
         return df.limit(0)
     sizes = driver_rows(df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n")), "groups to cap")
@@ -101,9 +108,11 @@ def first_rows_per_group(df: DataFrame, group: str, key: str, cap: int) -> DataF
     if not ranks:
         return df
     values = df.select(F.col(group).alias("group"), F.col(key).cast("double").alias("value"))
-    at = kth_smallest(values, ranks)
+    at = kth_smallest(values, ranks, largest=max(r.n for r in sizes))
     kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame([(g, v) for (g, _), v in at.items()], f"`{group}` {kind}, last_key double")
-    return attach(df, table, [group]).where(
-        F.col("last_key").isNull() | (F.col(key).cast("double") <= F.col("last_key"))
-    ).drop("last_key")
+    limits = [(g, v) for (g, _), v in at.items()]
+    return (
+        attach_rows(df, limits, f"`{group}` {kind}, last_key double", [group])
+        .where(F.col("last_key").isNull() | (F.col(key).cast("double") <= F.col("last_key")))
+        .drop("last_key")
+    )

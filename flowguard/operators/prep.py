@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowguard.config import METADATA, PrepConfig
 from flowguard.functions.columns import number, unpivot_sql
 from flowguard.operators.quantiles import EXACT_ROWS, exact_quantiles
-from flowguard.session import attach, driver_rows
+from flowguard.session import attach_rows, driver_rows
 
 PARAM_SCHEMA = (
     "ord int, feature string, fill double, lower double, upper double, mean double, std double, scaled boolean"
@@ -152,15 +152,18 @@ def transform(df: DataFrame, params: PrepParams, keep: Sequence[str] | None = No
 
 def label_dimension(train: DataFrame, label: str = "label") -> DataFrame:
     """Ids are the ranks of the sorted distinct training labels."""
-    labels = sorted(
-        r[0] for r in driver_rows(train.select(label).distinct(), "label classes") if r[0] is not None
-    )
+    labels = label_classes(train, label)
     return train.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), LABEL_SCHEMA)
 
 
-def encode_labels(df: DataFrame, dimension: DataFrame, label: str = "label") -> DataFrame:
+def label_classes(train: DataFrame, label: str = "label") -> list[str]:
+    rows = driver_rows(train.select(label).distinct(), "label classes")
+    return sorted(r[0] for r in rows if r[0] is not None)
+
+
+def encode_labels(df: DataFrame, classes: Sequence[str], label: str = "label") -> DataFrame:
     """Adds ``label_id``; a label that training did not see fails the job."""
-    joined = attach(df, dimension.select(F.col("label").alias(label), "label_id"), [label])
+    joined = attach_rows(df, list(zip(classes, range(len(classes)))), f"`{label}` string, label_id int", [label])
     known = F.when(F.col("label_id").isNotNull(), F.col("label_id")).otherwise(
         F.raise_error(F.concat(F.lit("label not seen in training: "), F.coalesce(F.col(label), F.lit("null"))))
         .cast("int")

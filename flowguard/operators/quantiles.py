@@ -1,6 +1,6 @@
 """Exact quantiles and order statistics that never gather a whole column.
 
-Up to ``exact_rows`` values per column the built-in ``percentile`` is used. Beyond that the wanted
+Up to ``DIRECT_ROWS`` values per column the built-in ``percentile`` is used. Beyond that the wanted
 ranks are bracketed: a mergeable sketch proposes edges, an exact histogram over the edges says
 which bin holds each rank, and only the rows of those bins are looked at again.
 """
@@ -11,14 +11,16 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import double_array, unpivot_sql
-from flowguard.session import attach, driver_rows, materialize
+from flowguard.functions.columns import double_array
+from flowguard.session import attach_rows, driver_rows, materialize
 
 EXACT_ROWS = 1_000_000
+DIRECT_ROWS = 50_000
 SKETCH_EDGES = 512
+MAX_EDGES = 20_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -34,77 +36,66 @@ def bucketed(df: DataFrame, column: str, splits: Sequence[float], output: str) -
 
 
 def kth_smallest(
-    values: DataFrame, ranks: Mapping[object, Sequence[int]], exact_rows: int = EXACT_ROWS
+    values: DataFrame, ranks: Mapping[object, Sequence[int]], exact_rows: int = EXACT_ROWS, largest: int | None = None
 ) -> dict[tuple[object, int], float]:
-    """Values at 0-based ranks per group of a ``(group, value)`` table; values must not be null."""
-    spark = values.sparkSession
-    group_type = values.schema["group"].dataType.simpleString()
-    open_targets = [(group, rank, rank) for group, wanted in ranks.items() for rank in sorted(set(wanted))]
-    found: dict[tuple[object, int], float] = {}
-    schema = f"group {group_type}, rank bigint, offset bigint"
+    """Values at 0-based ranks per group of a ``(group, value)`` table; values must not be null.
+
+    While a group has more than ``exact_rows`` candidate rows, a sketch proposes edges, an exact histogram
+    over them says which bin holds each rank, and only the rows of those bins stay candidates.
+    """
+    kind = values.schema["group"].dataType.simpleString()
     # A target is a rank inside a shrinking row subset; ``offset`` is its rank within that subset.
-    targets = spark.createDataFrame(open_targets, schema)
-    rows = attach(values, targets, ["group"], how="inner")
-    while True:
-        sizes = driver_rows(
-            rows.groupBy("group", "rank", "offset").agg(
-                F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-            ),
-            "order statistic targets",
-        )
-        if not sizes:
-            return found
-        for r in sizes:
-            if r.lo == r.hi:
-                found[(r.group, r.rank)] = r.lo
-        pending = [r for r in sizes if r.lo != r.hi]
-        if not pending:
-            return found
-        keep = spark.createDataFrame([(r.group, r.rank) for r in pending], f"group {group_type}, rank bigint")
-        rows = attach(rows, keep, ["group", "rank"], how="inner")
-        if max(r.n for r in pending) <= exact_rows:
-            order = Window.partitionBy("group", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-            counts = rows.groupBy("group", "rank", "offset", "value").agg(F.count("*").alias("n"))
-            hits = (
-                counts.withColumn("upto", F.sum("n").over(order))
-                .where((F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
-                .select("group", "rank", "value")
-                .collect()
-            )
+    targets = [(group, int(rank), int(rank)) for group, wanted in ranks.items() for rank in sorted(set(wanted))]
+    found: dict[tuple[object, int], float] = {}
+    rows, reduced = values, False
+    while targets:
+        keys = ["group", "rank"] if reduced else ["group"]
+        if largest is None:
+            sizes = rows.where(F.col("group").isin(list(ranks))).groupBy(*keys).agg(F.count("*").alias("n"))
+            largest = sizes.agg(F.max("n")).first()[0] or 0
+        candidates = attach_rows(rows, targets, f"group {kind}, rank bigint, offset bigint", keys, how="inner")
+        per_target = ["group", "rank", "offset"]
+        if largest <= exact_rows:
+            order = Window.partitionBy(*per_target).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+            counts = candidates.groupBy(*per_target, "value").agg(F.count("*").alias("n"))
+            hits = _holding(counts.withColumn("upto", F.sum("n").over(order))).select("group", "rank", "value").collect()
             found.update({(r.group, r.rank): r.value for r in hits})
             return found
-        grid = double_array([i / SKETCH_EDGES for i in range(SKETCH_EDGES + 1)])
-        edges = sorted(
-            {
-                e
-                for r in driver_rows(
-                    rows.groupBy("group", "rank").agg(
-                        F.percentile_approx("value", grid, F.lit(SKETCH_ACCURACY)).alias("edges")
-                    ),
-                    "order statistic sketches",
-                )
-                for e in r.edges
-            }
+        # All groups share one edge list; many groups get coarser sketches and, if needed, one more round.
+        steps = max(8, min(SKETCH_EDGES, MAX_EDGES // len(targets)))
+        grid = double_array([i / steps for i in range(steps + 1)])
+        sketches = driver_rows(
+            rows.groupBy(*keys).agg(F.percentile_approx("value", grid, F.lit(SKETCH_ACCURACY)).alias("edges")),
+            "order statistic sketches",
         )
+        edges = sorted({e for r in sketches for e in r.edges})
         # Rows on an edge get a bin of their own, so one value that fills a third of the rows is done at once.
-        binned = bucketed(rows, "value", edges, "bin").withColumn(
-            "on_edge", (F.col("value") == F.element_at(double_array([math.nan, *edges]), F.col("bin") + 1)).cast("int")
-        ).withColumn("bin", F.col("bin") * 2 + F.when(F.col("on_edge") == 1, 0).otherwise(1))
-        order = Window.partitionBy("group", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        hits = driver_rows(
-            binned.groupBy("group", "rank", "offset", "bin")
-            .agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(order))
-            .where((F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
-            .select("group", "rank", "bin", (F.col("offset") - F.col("upto") + F.col("n")).alias("offset")),
-            "order statistic bins",
-        )
-        chosen = spark.createDataFrame(hits, f"group {group_type}, rank bigint, bin int, offset bigint")
-        rows = materialize(
-            attach(binned.drop("offset", "on_edge"), chosen, ["group", "rank", "bin"], how="inner").select(
-                "group", "value", "rank", "offset"
-            )
+        on_edge = F.col("value") == F.element_at(double_array([math.nan, *edges]), F.col("bin") + 1)
+        binned = bucketed(candidates, "value", edges, "bin").withColumn(
+            "bin", F.col("bin") * 2 + F.when(on_edge, 0).otherwise(1)
         )
+        order = Window.partitionBy(*per_target).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        counts = binned.groupBy(*per_target, "bin").agg(F.count("*").alias("n"))
+        hits = driver_rows(_holding(counts.withColumn("upto", F.sum("n").over(order))), "order statistic bins")
+        chosen = []
+        targets = []
+        for r in hits:
+            if r["bin"] % 2 == 0:
+                found[(r.group, r.rank)] = edges[r["bin"] // 2 - 1]
+            else:
+                chosen.append((r.group, r.rank, r["bin"]))
+                targets.append((r.group, r.rank, r.offset - r.upto + r.n))
+        if targets:
+            schema = f"group {kind}, rank bigint, bin int"
+            kept = attach_rows(binned.drop("offset"), chosen, schema, ["group", "rank", "bin"], how="inner")
+            rows, reduced = materialize(kept.select("group", "rank", "value"), "order-statistic"), True
+            largest = max(r.n for r in hits if r["bin"] % 2)
+    return found
+
+
+def _holding(counts: DataFrame) -> DataFrame:
+    """The cells of a running count that contain the wanted offset."""
+    return counts.where((F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
 
 
 def interpolate(position: float, low: float, high: float) -> float:
@@ -114,23 +105,77 @@ def interpolate(position: float, low: float, high: float) -> float:
     return (upper - position) * low + (position - lower) * high
 
 
+def _edge_code(value: Column, edges: Sequence[float]) -> Column:
+    """2i for a value between edge i-1 and edge i, 2i+1 for edge i itself."""
+    code = F.lit(0)
+    for e in edges:
+        code = code + F.when(value > F.lit(e), 2).when(value == F.lit(e), 1).otherwise(0)
+    return code
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], exact_rows: int = EXACT_ROWS
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    exact_rows: int = EXACT_ROWS,
+    direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float] | None]:
-    """Linearly interpolated quantiles per column over its non-null values; None for an empty column."""
-    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = [sizes[f"n{i}"] for i in range(len(columns))]
-    if max(counts, default=0) <= exact_rows:
+    """Linearly interpolated quantiles per column over its non-null values; None for an empty column.
+
+    Three passes at any size, each with map-side aggregation: a sketch brackets every probability, a
+    histogram over the bracket ends places the exact ranks, and only values strictly inside a needed
+    bracket (a share of about 4 / SKETCH_ACCURACY of the rows) are ordered.
+    """
+    margin = 2.0 / SKETCH_ACCURACY
+    ends = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)} | {0.0, 1.0})
+    levels = double_array(ends)
+    first = df.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, levels, F.lit(SKETCH_ACCURACY)).alias(f"e{i}") for i, c in enumerate(columns)],
+    ).first()
+    counts = [first[f"n{i}"] for i in range(len(columns))]
+    if max(counts, default=0) <= direct_rows:
         levels = double_array(probabilities)
         row = df.agg(*[F.percentile(c, levels).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         return {c: (list(row[f"q{i}"]) if counts[i] else None) for i, c in enumerate(columns)}
-    ranks = {
-        i: sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)})
-        for i, n in enumerate(counts)
-        if n
-    }
-    long = df.selectExpr(unpivot_sql(columns, "`group`", "value")).where("value IS NOT NULL")
-    at = kth_smallest(long, ranks, exact_rows)
+    edges = [sorted(set(first[f"e{i}"] or [])) for i in range(len(columns))]
+    codes = [F.when(F.col(c).isNotNull(), _edge_code(F.col(c), edges[i])).alias(f"c{i}") for i, c in enumerate(columns)]
+    cells = ", ".join(f"{i}, c{i}" for i in range(len(columns)))
+    coded = df.select(*codes).selectExpr(f"stack({len(columns)}, {cells}) AS (feature_id, code)")
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for r in coded.where("code IS NOT NULL").groupBy("feature_id", "code").agg(F.count("*").alias("n")).collect():
+        bins.setdefault(r.feature_id, []).append((r.code, r.n))
+    at: dict[tuple[int, int], float] = {}
+    inside: dict[str, list[tuple[int, int, int]]] = {}  # bracket -> (feature, rank, rank inside the bracket)
+    for i, found in bins.items():
+        for rank in sorted({f(p * (counts[i] - 1)) for p in probabilities for f in (math.floor, math.ceil)}):
+            below = 0
+            for code, n in sorted(found):
+                if rank < below + n:
+                    break
+                below += n
+            if code % 2:
+                at[(i, rank)] = edges[i][code // 2]
+            else:
+                inside.setdefault(f"{i}:{code}", []).append((i, rank, rank - below))
+    if inside:
+        # Rows outside every needed bracket are dropped before anything else is computed.
+        cells = F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        (F.col(columns[i]) > F.lit(edges[i][code // 2 - 1])) & (F.col(columns[i]) < F.lit(edges[i][code // 2])),
+                        F.struct(F.lit(b).alias("group"), F.col(columns[i]).cast("double").alias("value")),
+                    )
+                    for b in inside
+                    for i, code in [map(int, b.split(":"))]
+                ]
+            )
+        )
+        rows = df.select(F.explode(cells).alias("r")).select("r.group", "r.value")
+        largest = max(n for i, found in bins.items() for code, n in found if f"{i}:{code}" in inside)
+        picked = kth_smallest(rows, {b: [k for _, _, k in t] for b, t in inside.items()}, exact_rows, largest)
+        at.update({(i, rank): picked[(b, k)] for b, t in inside.items() for i, rank, k in t})
     result: dict[str, list[float] | None] = {}
     for i, c in enumerate(columns):
         positions = [p * (counts[i] - 1) for p in probabilities]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowguard.config import FoldConfig, SplitConfig
 from flowguard.functions.columns import hash_order
 from flowguard.operators.ordering import hash_cutoffs, not_after
-from flowguard.session import attach, driver_rows
+from flowguard.session import attach_rows, driver_rows
 
 
 def proportional_quota(counts: Mapping[str, int], total: int) -> dict[str, int]:
@@ -52,19 +52,17 @@ def stratified_split(df: DataFrame, by: str, key: str, cfg: SplitConfig = SplitC
         F.col(by).alias("group"), hash_order(cfg.seed, key).alias("hash"), F.col(key).cast("string").alias("key")
     )
     wanted = [(c, "test", t) for c, (t, _) in quotas.items()] + [(c, "val", t + v) for c, (t, v) in quotas.items()]
-    at = hash_cutoffs(rows, wanted)
+    at = hash_cutoffs(rows, wanted, max(counts.values()))
     table = [(c, *at.get((c, "test"), (None, None)), *at.get((c, "val"), (None, None))) for c in counts]
     kind = df.schema[by].dataType.simpleString()
-    cuts = df.sparkSession.createDataFrame(
-        table, f"`{by}` {kind}, test_hash string, test_key string, val_hash string, val_key string"
-    )
+    schema = f"`{by}` {kind}, test_hash string, test_key string, val_hash string, val_key string"
     order = hash_order(cfg.seed, key)
     role = (
         F.when(not_after(order, key, F.col("test_hash"), F.col("test_key")), "test")
         .when(not_after(order, key, F.col("val_hash"), F.col("val_key")), "val")
         .otherwise("train")
     )
-    return attach(df, cuts, [by]).withColumn("split", role).drop("test_hash", "test_key", "val_hash", "val_key")
+    return attach_rows(df, table, schema, [by]).withColumn("split", role).drop("test_hash", "test_key", "val_hash", "val_key")
 
 
 def attack_labels(df: DataFrame, cfg: FoldConfig = FoldConfig()) -> list[str]:
@@ -88,7 +86,7 @@ def fold_table(df: DataFrame, key: str, cfg: FoldConfig = FoldConfig()) -> list[
     rows = benign.select(F.col(key).cast("string").alias("key"), seeds.alias("group")).select(
         "group", hash_order(F.col("group") + F.lit(cfg.seed), "key").alias("hash"), "key"
     )
-    at = hash_cutoffs(rows, [(i, "test", test_rows) for i in range(len(attacks))])
+    at = hash_cutoffs(rows, [(i, "test", test_rows) for i in range(len(attacks))], size)
     return [(i, a, *at[(i, "test")]) for i, a in enumerate(attacks)]
 
 

@@ -13,6 +13,7 @@ from flowguard.operators import checks, drift, prep
 from flowguard.operators.ordering import exact_sample
 from flowguard.operators.splits import stratified_split
 from flowguard.plans.views import TRAFFIC_FEATURES, view
+from flowguard.session import materialize
 from flowguard.sources import stores
 from flowguard.sources.traffic_csv import device_filter
 
@@ -23,7 +24,7 @@ class PreparedData:
 
     table: DataFrame
     params: prep.PrepParams
-    labels: DataFrame
+    classes: tuple[str, ...]
     quality: DataFrame
 
     def split(self, name: str) -> DataFrame:
@@ -52,14 +53,15 @@ def prepare(
     checks.require_valid(keyed, features, metadata)
     chosen = features[:max_feature_columns] if max_feature_columns > 0 else features
     narrow = keyed.select("row_key", *chosen, *metadata)
-    parts = stratified_split(narrow, metadata[0], "row_key", split)
+    # Fitting reads the parts four times: they are written once, by split, so that each pass reads only train columns.
+    parts = materialize(stratified_split(narrow, metadata[0], "row_key", split), "splits", partition_by="split")
     train = parts.where(F.col("split") == "train")
     params = prep.fit_preprocessor(train, chosen, cfg)
-    labels = prep.label_dimension(train, metadata[0])
+    classes = prep.label_classes(train, metadata[0])
     table = prep.encode_labels(
-        prep.transform(parts, params, keep=["row_key", *metadata, "split"]), labels, metadata[0]
+        prep.transform(parts, params, keep=["row_key", *metadata, "split"]), classes, metadata[0]
     )
-    return PreparedData(table, params, labels, checks.quality_summary(narrow, chosen, metadata))
+    return PreparedData(table, params, tuple(classes), checks.quality_summary(narrow, chosen, metadata))
 
 
 def split_drift(spark: SparkSession, sf_dir: str, cfg: DriftConfig = DriftConfig()) -> DataFrame:

@@ -54,13 +54,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for this application below the shared folder; the application's folder can go after the run."""
+    root = shared_dir(spark).rstrip("/")
+    return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, so later passes survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
+    """Cuts the lineage by a parquet table in the shared folder.
+
+    Later passes survive lost executors, and read only the columns and row groups they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def driver_rows(df: DataFrame, what: str, limit: int = DRIVER_ROWS) -> list:
@@ -71,6 +78,19 @@ def driver_rows(df: DataFrame, what: str, limit: int = DRIVER_ROWS) -> list:
     return rows
 
 
+def attach_rows(
+    big: DataFrame,
+    rows: Sequence[tuple],
+    schema: str,
+    on: Sequence[str],
+    how: str = "left",
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Equi-join with lookup rows the driver already holds: broadcast if few, shuffled (AQE splits skew) otherwise."""
+    small = big.sparkSession.createDataFrame(list(rows), schema)
+    return big.join(F.broadcast(small) if len(rows) <= max_rows else small, list(on), how)
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
@@ -78,7 +98,7 @@ def attach(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Equi-join with a lookup side: broadcast when counted small, shuffled (AQE splits skew) otherwise."""
+    """Equi-join with a lookup table: broadcast when counted small, shuffled (AQE splits skew) otherwise."""
     rows = small.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return big.join(small, list(on), how)
