@@ -27,7 +27,7 @@ HYBRID = HybridConfig(boost=replace(BOOST, trees=2, depth=2), autoencoder=AUTOEN
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, split and scaled; classes are benign, gafgyt and mirai."""
     rows = view(spark, sf_dir, "vectors").withColumn("label", F.split_part("label", F.lit("_"), F.lit(1)))
-    parts = stratified_split(rows, "label", "row_key")
+    parts = materialize(stratified_split(rows, "label", "row_key"), "splits", "split")
     params = prep.fit_preprocessor(parts.where("split = 'train'"), VECTOR_FEATURES)
     return materialize(prep.transform(parts, params, keep=["row_key", "label", "split"]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -14,21 +15,45 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def number(value: Column | str) -> Column:
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def sql_double(value: float) -> str:
+    """A double literal. Wide tables are described as SQL text: one parsed string per column is far
+    cheaper to build than a tree of column objects."""
+    if math.isnan(value):
+        return "double('NaN')"
+    if math.isinf(value):
+        return "double('Infinity')" if value > 0 else "double('-Infinity')"
+    return f"({float(value)!r}D)"
+
+
+def number_sql(text: str) -> str:
     """Double with NaN turned into null, so that both kinds of missing are one."""
-    column = as_column(value).cast("double")
-    return F.when(~F.isnan(column), column)
+    return f"nanvl(CAST({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-def coerced(value: Column | str) -> Column:
+def coerced_sql(text: str) -> str:
     """Text or number to double; what cannot be parsed is null."""
-    column = as_column(value).try_cast("double")
-    return F.when(~F.isnan(column), column)
+    return f"nanvl(TRY_CAST({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def finite_sql(text: str) -> str:
+    value = coerced_sql(text)
+    return f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
+
+
+def number(column: str) -> Column:
+    return F.expr(number_sql(quoted(column)))
+
+
+def coerced(column: str) -> Column:
+    return F.expr(coerced_sql(quoted(column)))
 
 
-def finite(value: Column | str) -> Column:
-    column = number(value)
-    return F.when(F.abs(column) < F.lit(INFINITY), column)
+def finite(column: str) -> Column:
+    return F.expr(finite_sql(quoted(column)))
 
 
 def rounded(value: Column | str) -> Column:
@@ -50,7 +75,7 @@ def hash_order(seed: Column | int | str, key: Column | str) -> Column:
 
 
 def double_array(values: Iterable[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr(f"array({', '.join(sql_double(v) for v in values)})")
 
 
 def unpivot_sql(columns: Sequence[str], name: str = "feature_id", value: str = "value") -> str:
@@ -59,13 +84,12 @@ def unpivot_sql(columns: Sequence[str], name: str = "feature_id", value: str = "
     return f"stack({len(columns)}, {cells}) AS ({name}, {value})"
 
 
-def bin_index(value: Column, edges: Sequence[float]) -> Column:
-    """Histogram bin: half-open, last bin closed, null outside the edges."""
-    above = [F.when(value >= F.lit(float(e)), 1).otherwise(0) for e in edges[1:-1]]
-    index = F.lit(0)
-    for step in above:
-        index = index + step
-    return F.when((value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1]))), index)
+def bin_sql(text: str, edges: Sequence[float]) -> str:
+    """Histogram bin of a value: half-open, last bin closed, null outside the edges or without any bin."""
+    if len(edges) < 2:
+        return "CAST(NULL AS INT)"
+    above = " + ".join(["0", *[f"CAST({text} >= {sql_double(e)} AS INT)" for e in edges[1:-1]]])
+    return f"CASE WHEN {text} BETWEEN {sql_double(edges[0])} AND {sql_double(edges[-1])} THEN {above} END"
 
 
 def fixed_text(value: Column | str, digits: int) -> Column:

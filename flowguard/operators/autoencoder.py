@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import AutoencoderConfig
-from flowguard.functions.columns import as_column
+from flowguard.functions.columns import quoted, sql_double
 from flowguard.operators.prep import require_columns
-from flowguard.session import driver_rows, materialize
+from flowguard.session import materialize
 
 # Adam constants.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -105,7 +105,7 @@ class Autoencoder:
 
     @staticmethod
     def from_frame(table: DataFrame) -> "Autoencoder":
-        pdf = table.orderBy("layer", "row", "col").toPandas()
+        pdf = table.toPandas().sort_values(["layer", "row", "col"])
         head = pdf[pdf.layer == -1]
         if head.empty:
             raise ValueError("the autoencoder table has no feature weights")
@@ -129,20 +129,18 @@ class Autoencoder:
             x = np.stack(cells.to_numpy()) if len(cells) else np.zeros((0, sizes[0]))
             return pd.Series(list(forward(x, unflatten(state.value, sizes))[-1]))
 
-        x = F.array(*[F.col(f).cast("double") for f in self.features])
-        rebuilt = df.withColumn("__x", x).withColumn("__rebuilt", reconstruct("__x"))
+        rebuilt = df.withColumn("__x", feature_array(self.features)).withColumn("__rebuilt", reconstruct("__x"))
         return rebuilt.withColumn(output, reconstruction_error("__x", "__rebuilt", self.weights)).drop("__x", "__rebuilt")
 
 
-def reconstruction_error(original: Column | str, rebuilt: Column | str, weights: Sequence[float]) -> Column:
-    """Mean over features of w * (x - x̂)², out of two arrays."""
-    terms = [
-        (as_column(original)[i] - as_column(rebuilt)[i])
-        * (as_column(original)[i] - as_column(rebuilt)[i])
-        * F.lit(float(w))
-        for i, w in enumerate(weights)
-    ]
-    return sum(terms[1:], terms[0]) / F.lit(float(len(terms)))
+def feature_array(features: Sequence[str]) -> Column:
+    return F.expr(f"array({', '.join(f'CAST({quoted(f)} AS DOUBLE)' for f in features)})")
+
+
+def reconstruction_error(original: str, rebuilt: str, weights: Sequence[float]) -> Column:
+    """Mean over features of w * (x - x̂)², out of two array columns."""
+    terms = [f"pow({original}[{i}] - {rebuilt}[{i}], 2) * {sql_double(w)}" for i, w in enumerate(weights)]
+    return F.expr(f"({' + '.join(terms)}) / {float(len(terms))}D")
 
 
 def fit_autoencoder(
@@ -159,8 +157,7 @@ def fit_autoencoder(
     aligned = np.array([given.get(f, mean) for f in features])
     spark = benign.sparkSession
     # The epochs re-read one materialised table of feature arrays.
-    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
-    rows = materialize(benign.select(x))
+    rows = materialize(benign.select(feature_array(features).alias("x")))
     total = rows.count()
     if total == 0:
         raise ValueError("no benign rows to train on")
@@ -177,7 +174,7 @@ def fit_autoencoder(
         # One weighted sum per parameter; the loss travels as one more position.
         long = parts.select("n", F.posexplode(F.concat(F.array("loss"), "params")).alias("pos", "value"))
         means = long.groupBy("pos").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
-        table = means.orderBy("pos").toPandas()
+        table = means.toPandas().sort_values("pos")
         losses.append(float(table.value.iloc[0]))
         flat = table.value.to_numpy()[1:]
         shared.unpersist()

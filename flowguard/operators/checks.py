@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.config import FAMILY, LABEL, METADATA, SOURCE
-from flowguard.functions.columns import INFINITY, number
-
-VIOLATION_SCHEMA = "row_key, column, check, failure_case"
-
+from flowguard.functions.columns import INFINITY, number_sql, quoted
 
 def duplicate_columns(names: Sequence[str]) -> list[str]:
     return sorted(n for n, times in Counter(names).items() if times > 1)
@@ -43,29 +40,18 @@ def _violations(df: DataFrame, features: Sequence[str], strings: Sequence[str],
     """One pass: every row emits its own failures, so nothing is shuffled."""
     checks = []
     for f in features:
-        text, value = F.col(f).cast("string"), F.col(f).try_cast("double")
-        checks.append(
-            F.when(
-                F.col(f).isNotNull() & value.isNull(),
-                F.struct(F.lit(f).alias("column"), F.lit("coerce_double").alias("check"), text.alias("failure_case")),
-            )
-        )
-        checks.append(
-            F.when(
-                F.abs(value) == F.lit(INFINITY),
-                F.struct(F.lit(f).alias("column"), F.lit("not_infinite").alias("check"), text.alias("failure_case")),
-            )
-        )
-    for s in strings:
-        checks.append(
-            F.when(
-                F.col(s).isNull(),
-                F.struct(
-                    F.lit(s).alias("column"), F.lit("not_null").alias("check"), F.lit(None).cast("string").alias("failure_case")
-                ),
-            )
-        )
-    return df.select(F.col(key).alias("row_key"), F.explode(F.array_compact(F.array(*checks))).alias("v")).select(
+        cell, value = quoted(f), f"TRY_CAST({quoted(f)} AS DOUBLE)"
+        for check, failed in (
+            ("coerce_double", f"{cell} IS NOT NULL AND {value} IS NULL"),
+            ("not_infinite", f"abs({value}) = double('Infinity')"),
+        ):
+            checks.append((failed, f, check, f"CAST({cell} AS STRING)"))
+    checks += [(f"{quoted(s)} IS NULL", s, "not_null", "CAST(NULL AS STRING)") for s in strings]
+    cells = ", ".join(
+        f"CASE WHEN {failed} THEN named_struct('column', '{column}', 'check', '{check}', 'failure_case', {text}) END"
+        for failed, column, check, text in checks
+    )
+    return df.selectExpr(f"{quoted(key)} AS row_key", f"explode(array_compact(array({cells}))) AS v").select(
         "row_key", "v.column", "v.check", "v.failure_case"
     )
 
@@ -111,7 +97,8 @@ def quality_summary(
     present = [f for f in wanted if f in df.columns]
     if not present:
         raise ValueError("no feature column of the schema is present")
-    share = sum((F.avg(number(f).isNull().cast("double")) for f in present), F.lit(0.0)) / F.lit(float(len(present)))
+    missing = " + ".join(f"avg(CAST({number_sql(quoted(f))} IS NULL AS DOUBLE))" for f in present)
+    share = F.expr(f"({missing}) / {float(len(present))}D")
     return df.agg(
         F.count("*").alias("rows"),
         F.lit(len(df.columns)).alias("columns"),

@@ -8,9 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowguard.config import DriftConfig, RetrainingPolicy
-from flowguard.functions.columns import as_column, bin_index, coerced, finite, unpivot_sql
+from flowguard.functions.columns import (
+    as_column,
+    bin_sql,
+    coerced_sql,
+    double_array,
+    finite_sql,
+    quoted,
+    unpivot_sql,
+)
 from flowguard.operators.prefix import ROWS_PER_BUCKET, bucket_offsets, value_splits, within_bucket
 from flowguard.operators.quantiles import bucketed, exact_quantiles
+from flowguard.session import driver_rows
 
 # Share used for an empty PSI bin, severity ranks and cuts.
 EMPTY_BIN_SHARE = 0.0001
@@ -30,7 +39,7 @@ def common_columns(reference: DataFrame, current: DataFrame, excluded: Sequence[
 def psi_edges(reference: DataFrame, features: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
     """Distinct reference quantiles at 0, 1/bins, ..., 1 per feature; empty for a feature without values."""
     levels = [i / bins for i in range(bins + 1)]
-    table = reference.select(*[finite(coerced(f)).alias(f) for f in features])
+    table = reference.selectExpr(*[f"{finite_sql(quoted(f))} AS {quoted(f)}" for f in features])
     return {f: sorted(set(q)) if q else [] for f, q in exact_quantiles(table, features, levels).items()}
 
 
@@ -44,11 +53,8 @@ def share_term(reference: Column, reference_total: Column, current: Column, curr
     return (c - r) * F.log(c / r)
 
 
-def _both_sides(reference: DataFrame, current: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    picked = [c.alias(n) for n, c in columns.items()]
-    return reference.select(F.lit(0).alias("side"), *picked).unionByName(
-        current.select(F.lit(1).alias("side"), *picked)
-    )
+def _both_sides(reference: DataFrame, current: DataFrame, cells: Sequence[str]) -> DataFrame:
+    return reference.selectExpr("0 AS side", *cells).unionByName(current.selectExpr("1 AS side", *cells))
 
 
 def population_stability(
@@ -61,12 +67,9 @@ def population_stability(
 
     Bins are computed in the scan and only (feature, bin) counts are shuffled.
     """
-    bins = {
-        f: bin_index(finite(coerced(f)), edges[f]) if len(edges[f]) > 1 else F.lit(None).cast("int") for f in features
-    }
-    present = {f"{f}__present": finite(coerced(f)).isNotNull() for f in features}
-    cells = ", ".join(f"{i}, `{f}`, `{f}__present`" for i, f in enumerate(features))
-    long = _both_sides(reference, current, {**bins, **present}).selectExpr(
+    values = [f"{finite_sql(quoted(f))} AS v{i}" for i, f in enumerate(features)]
+    cells = ", ".join(f"{i}, {bin_sql(f'v{i}', edges[f])}, v{i} IS NOT NULL" for i, f in enumerate(features))
+    long = _both_sides(reference, current, values).selectExpr(
         "side", f"stack({len(features)}, {cells}) AS (feature_id, bin, present)"
     )
     counts = long.groupBy("feature_id", "bin").agg(
@@ -113,8 +116,8 @@ def kolmogorov_smirnov(
     Values are counted per (feature, value), then walked in value buckets; a bucket only reports its
     totals and the extremes of its local difference, which the offsets of earlier buckets shift.
     """
-    both = _both_sides(reference, current, {f: coerced(f) for f in features})
-    sizes = both.groupBy("side").agg(F.count("*").alias("rows"), *[F.count(f).alias(f) for f in features]).collect()
+    both = _both_sides(reference, current, [f"{coerced_sql(quoted(f))} AS {quoted(f)}" for f in features])
+    sizes = both.groupBy("side").agg(F.count("*").alias("rows"), *[F.expr(f"count({quoted(f)}) AS {quoted(f)}") for f in features]).collect()
     n = {(r.side, f): r[f] for r in sizes for f in features}
     n_ref, n_cur = [n.get((0, f), 0) for f in features], [n.get((1, f), 0) for f in features]
     splits = value_splits(both, features, rows_per_bucket, rows=sum(r.rows for r in sizes))
@@ -125,8 +128,8 @@ def kolmogorov_smirnov(
         .agg(F.count_if(F.col("side") == 0).alias("ref"), F.count_if(F.col("side") == 1).alias("cur"))
     )
     at = F.col("feature_id") + 1
-    ref_size = F.element_at(F.array(*[F.lit(float(max(v, 1))) for v in n_ref]), at)
-    cur_size = F.element_at(F.array(*[F.lit(float(max(v, 1))) for v in n_cur]), at)
+    ref_size = F.element_at(double_array([max(v, 1) for v in n_ref]), at)
+    cur_size = F.element_at(double_array([max(v, 1) for v in n_cur]), at)
     window = within_bucket(["feature_id"], "value", inclusive=True)
     local = bucketed(counts, "value", splits, "bucket").withColumn(
         "gap", F.sum("ref").over(window) / ref_size - F.sum("cur").over(window) / cur_size
@@ -259,6 +262,8 @@ def drift_report(results: DataFrame, metric_pairs: DataFrame, cfg: DriftConfig =
     The feature table has one row per column, so its list and its summary are one bounded row.
     """
     record = F.struct("feature", "psi", "ks_statistic", "ks_pvalue", "drifted")
+    # One row per feature: computed once, used for the list and for the summary.
+    results = results.sparkSession.createDataFrame(driver_rows(results, "feature drift"), results.schema)
     row = (
         results.agg(F.sort_array(F.collect_list(F.when(F.col("drifted"), record))).alias("drifted_features"))
         .withColumn("one", F.lit(1))

@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import METADATA, PrepConfig
-from flowguard.functions.columns import number, unpivot_sql
+from flowguard.functions.columns import number_sql, quoted, sql_double, unpivot_sql
 from flowguard.operators.quantiles import EXACT_ROWS, exact_quantiles
 from flowguard.session import attach_rows, driver_rows
 
 PARAM_SCHEMA = (
     "ord int, feature string, fill double, lower double, upper double, mean double, std double, scaled boolean"
 )
-LABEL_SCHEMA = "label string, label_id int"
 
 
 @dataclass(frozen=True)
@@ -59,28 +58,28 @@ def feature_columns(df: DataFrame, metadata: Sequence[str] = METADATA, limit: in
     return names[:limit] if limit > 0 else names
 
 
-def imputed(params: FeatureParams) -> Column:
-    return F.coalesce(number(params.feature), F.lit(float(params.fill)))
+def imputed(params: FeatureParams) -> str:
+    return f"coalesce({number_sql(quoted(params.feature))}, {sql_double(params.fill)})"
 
 
-def clipped(params: FeatureParams) -> Column:
+def clipped(params: FeatureParams) -> str:
     value = imputed(params)
     if params.lower is None:
         return value
-    return F.least(F.greatest(value, F.lit(params.lower)), F.lit(params.upper))
+    return f"least(greatest({value}, {sql_double(params.lower)}), {sql_double(params.upper)})"
 
 
-def transformed(params: FeatureParams) -> Column:
+def transformed(params: FeatureParams) -> str:
     value = clipped(params)
     if not params.scaled:
         return value
-    return (value - F.lit(params.mean)) / F.lit(params.std if params.std else 1.0)
+    return f"({value} - {sql_double(params.mean)}) / {sql_double(params.std if params.std else 1.0)}"
 
 
 def fit_impute(
     df: DataFrame, features: Sequence[str], cfg: PrepConfig = PrepConfig(), exact_rows: int = EXACT_ROWS
 ) -> PrepParams:
-    present = df.select(*[number(f).alias(f) for f in features])
+    present = df.selectExpr(*[f"{number_sql(quoted(f))} AS {quoted(f)}" for f in features])
     if cfg.impute_strategy == "constant":
         fills: dict[str, float | None] = {f: cfg.impute_constant for f in features}
     elif cfg.impute_strategy == "median":
@@ -109,7 +108,7 @@ def fit_impute(
 def fit_clip(
     df: DataFrame, params: PrepParams, cfg: PrepConfig = PrepConfig(), exact_rows: int = EXACT_ROWS
 ) -> PrepParams:
-    table = df.select(*[imputed(p).alias(p.feature) for p in params.features])
+    table = df.selectExpr(*[f"{imputed(p)} AS {quoted(p.feature)}" for p in params.features])
     bounds = exact_quantiles(table, params.names, list(cfg.clip_quantiles), exact_rows)
     return PrepParams(
         tuple(replace(p, lower=bounds[p.feature][0], upper=bounds[p.feature][1]) for p in params.features)
@@ -119,9 +118,9 @@ def fit_clip(
 def fit_scale(df: DataFrame, params: PrepParams, cfg: PrepConfig = PrepConfig()) -> PrepParams:
     if not cfg.scale:
         return params
-    row = df.agg(
-        *[F.avg(clipped(p)).alias(f"m{p.ord}") for p in params.features],
-        *[F.stddev_pop(clipped(p)).alias(f"s{p.ord}") for p in params.features],
+    row = df.selectExpr(
+        *[f"avg({clipped(p)}) AS m{p.ord}" for p in params.features],
+        *[f"stddev_pop({clipped(p)}) AS s{p.ord}" for p in params.features],
     ).first()
     return PrepParams(
         tuple(replace(p, mean=row[f"m{p.ord}"], std=row[f"s{p.ord}"], scaled=True) for p in params.features)
@@ -147,13 +146,9 @@ def transform(df: DataFrame, params: PrepParams, keep: Sequence[str] | None = No
     """One projection; ``keep`` names the columns that pass through (default: all the others)."""
     require_columns(df, params.names, "feature")
     passing = [c for c in df.columns if c not in set(params.names)] if keep is None else list(keep)
-    return df.select(*passing, *[transformed(p).alias(p.feature) for p in params.features])
-
-
-def label_dimension(train: DataFrame, label: str = "label") -> DataFrame:
-    """Ids are the ranks of the sorted distinct training labels."""
-    labels = label_classes(train, label)
-    return train.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), LABEL_SCHEMA)
+    return df.selectExpr(
+        *[quoted(c) for c in passing], *[f"{transformed(p)} AS {quoted(p.feature)}" for p in params.features]
+    )
 
 
 def label_classes(train: DataFrame, label: str = "label") -> list[str]:

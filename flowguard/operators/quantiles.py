@@ -11,10 +11,10 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import double_array
+from flowguard.functions.columns import double_array, quoted, sql_double
 from flowguard.session import attach_rows, driver_rows, materialize
 
 EXACT_ROWS = 1_000_000
@@ -105,12 +105,11 @@ def interpolate(position: float, low: float, high: float) -> float:
     return (upper - position) * low + (position - lower) * high
 
 
-def _edge_code(value: Column, edges: Sequence[float]) -> Column:
-    """2i for a value between edge i-1 and edge i, 2i+1 for edge i itself."""
-    code = F.lit(0)
-    for e in edges:
-        code = code + F.when(value > F.lit(e), 2).when(value == F.lit(e), 1).otherwise(0)
-    return code
+def _edge_code(column: str, edges: Sequence[float]) -> str:
+    """2i for a value between edge i-1 and edge i, 2i+1 for edge i itself, null for null."""
+    cell = quoted(column)
+    steps = [f"CAST({cell} >= {sql_double(e)} AS INT) + CAST({cell} > {sql_double(e)} AS INT)" for e in edges]
+    return f"CASE WHEN {cell} IS NOT NULL THEN {' + '.join(['0', *steps])} END"
 
 
 def exact_quantiles(
@@ -128,20 +127,19 @@ def exact_quantiles(
     """
     margin = 2.0 / SKETCH_ACCURACY
     ends = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)} | {0.0, 1.0})
-    levels = double_array(ends)
-    first = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, levels, F.lit(SKETCH_ACCURACY)).alias(f"e{i}") for i, c in enumerate(columns)],
+    levels = f"array({', '.join(sql_double(e) for e in ends)})"
+    first = df.selectExpr(
+        *[f"count({quoted(c)}) AS n{i}" for i, c in enumerate(columns)],
+        *[f"percentile_approx({quoted(c)}, {levels}, {SKETCH_ACCURACY}) AS e{i}" for i, c in enumerate(columns)],
     ).first()
     counts = [first[f"n{i}"] for i in range(len(columns))]
     if max(counts, default=0) <= direct_rows:
-        levels = double_array(probabilities)
-        row = df.agg(*[F.percentile(c, levels).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        levels = f"array({', '.join(sql_double(p) for p in probabilities)})"
+        row = df.selectExpr(*[f"percentile({quoted(c)}, {levels}) AS q{i}" for i, c in enumerate(columns)]).first()
         return {c: (list(row[f"q{i}"]) if counts[i] else None) for i, c in enumerate(columns)}
     edges = [sorted(set(first[f"e{i}"] or [])) for i in range(len(columns))]
-    codes = [F.when(F.col(c).isNotNull(), _edge_code(F.col(c), edges[i])).alias(f"c{i}") for i, c in enumerate(columns)]
     cells = ", ".join(f"{i}, c{i}" for i in range(len(columns)))
-    coded = df.select(*codes).selectExpr(f"stack({len(columns)}, {cells}) AS (feature_id, code)")
+    coded = df.selectExpr(*[f"{_edge_code(c, edges[i])} AS c{i}" for i, c in enumerate(columns)]).selectExpr(f"stack({len(columns)}, {cells}) AS (feature_id, code)")
     bins: dict[int, list[tuple[int, int]]] = {}
     for r in coded.where("code IS NOT NULL").groupBy("feature_id", "code").agg(F.count("*").alias("n")).collect():
         bins.setdefault(r.feature_id, []).append((r.code, r.n))
@@ -160,19 +158,15 @@ def exact_quantiles(
                 inside.setdefault(f"{i}:{code}", []).append((i, rank, rank - below))
     if inside:
         # Rows outside every needed bracket are dropped before anything else is computed.
-        cells = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        (F.col(columns[i]) > F.lit(edges[i][code // 2 - 1])) & (F.col(columns[i]) < F.lit(edges[i][code // 2])),
-                        F.struct(F.lit(b).alias("group"), F.col(columns[i]).cast("double").alias("value")),
-                    )
-                    for b in inside
-                    for i, code in [map(int, b.split(":"))]
-                ]
+        cells = []
+        for b in inside:
+            i, code = map(int, b.split(":"))
+            cell, low, high = quoted(columns[i]), edges[i][code // 2 - 1], edges[i][code // 2]
+            cells.append(
+                f"CASE WHEN {cell} > {sql_double(low)} AND {cell} < {sql_double(high)} "
+                f"THEN named_struct('group', '{b}', 'value', CAST({cell} AS DOUBLE)) END"
             )
-        )
-        rows = df.select(F.explode(cells).alias("r")).select("r.group", "r.value")
+        rows = df.selectExpr(f"explode(array_compact(array({', '.join(cells)}))) AS r").select("r.group", "r.value")
         largest = max(n for i, found in bins.items() for code, n in found if f"{i}:{code}" in inside)
         picked = kth_smallest(rows, {b: [k for _, _, k in t] for b, t in inside.items()}, exact_rows, largest)
         at.update({(i, rank): picked[(b, k)] for b, t in inside.items() for i, rank, k in t})

@@ -89,18 +89,3 @@ def attach_rows(
     """Equi-join with lookup rows the driver already holds: broadcast if few, shuffled (AQE splits skew) otherwise."""
     small = big.sparkSession.createDataFrame(list(rows), schema)
     return big.join(F.broadcast(small) if len(rows) <= max_rows else small, list(on), how)
-
-
-def attach(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Equi-join with a lookup table: broadcast when counted small, shuffled (AQE splits skew) otherwise."""
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return big.join(small, list(on), how)
-    local = big.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(local), list(on), how)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from flowguard.config import BENIGN, FAMILY, LABEL, SOURCE
 from flowguard.operators.ordering import first_rows_per_group
+from flowguard.session import driver_rows
 from flowguard.sources.stores import path_exists
 
 LOGGER = logging.getLogger(__name__)
@@ -124,7 +125,7 @@ def device_filter(df: DataFrame, path: str, device: str) -> DataFrame:
 
 def write_tree(df: DataFrame, path_column: str, root: str, columns: Sequence[str]) -> list[str]:
     """Writes the rows as a CSV tree, one folder per source path; returns the source paths."""
-    paths = sorted(r[0] for r in df.select(path_column).distinct().collect())
+    paths = sorted(r[0] for r in driver_rows(df.select(path_column).distinct(), "source paths"))
     for p in paths:
         (
             df.where(F.col(path_column) == p)

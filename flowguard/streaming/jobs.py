@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import bin_index, coerced, finite
+from flowguard.functions.columns import bin_sql, double_array, finite_sql, quoted
 from flowguard.operators.drift import EMPTY_BIN_SHARE
 from flowguard.operators.monitor import session_metrics, window_metrics
 from flowguard.operators.scoring import SignalRange, fuse, with_dual_score
@@ -78,12 +78,9 @@ def windowed_bins(
 ) -> DataFrame:
     """Histogram of every feature per window over fixed reference edges: one count per bin."""
     features = list(edges)
-    bins = [
-        (bin_index(finite(coerced(f)), edges[f]) if len(edges[f]) > 1 else F.lit(None).cast("int")).alias(f)
-        for f in features
-    ]
-    cells = ", ".join(f"{i}, `{f}`" for i, f in enumerate(features))
-    long = rows.select(time, *bins).selectExpr(time, f"stack({len(features)}, {cells}) AS (feature_id, bin)")
+    values = [f"{finite_sql(quoted(f))} AS v{i}" for i, f in enumerate(features)]
+    cells = ", ".join(f"{i}, {bin_sql(f'v{i}', edges[f])}" for i, f in enumerate(features))
+    long = rows.selectExpr(time, *values).selectExpr(time, f"stack({len(features)}, {cells}) AS (feature_id, bin)")
     most = max(len(e) for e in edges.values()) - 1
     counts = F.array(*[F.count_if(F.col("bin") == b) for b in range(max(most, 1))])
     return (
@@ -97,14 +94,11 @@ def windowed_bins(
 def window_psi(bins: DataFrame, reference: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """Index of every window and feature against the reference counts of the same bins."""
     features = list(edges)
-    counts = reference.select(
+    counts = reference.selectExpr(
+        *[f"{bin_sql(finite_sql(quoted(f)), edges[f])} AS b{i}" for i, f in enumerate(features)]
+    ).selectExpr(
         *[
-            (bin_index(finite(coerced(f)), edges[f]) if len(edges[f]) > 1 else F.lit(None).cast("int")).alias(f)
-            for f in features
-        ]
-    ).agg(
-        *[
-            F.count_if(F.col(f) == b).alias(f"n{i}_{b}")
+            f"count_if(b{i} = {b}) AS n{i}_{b}"
             for i, f in enumerate(features)
             for b in range(max(len(edges[f]) - 1, 1))
         ]
@@ -113,7 +107,7 @@ def window_psi(bins: DataFrame, reference: DataFrame, edges: dict[str, list[floa
     for i, f in enumerate(features):
         n = [counts[f"n{i}_{b}"] for b in range(max(len(edges[f]) - 1, 1))]
         total = max(sum(n), 1)
-        shares.append(F.array(*[F.lit(c / total if c else EMPTY_BIN_SHARE) for c in n]))
+        shares.append(double_array([c / total if c else EMPTY_BIN_SHARE for c in n]))
     at = F.col("feature_id") + 1
     table = bins.withColumns(
         {
