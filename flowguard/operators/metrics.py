@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowguard.functions.columns import fixed_text, ratio
 from flowguard.operators.prefix import ROWS_PER_BUCKET, bucket_offsets, running_totals, value_splits, within_bucket
 from flowguard.operators.quantiles import bucketed
-from flowguard.session import driver_rows
+from flowguard.session import driver_rows, materialize
 
 
 def _labelled_counts(y: str, pred: str) -> dict[str, Column]:
@@ -47,21 +47,23 @@ def binary_metrics(
     return table.withColumn("one", F.lit(1)).join(areas.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """Positive and negative rows per distinct score, with the score's bucket."""
+def score_counts(
+    df: DataFrame, y: str, score: str, by: Sequence[str], rows_per_bucket: int
+) -> tuple[DataFrame, bool]:
+    """Positive and negative rows per distinct score with the score's bucket; tells if there are several buckets."""
     rows = df.select(*by, F.col(y).alias("y"), F.col(score).cast("double").alias("score"))
     splits = value_splits(rows, ["score"], rows_per_bucket)
     counts = rows.groupBy(*by, "score").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
-    return bucketed(counts, "score", splits, "bucket")
+    return bucketed(counts, "score", splits, "bucket"), bool(splits)
 
 
 def auroc(
     df: DataFrame, y: str, score: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """P(score of a positive > score of a negative) + half of the ties; null for a single class."""
-    counts = score_counts(df, y, score, by, rows_per_bucket)
+    counts, _ = score_counts(df, y, score, by, rows_per_bucket)
     below = F.coalesce(F.sum("neg").over(within_bucket(by, "score", inclusive=False)), F.lit(0))
     buckets = (
         counts.withColumn("won", F.col("pos") * (below.cast("double") + F.col("neg") / F.lit(2.0)))
@@ -78,14 +80,20 @@ def roc_points(
     df: DataFrame, y: str, score: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score: the rates of rows with score >= threshold."""
-    counts = score_counts(df, y, score, by, rows_per_bucket)
-    running = running_totals(counts, by, "score", {"pos_below": "pos", "neg_below": "neg"})
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
-    if by:
-        joined = running.join(totals, list(by))
+    counts, several = score_counts(df, y, score, by, rows_per_bucket)
+    if several:
+        # The distinct scores are read three times.
+        counts = materialize(counts, "score-counts")
+    joined = running_totals(counts, by, "score", {"pos_below": "pos", "neg_below": "neg"}, several)
+    if not several:
+        group = Window.partitionBy(*by, "bucket")
+        joined = joined.withColumns({f"{n}_all": F.sum(n).over(group) for n in ("pos", "neg")})
+    elif by:
+        totals = counts.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
+        joined = joined.join(totals, list(by))
     else:
-        row = totals.first()
-        joined = running.withColumns({"pos_all": F.lit(row.pos_all), "neg_all": F.lit(row.neg_all)})
+        row = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+        joined = joined.withColumns({"pos_all": F.lit(row.pos), "neg_all": F.lit(row.neg)})
     rate = {n: (F.col(f"{n}_all") - F.col(f"{n}_below")).cast("double") for n in ("pos", "neg")}
     return joined.select(
         *by,

@@ -19,6 +19,7 @@ from flowguard.session import attach_rows, driver_rows
 PREFIX_DIGITS = 4  # 65,536 hash prefixes where a table is ranked whole
 ROWS_PER_PREFIX = 100_000
 MAX_PREFIX_DIGITS = 5
+LARGEST_EXACT_KEY = 2**53  # keys are compared as doubles
 
 
 def prefix_digits(largest_group: int) -> int:
@@ -103,7 +104,12 @@ def first_rows_per_group(df: DataFrame, group: str, key: str, cap: int) -> DataF
     """
     if cap <= 0:
         return df.limit(0)
-    sizes = driver_rows(df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n")), "groups to cap")
+    sizes = driver_rows(
+        df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.max(F.abs(F.col(key))).alias("top")),
+        "groups to cap",
+    )
+    if any(r.top is not None and r.top >= LARGEST_EXACT_KEY for r in sizes):
+        raise ValueError("the row order key must stay below 2^53 in magnitude")
     ranks = {r.group: [cap - 1] for r in sizes if r.n > cap}
     if not ranks:
         return df

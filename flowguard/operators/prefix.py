@@ -50,17 +50,21 @@ def bucket_offsets(totals: DataFrame, by: Sequence[str], sums: dict[str, str]) -
     )
 
 
-def running_totals(counts: DataFrame, by: Sequence[str], value: str, sums: dict[str, str]) -> DataFrame:
+def running_totals(
+    counts: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], several_buckets: bool = True
+) -> DataFrame:
     """Adds to every distinct value the totals of all smaller values of its group.
 
     ``counts`` has one row per (by, value) and a ``bucket`` column; ``sums`` maps new to summed columns.
     """
     keys = [*by, "bucket"]
+    window = within_bucket(by, value, inclusive=False)
+    if not several_buckets:
+        return counts.withColumns({n: F.coalesce(F.sum(c).over(window), F.lit(0)) for n, c in sums.items()})
     totals = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums.values()])
     offsets = bucket_offsets(totals, by, {f"{n}__before": c for n, c in sums.items()}).select(
         *keys, *[f"{n}__before" for n in sums]
     )
-    window = within_bucket(by, value, inclusive=False)
     local = counts.withColumns({f"{n}__local": F.coalesce(F.sum(c).over(window), F.lit(0)) for n, c in sums.items()})
     joined = local.join(offsets, keys)
     names: dict[str, Column] = {n: F.col(f"{n}__local") + F.col(f"{n}__before") for n in sums}

@@ -16,7 +16,7 @@ from flowguard.functions.columns import as_column, fixed_text
 NAMESPACE = "hybrid"
 CHAMPION = "fusion"
 VERSION_DIGITS = 12
-PROMOTED_FROM = "exp1_ae_vs_baseline + exp2_loao"
+PROMOTED_FROM = "baseline experiment + leave-one-attack-out experiment"
 PASSED = "passed promotion gates"
 
 

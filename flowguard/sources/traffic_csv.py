@@ -6,13 +6,13 @@ import hashlib
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowguard.config import BENIGN, FAMILY, LABEL, SOURCE
 from flowguard.operators.ordering import first_rows_per_group
-from flowguard.session import driver_rows
+from flowguard.session import attach_rows, driver_rows
 from flowguard.sources.stores import path_exists
 
 LOGGER = logging.getLogger(__name__)
@@ -21,6 +21,9 @@ LOGGER = logging.getLogger(__name__)
 ATTACK_PATH = r"([^/]+)_attacks/([^/]+)\.csv"
 FILE_NAME = r"([^/]+\.csv)"
 
+PATH, BLOCK = "__path", "__block"
+BLOCK_LIMIT = 2_000_000
+
 
 def path_columns(path: Column | str) -> dict[str, Column]:
     """label, attack_family and source_file out of ``.../<family>_attacks/<stem>.csv``."""
@@ -63,7 +66,11 @@ def feature_schema(names: Sequence[str]) -> T.StructType:
 
 
 def scan(
-    spark: SparkSession, benign: str, attack_dirs: Sequence[str], features: Sequence[str] | None = None
+    spark: SparkSession,
+    benign: str,
+    attack_dirs: Sequence[str],
+    features: Sequence[str] | None = None,
+    max_rows_per_file: int | None = None,
 ) -> DataFrame:
     """One multi-path scan of all files: float features plus the three metadata columns.
 
@@ -79,8 +86,41 @@ def scan(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(paths)
+        .select("*", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias(BLOCK))
+    )
+    rows = raw if max_rows_per_file is None else first_rows_of_files(raw, max_rows_per_file)
+    return rows.withColumns(path_columns(PATH)).drop(PATH, BLOCK)
+
+
+def first_rows_of_files(rows: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` rows of every file, in file order.
+
+    Rows are counted per input block; blocks before the one where the cap ends are kept whole, and only
+    the rows of that block (one input split) are numbered.
+    """
+    if cap <= 0:
+        return rows.limit(0)
+    sizes = driver_rows(rows.groupBy(PATH, BLOCK).agg(F.count("*").alias("n")), "input blocks", limit=BLOCK_LIMIT)
+    ends, seen = {}, {}
+    for path, block, n in sorted((r[PATH], r[BLOCK], r.n) for r in sizes):
+        before = seen.get(path, 0)
+        if before < cap <= before + n:
+            ends[path] = (block, cap - before)
+        seen[path] = before + n
+    cut = [(p, b, need) for p, (b, need) in ends.items()]
+    schema = f"{PATH} string, __end bigint, __need bigint"
+    marked = attach_rows(rows, cut, schema, [PATH]) if cut else rows.withColumns({"__end": F.lit(None), "__need": F.lit(None)})
+    whole = marked.where(F.col("__end").isNull() | (F.col(BLOCK) < F.col("__end"))).select(*rows.columns)
+    if not cut:
+        return whole
+    place = Window.partitionBy(PATH).orderBy("__id")
+    last = (
+        marked.where(F.col(BLOCK) == F.col("__end"))
+        .withColumn("__id", F.monotonically_increasing_id())
+        .withColumn("__no", F.row_number().over(place))
+        .where(F.col("__no") <= F.col("__need"))
     )
-    return raw.withColumns(path_columns(F.col("_metadata.file_path")))
+    return whole.unionByName(last.select(*rows.columns))
 
 
 def load(
@@ -93,19 +133,21 @@ def load(
 ) -> DataFrame:
     """Whole data set, optionally the first rows of each file, optionally through a parquet cache.
 
-    The cache entry is named by the inputs and the row cap, so a different cap is never served from it.
+    "First" follows ``order_key`` if one is given and the order of the lines in the file otherwise. The cache entry is named by the inputs and the row cap, so a different cap is never served from it.
     """
-    if max_rows_per_file is not None and order_key is None:
-        raise ValueError("a row cap needs the column that gives the row order of a file")
     entry = None
     if cache_dir is not None:
         identity = "|".join([benign, *attack_dirs, str(order_key), str(max_rows_per_file)])
         entry = f"{cache_dir}/{hashlib.sha256(identity.encode()).hexdigest()[:16]}"
         if path_exists(spark, f"{entry}/_SUCCESS"):
             return spark.read.parquet(entry)
-    table = scan(spark, benign, attack_dirs)
-    if max_rows_per_file is not None:
-        table = first_rows_per_group(table, SOURCE, order_key, max_rows_per_file)
+    if order_key is None:
+        table = scan(spark, benign, attack_dirs, max_rows_per_file=max_rows_per_file)
+    else:
+        table = scan(spark, benign, attack_dirs)
+        if max_rows_per_file is not None:
+            # One label per file; two families may have files of the same name.
+            table = first_rows_per_group(table, LABEL, order_key, max_rows_per_file)
     if entry is not None:
         table.write.mode("overwrite").parquet(entry)
         table = spark.read.parquet(entry)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowguard.config import DriftConfig, DualConfig, PrepConfig, RetrainingPolicy
 from flowguard.operators import checks, drift, metrics, prep, registry, scoring, weights
+from flowguard.plans import flow
 from flowguard.sources import stores, traffic_csv
 
 
@@ -96,6 +97,44 @@ def test_csv_tree(spark, tmp_path):
     fails(traffic_csv.scan(spark, benign, attacks), "MALFORMED|Malformed|FAILFAST|CANNOT_PARSE|FAILED_READ")
 
 
+@pytest.mark.parametrize("split_bytes", ["128m", "60"])
+def test_row_cap_follows_the_file(spark, tmp_path, split_bytes):
+    """Same-named files of two families are capped on their own, whether a file is one input split or many."""
+    files = {"benign_traffic.csv": 3, "gafgyt_attacks/udp.csv": 40, "mirai_attacks/udp.csv": 25}
+    for i, (name, n) in enumerate(files.items()):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("w\n" + "".join(f"{1000 * i + (j * 7) % 41}\n" for j in range(n)))
+    benign, attacks = f"{tmp_path}/benign_traffic.csv", [f"{tmp_path}/gafgyt_attacks", f"{tmp_path}/mirai_attacks"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        for cap in (1, 25, 30):
+            rows = traffic_csv.load(spark, benign, attacks, max_rows_per_file=cap).toPandas()
+            for i, (label, n) in enumerate(zip(("benign", "gafgyt_udp", "mirai_udp"), files.values())):
+                expected = sorted(1000.0 * i + (j * 7) % 41 for j in range(min(n, cap)))
+                assert sorted(rows.w[rows.label == label]) == expected
+        by_key = traffic_csv.load(spark, benign, attacks, "w", 2).toPandas()
+        assert by_key.groupby("label").size().to_dict() == {"benign": 2, "gafgyt_udp": 2, "mirai_udp": 2}
+        assert traffic_csv.scan(spark, benign, attacks, max_rows_per_file=0).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_prepare(spark):
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"id": range(300), "a": rng.normal(size=300), "b": 1.0, "z": 2.0})
+    rows["label"] = np.where(rows.id % 3 == 0, "benign", "x_y")
+    rows["attack_family"], rows["source_file"] = "f", "d/" + rows.label
+    df = spark.createDataFrame(rows)
+    data = flow.prepare(df, key="id", max_total_rows=200, max_feature_columns=2, device="absent")
+    assert data.params.names == ["a", "b"] and data.classes == ("benign", "x_y")
+    assert {r.split: r.rows for r in data.stats().collect()} == {"train": 140, "val": 20, "test": 40}
+    assert data.quality.first().rows == 200
+    with pytest.raises(ValueError, match="not_null"):
+        flow.prepare(df.withColumn("label", F.when(F.col("id") > 0, F.col("label"))), key="id")
+
+
 def test_missing_reports_and_splits(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         stores.read_report(spark, f"{tmp_path}/none", "a int")
