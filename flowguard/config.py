@@ -137,8 +137,6 @@ class SloPolicy:
 
 @dataclass(frozen=True)
 class HybridConfig:
-    split: SplitConfig = field(default_factory=SplitConfig)
-    prep: PrepConfig = field(default_factory=PrepConfig)
     boost: BoostConfig = field(default_factory=BoostConfig)
     autoencoder: AutoencoderConfig = field(default_factory=AutoencoderConfig)
     dual: DualConfig = field(default_factory=DualConfig)
@@ -146,5 +144,3 @@ class HybridConfig:
     weighting: str = "ones"  # ones, importance or shap
     multiclass: bool = True  # one boosted model per class, or benign against all attacks
     attribution_rows: int = 1000
-    max_feature_columns: int = 25
-    max_total_rows: int | None = None

@@ -52,10 +52,6 @@ def coerced(column: str) -> Column:
     return F.expr(coerced_sql(quoted(column)))
 
 
-def finite(column: str) -> Column:
-    return F.expr(finite_sql(quoted(column)))
-
-
 def rounded(value: Column | str) -> Column:
     """Six decimals. The cut sits just below one half, so that a mean that falls on a tie in exact
     arithmetic is rounded alike by engines that add in a different order."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +33,6 @@ def latency_histogram(log: DataFrame, buckets: Sequence[float] = LATENCY_BUCKETS
     return wide.selectExpr("endpoint", f"stack({len(buckets)}, {cells}) AS (le, requests)", "latency_sum", "latency_count")
 
 
-@dataclass(frozen=True)
-class SloObservation:
-    p50: float
-    p95: float
-    p99: float
-    error_rate: float
-    throughput: float
-    confidence: float
-
-
 def slo_check(log: DataFrame, policy: SloPolicy = SloPolicy(), exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(check, observed, target, passed) of latency percentiles, error rate, throughput and confidence."""
     latency = exact_quantiles(log.select("latency_ms"), ["latency_ms"], [0.5, 0.95, 0.99], exact_rows)["latency_ms"]

@@ -74,12 +74,12 @@ SELECT concat('run_', CAST(user_id AS STRING)) AS run_name, user_id,
   CAST(count(*) AS BIGINT) AS n_rows
 FROM {events} GROUP BY user_id"""
 
-# One leave-one-attack-out run per client and attack; every seventh client has none.
+# One leave-one-attack-out run per client and attack that reached a high k; some clients have few runs or none.
 _LOAO_RUNS = """
 SELECT concat('run_', CAST(user_id AS STRING)) AS run_name, event_type AS held_out_attack,
   1 - avg(CASE WHEN CAST({k} AS INT) < 30 THEN 1.0E0 ELSE 0.0E0 END) AS f1,
   avg(CAST({k} AS DOUBLE)) / 99 AS attack_rate_pred, CAST(count(*) AS BIGINT) AS heldout_rows
-FROM {events} WHERE event_type <> 'view' AND user_id % 7 <> 0 GROUP BY user_id, event_type"""
+FROM {events} WHERE event_type <> 'view' GROUP BY user_id, event_type HAVING max(CAST({k} AS INT)) >= 90"""
 
 # Reference (before noon) and current (from noon on) quality of each client.
 _METRIC_PAIRS = """

@@ -283,3 +283,11 @@ def test_fingerprint_ignores_order(spark):
     assert first == registry.table_fingerprint(df.repartition(9).orderBy(F.desc("id"))).first().fingerprint
     assert first != registry.table_fingerprint(df.where("id > 0")).first().fingerprint
     assert first != registry.table_fingerprint(df.withColumnRenamed("m", "n")).first().fingerprint
+
+
+def test_file_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"model bytes")
+    found = registry.file_hashes(spark.read.format("binaryFile").load(str(tmp_path))).first()
+    assert found.hash == hashlib.sha256(b"model bytes").hexdigest()

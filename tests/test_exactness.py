@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowguard.config import FoldConfig, SplitConfig
 from flowguard.operators import metrics, ordering, quantiles, splits
 from flowguard.operators.drift import kolmogorov_smirnov
+from flowguard.session import attach_rows
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,15 @@ def test_cutoffs_do_not_depend_on_the_prefix_length(numbers, monkeypatch):
         assert ordering.hash_cutoffs(rows, [("g", "c", 1234)], 6000) == {("g", "c"): expected}
 
 
+def test_lookup_beyond_the_broadcast_bound(numbers):
+    _, df = numbers
+    table = [(float(b), f"n{b}") for b in range(0, 20, 2)]
+    joins = [attach_rows(df, table, "b double, name string", ["b"], max_rows=m) for m in (0, 100)]
+    assert "BroadcastHashJoin" in joins[1]._jdf.queryExecution().executedPlan().toString()
+    counts = [{r.name: r["count"] for r in j.groupBy("name").count().collect()} for j in joins]
+    assert counts[0] == counts[1] and sum(counts[0].values()) == df.count()
+
+
 def test_prefix_digits_grow_with_the_group():
     assert [ordering.prefix_digits(n) for n in (10, 2 * 10**6, 10**9, 10**12)] == [1, 2, 4, 5]
 
