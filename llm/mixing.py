@@ -30,7 +30,7 @@ def uniform(doc_id: Column, text: Column) -> Column:
 def quality_weight(text: Column, size: Column) -> Column:
     """One for clean prose, less the more symbols there are for a word."""
     body = F.coalesce(text, F.lit(""))
-    symbols = F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))
+    symbols = F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", ""))
     return F.when(size > 0, size.cast("double") / (size + symbols).cast("double")).otherwise(F.lit(1.0))
 
 

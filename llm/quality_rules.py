@@ -47,12 +47,13 @@ STRICT = Policy("strict-1", tuple(name for name, _ in RULES))
 
 def _repeated(found: Column) -> Column:
     """Words that lie in a window of eight found twice or more. Windows are told apart by a 64-bit hash."""
+    # A window's hash is made of the hashes of its halves, each of which is a hash of halves again.
+    def paired(parts: Column, reach: int) -> Column:
+        return bind(parts, lambda p: F.transform(p, lambda x, i: F.xxhash64(x, F.get(p, i + reach))))
+
     hashes = bind(
-        found,
-        lambda w: F.transform(
-            F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))),
-            lambda first, i: F.xxhash64(first, *[F.get(w, i + k) for k in range(1, WINDOW)]),
-        ),
+        paired(paired(paired(found, 1), 2), 4),
+        lambda h: F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))),
     )
 
     def covered(h: Column) -> Column:
@@ -85,13 +86,13 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         whole_row(df),
         body.alias("body"),
         words(body).alias("found"),
-        F.filter(F.split(body, "\n"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]", "")) > 0).alias("lines"),
+        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     return split.select(
         "row",
         F.size("found").cast("long").alias("n_words"),
         F.length(F.array_join("found", "")).cast("long").alias("word_chars"),
-        (F.length("body") - F.length(F.translate("body", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("body") - F.length(F.regexp_replace("body", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("found")).alias("n_repeat_words"),

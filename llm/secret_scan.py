@@ -24,6 +24,7 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 1  # characters of the group; shorter matches are dropped
+    needs: tuple[str, ...] = ()  # a text without any of these has no match
 
     @property
     def name(self) -> str:
@@ -33,15 +34,15 @@ class Rule:
 # Fixed values. The runs of "access" and "hex" are cut at their least length within the pattern, which finds the same
 # matches as filtering whole runs, without listing every short run of a text.
 BASE = (
-    Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", 1, r"AKIA[A-Z0-9]{12,}"),
-    Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{32,}"),
+    Rule("assign", 1, r"""(?=[pstaPSTA])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, (":", "=")),
+    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", needs=("AKIA",)),
+    Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
 ADDED = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
-    Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", 1, r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", needs=("-----BEGIN ",)),
+    Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}", needs=("_",)),
+    Rule("slack", 1, r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
+    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", needs=("eyJ",)),
 )
 RULES = BASE + ADDED
 
@@ -95,7 +96,10 @@ def find(text: Column, rule: Rule) -> Column:
             ),
         ),
     )
-    return F.when(text.rlike(rule.pattern), bind(parts, placed)).otherwise(none)
+    may = F.lit(True)
+    for i, needed in enumerate(rule.needs):
+        may = F.contains(text, F.lit(needed)) if i == 0 else may | F.contains(text, F.lit(needed))
+    return F.when(may & text.rlike(rule.pattern), bind(parts, placed)).otherwise(none)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
