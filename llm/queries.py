@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import fingerprint, mixing, quality_rules, secret_scan
+from llm import fingerprint, mixing, packing, quality_rules, secret_scan, simhash
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,3 +223,13 @@ def _near_sql(a: str, b: str) -> str:
 )
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
