@@ -120,6 +120,11 @@ def passes(policy: Policy) -> Column:
     return F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def accepted(docs: DataFrame, policy: Policy = RELEASE) -> DataFrame:
+    """The rows that pass a policy, with the columns they came with."""
+    return ledger(docs).where(passes(policy)).select("row.*")
+
+
 def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
     """For every rule of a policy: documents that fail it, and those that only this rule rejects.
 
