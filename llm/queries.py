@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import fingerprint, html_extract, mixing, packing, quality_rules, secret_scan, simhash, url_filter, warc
+from llm import fingerprint, html_extract, mixing, packing, pii, quality_rules, secret_scan, simhash, url_filter, warc
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,3 +276,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extract")
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
