@@ -36,7 +36,7 @@ MAIN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "t
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z",
     re.S | re.I,
 )

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.session import scratch_path
+from flowguard.session import materialize, scratch_path
 from llm.common import bind, whole_row
 
 
@@ -178,7 +178,8 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = [of_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     findings = ledger.select("blob", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
     paths = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
-    return paths.join(findings, "blob").drop("blob")
+    # Findings are stored, so that nothing but the join needs a blob's rows together and a hot blob's paths are split.
+    return paths.join(materialize(findings, "findings"), "blob").drop("blob")
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
@@ -203,7 +204,8 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The documents with secrets masked; rows without findings stay as they are. ``n_chars`` follows the text."""
-    ledger = scan(docs.select("text"), path or scratch_path(docs.sparkSession, "secret-ledger")).where(F.size("spans") > 0)
+    ledger = scan(docs.select("text"), path or scratch_path(docs.sparkSession, "secret-ledger"))
+    ledger = materialize(ledger.where(F.size("spans") > 0), "findings")
     joined = docs.select(whole_row(docs), blob_of(F.col("text")).alias("blob")).join(ledger, "blob", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>"))
     changed = joined.select("row", spans.alias("spans"), masked(F.col("row.text"), spans).alias("masked"))
