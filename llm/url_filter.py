@@ -86,7 +86,8 @@ def _sweep(default: str):
                 paths.append(path)
                 names.append(found[2] if found else None)
                 verdicts.append(found[3] if found else default)
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype=batch["page_id"].dtype), "host": hosts, "path": paths, "rule": names, "verdict": verdicts})
+            columns = {"page_id": ids, "host": hosts, "path": paths, "rule": names, "verdict": verdicts}
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
 
     return run
 
