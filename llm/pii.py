@@ -257,7 +257,10 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, longest: int = 64) -
     equal hashes are equal. Null texts are not sampled.
     """
     marked = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", "text").alias("place"))
-    texts = [r.text for r in marked.orderBy("place").limit(documents).collect()]
+    # Tasks send hashes first, and then only the texts of the sample.
+    places = [r.place for r in marked.select("place").orderBy("place").limit(documents).collect()]
+    chosen = marked.where(F.col("place") <= F.lit(places[-1])).orderBy("place").limit(documents).collect() if places else []
+    texts = [r.text for r in sorted(chosen, key=lambda r: r.place)]
     rows = [r for text, spans in example_rows() for _ in range(3) for r in labelled(text, spans)]
     rows += [r for text in texts for r in labelled(text, fixed_spans(text)) if len(r[1]) <= longest]
     return train(rows)
