@@ -180,12 +180,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the root is the smallest node of its component.
 
     Large and small star steps in turn: each links a node's neighbours to the smallest among them, so the number of
-    edges does not grow; rounds end when the edges no longer change. A hub's edges are a streamed side of the join, which
-    adaptive execution splits. Every round is a stored table.
+    edges does not grow; rounds end when the edges are stars, each node below one root and no root below another. A
+    hub's edges are a streamed side of the join, which adaptive execution splits. Every round is a stored table.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "edges")
-    state = None
-    while True:
+    while not _is_stars(now):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = materialize(
@@ -195,12 +194,17 @@ def components(edges: DataFrame) -> DataFrame:
         near = large.join(low, "b")
         small = near.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b"))
         now = materialize(small.distinct(), "small-star")
-        summary = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(summary) == state:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
-                now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-            )
-        state = tuple(summary)
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
+        now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    )
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every upper end of the edges (a < b) has one edge and is no lower end; the lower ends are then the roots."""
+    lower = edges.select(F.col("a").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below"))
+    upper = edges.select(F.col("b").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = lower.unionByName(upper).groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return ends.where("above > 1 OR (above = 1 AND below = 1)").isEmpty()
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE, segments=SEGMENTS, crowded: int = CROWDED) -> DataFrame:
