@@ -192,7 +192,7 @@ def run_report(spark, sf_dir):
     with_views("flows")
     + """SELECT n AS rows, content, md5(concat_ws('|', 'row_key:string|label:string', CAST(n AS VARCHAR), CAST(content AS VARCHAR)))
   AS fingerprint FROM (SELECT CAST(count(*) AS BIGINT) AS n,
-  CAST(sum(CAST('0x' || substr(md5(concat_ws('|', row_key, label)), 1, 8) AS BIGINT)) AS BIGINT) AS content FROM flows)""",
+  CAST(sum(CAST('0x' || substr(md5(concat_ws('|', coalesce(length(row_key) || ':' || row_key, '-'), coalesce(length(label) || ':' || label, '-'))), 1, 15) AS BIGINT)) AS VARCHAR) AS content FROM flows)""",
 )
 def table_fingerprint(spark, sf_dir):
     return registry.table_fingerprint(view(spark, sf_dir, "flows").select("row_key", "label"))

@@ -76,14 +76,14 @@ DECODED = "({f} * 0.9 + 0.01)"
     "reconstruction_error",
     with_views("vectors")
     + "SELECT row_key, "
-    + r6("(" + " + ".join(f"({f} - {DECODED.format(f=f)}) * ({f} - {DECODED.format(f=f)}) * {(i + 1) / 25}" for i, f in enumerate(VECTOR_FEATURES)) + ") / 25")
+    + r6("(" + " + ".join(f"({f} - {DECODED.format(f=f)}) * ({f} - {DECODED.format(f=f)}) * {(i + 1) / 64}" for i, f in enumerate(VECTOR_FEATURES)) + ") / 64")
     + " AS rec_error FROM vectors",
 )
 def reconstruction_error(spark, sf_dir):
     rows = view(spark, sf_dir, "vectors")
     x = F.array(*VECTOR_FEATURES)
     rebuilt = F.array(*[F.col(f) * F.lit(0.9) + F.lit(0.01) for f in VECTOR_FEATURES])
-    feature_weights = [(i + 1) / 25 for i in range(25)]
+    feature_weights = [(i + 1) / 64 for i in range(64)]
     table = rows.select("row_key", x.alias("x"), rebuilt.alias("rebuilt"))
     return table.select("row_key", rounded(error_term("x", "rebuilt", feature_weights)).alias("rec_error"))
 

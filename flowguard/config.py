@@ -143,4 +143,4 @@ class HybridConfig:
     fusion: FusionConfig = field(default_factory=FusionConfig)
     weighting: str = "ones"  # ones, importance or shap
     multiclass: bool = True  # one boosted model per class, or benign against all attacks
-    attribution_rows: int = 1000
+    attribution_rows: int | None = None  # None: all training rows

@@ -16,7 +16,7 @@ def as_column(value: Column | str) -> Column:
 
 
 def quoted(name: str) -> str:
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
 
 
 def sql_double(value: float) -> str:
@@ -76,7 +76,7 @@ def double_array(values: Iterable[float]) -> Column:
 
 def unpivot_sql(columns: Sequence[str], name: str = "feature_id", value: str = "value") -> str:
     """A ``stack`` generator that turns the columns into (ordinal, double) rows."""
-    cells = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(columns))
+    cells = ", ".join(f"{i}, CAST({quoted(c)} AS DOUBLE)" for i, c in enumerate(columns))
     return f"stack({len(columns)}, {cells}) AS ({name}, {value})"
 
 

@@ -1,4 +1,4 @@
-"""Feature attribution of boosted trees: exact path-dependent Shapley values of a bounded sample.
+"""Feature attribution of boosted trees: exact path-dependent Shapley values, over all rows or a bounded sample.
 
 Each leaf is a product of per-feature conditions, so its Shapley values need only the features on its
 path. The leaves are a small table (trees x leaves) that is broadcast; rows are scored where they lie.
@@ -16,13 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import SEED
+from flowguard.functions.columns import quoted
 from flowguard.operators.models import BoostedClassifier
 from flowguard.operators.ordering import exact_sample
 from flowguard.session import driver_rows, scratch_path
 
-SAMPLE_ROWS = 1000
-
-
 # A leaf of one tree: its weighted value and, for the features on its path, their numbers, lower bounds
 # (excluded), upper bounds (included) and cover shares. Plain tuples, because leaves are broadcast.
 Leaf = tuple[float, tuple[int, ...], tuple[float, ...], tuple[float, ...], tuple[float, ...]]
@@ -84,19 +82,22 @@ def shapley_values(x: np.ndarray, leaves: Sequence[Leaf], width: int) -> np.ndar
 
 
 def shap_weights(
-    classifier: BoostedClassifier, rows: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS, seed: int = SEED
+    classifier: BoostedClassifier, rows: DataFrame, key: str, sample_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """(feature, weight): mean absolute Shapley value over sampled rows and class models."""
+    """(feature, weight): mean absolute Shapley value over rows and class models.
+
+    All rows count unless ``sample_rows`` bounds them.
+    """
     spark = rows.sparkSession
     names = list(classifier.features)
     forests = spark.sparkContext.broadcast([tree_leaves(spark, m) for m in classifier.models])
-    sample = exact_sample(rows.select(key, *names), key, sample_rows, seed).select(
-        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
-    )
+    narrow = rows.select(key, *map(quoted, names))
+    chosen = narrow if sample_rows is None else exact_sample(narrow, key, sample_rows, seed)
+    sample = chosen.select(*[F.coalesce(F.col(quoted(n)).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[names].to_numpy(float)
+            x = batch.to_numpy(float)
             total = sum(np.abs(shapley_values(x, leaves, len(names))).sum(axis=0) for leaves in forests.value)
             yield pd.DataFrame({"feature": names, "total": total, "n": len(x) * len(forests.value)})
 

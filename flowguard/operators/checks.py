@@ -80,7 +80,7 @@ def require_valid(df: DataFrame, features: Sequence[str], metadata: Sequence[str
 
 def infinite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = df.agg(
-        *[F.count_if(F.abs(F.col(c).try_cast("double")) == F.lit(INFINITY)).alias(c) for c in columns]
+        *[F.count_if(F.abs(F.col(quoted(c)).try_cast("double")) == F.lit(INFINITY)).alias(c) for c in columns]
     )
     return counts.unpivot([], list(columns), "column", "infinite_rows")
 
@@ -124,7 +124,7 @@ def column_presence(df: DataFrame, required: Sequence[str] = (LABEL, FAMILY, SOU
     there = [c for c in required if c in df.columns]
     counts = df.agg(
         *[
-            (F.count(c) if c in there else F.lit(0).cast("bigint")).alias(f"c{i}")
+            (F.count(quoted(c)) if c in there else F.lit(0).cast("bigint")).alias(f"c{i}")
             for i, c in enumerate(required)
         ]
     )

@@ -95,7 +95,7 @@ def population_stability(
 
 
 def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
-    """Two-sided asymptotic p-value: alternating series, clamped to [0, 1], 1 for a zero statistic."""
+    """Two-sided asymptotic p-value: alternating series, clamped to [0, 1], 1 for a zero statistic, null for none."""
     n1, n2 = n_ref.cast("double"), n_cur.cast("double")
     lam2 = statistic * statistic * n1 * n2 / (n1 + n2)
     series = F.aggregate(
@@ -105,7 +105,8 @@ def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
         + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
         * F.exp(F.lit(-2.0) * k.cast("double") * k.cast("double") * lam2),
     )
-    return F.when(statistic == 0, F.lit(1.0)).otherwise(F.least(F.greatest(series * 2, F.lit(0.0)), F.lit(1.0)))
+    clamped = F.least(F.greatest(series * 2, F.lit(0.0)), F.lit(1.0))
+    return F.when(statistic == 0, F.lit(1.0)).when(statistic.isNotNull(), clamped)
 
 
 def kolmogorov_smirnov(
@@ -171,7 +172,7 @@ def feature_drift(
     ks = kolmogorov_smirnov(reference, current, names, rows_per_bucket)
     name = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("feature_id") + 1)
     joined = psi.join(ks, "feature_id", "left")
-    drifted = (F.col("psi") > cfg.psi_threshold) | (F.col("ks_pvalue") < cfg.ks_pvalue_threshold)
+    drifted = (F.col("psi") > cfg.psi_threshold) | F.coalesce(F.col("ks_pvalue") < cfg.ks_pvalue_threshold, F.lit(False))
     return joined.select(
         name.alias("feature"), "psi", "ks_statistic", "ks_pvalue", F.coalesce(drifted, F.lit(False)).alias("drifted")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import BENIGN, BoostConfig, FusionConfig
-from flowguard.functions.columns import as_column
+from flowguard.functions.columns import as_column, quoted
 from flowguard.operators.prep import require_columns
 from flowguard.session import driver_rows
 from flowguard.sources import stores
@@ -25,7 +25,10 @@ def argmax_class(probabilities: Column | str) -> Column:
 
 def assembled(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
     require_columns(df, features, "feature")
-    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(df)
+    # Ordinal names: the assembler does not take names that contain a dot.
+    names = [f"__in{i}" for i in range(len(features))]
+    inputs = df.select("*", *[F.col(quoted(f)).alias(n) for f, n in zip(features, names)])
+    return VectorAssembler(inputCols=names, outputCol=output, handleInvalid="error").transform(inputs).drop(*names)
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:
@@ -60,7 +63,8 @@ class BoostedClassifier:
         names = []
         for i, model in enumerate(self.models):
             rows = (
-                model.setFeaturesCol("__features")
+                model.copy()
+                .setFeaturesCol("__features")
                 .setPredictionCol(f"__p{i}")
                 .setProbabilityCol(f"__v{i}")
                 .setRawPredictionCol(f"__r{i}")
@@ -124,9 +128,9 @@ def fit_boosted(
     if len(classes) < 2:
         raise ValueError("a classifier needs at least two classes")
     stop = validation is not None and cfg.early_stopping
-    rows = train.select(label, *features, F.lit(False).alias("__validation"))
+    rows = train.select(label, *map(quoted, features), F.lit(False).alias("__validation"))
     if stop:
-        rows = rows.unionByName(validation.select(label, *features, F.lit(True).alias("__validation")))
+        rows = rows.unionByName(validation.select(label, *map(quoted, features), F.lit(True).alias("__validation")))
     table = assembled(rows, features).select(F.col(label).alias("__label"), "features", "__validation").persist()
     try:
         targets = [classes[1]] if len(classes) == 2 else list(classes)

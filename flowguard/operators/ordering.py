@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import hash_order
+from flowguard.functions.columns import hash_order, quoted
 from flowguard.operators.quantiles import kth_smallest
 from flowguard.session import attach_rows, driver_rows
 
@@ -98,27 +98,40 @@ def shuffle_rank(df: DataFrame, key: str, seed: int, output: str = "shuffle_rank
 
 
 def first_rows_per_group(df: DataFrame, group: str, key: str, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each group by a unique numeric key.
+    """Exactly the first ``cap`` rows of each group by a numeric key; null keys come last, equal keys in row-hash order.
 
-    The key at rank ``cap`` is found per group by order statistics, so no group is sorted whole.
+    The key at rank ``cap`` is found per group by order statistics, so no group is sorted whole. Only rows that tie
+    with it are numbered, after every task has cut them to ``cap``.
     """
     if cap <= 0:
         return df.limit(0)
+    order = F.col(quoted(key))
     sizes = driver_rows(
-        df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.max(F.abs(F.col(key))).alias("top")),
+        df.groupBy(F.col(quoted(group)).alias("group")).agg(
+            F.count("*").alias("n"), F.count(order).alias("filled"), F.max(F.abs(order)).alias("top")
+        ),
         "groups to cap",
     )
     if any(r.top is not None and r.top >= LARGEST_EXACT_KEY for r in sizes):
         raise ValueError("the row order key must stay below 2^53 in magnitude")
-    ranks = {r.group: [cap - 1] for r in sizes if r.n > cap}
-    if not ranks:
+    capped = [r for r in sizes if r.n > cap]
+    if not capped:
         return df
-    values = df.select(F.col(group).alias("group"), F.col(key).cast("double").alias("value"))
-    at = kth_smallest(values, ranks, largest=max(r.n for r in sizes))
+    ranks = {r.group: [cap - 1] for r in capped if r.filled >= cap}
+    values = df.select(F.col(quoted(group)).alias("group"), order.cast("double").alias("value")).where("value IS NOT NULL")
+    at = kth_smallest(values, ranks, largest=max(r.filled for r in capped)) if ranks else {}
     kind = df.schema[group].dataType.simpleString()
-    limits = [(g, v) for (g, _), v in at.items()]
-    return (
-        attach_rows(df, limits, f"`{group}` {kind}, last_key double", [group])
-        .where(F.col("last_key").isNull() | (F.col(key).cast("double") <= F.col("last_key")))
-        .drop("last_key")
-    )
+    limits = [(r.group, at.get((r.group, cap - 1)), True) for r in capped]
+    marked = attach_rows(df, limits, f"{quoted(group)} {kind}, __last double, __capped boolean", [group])
+    # Without a last key a group has fewer filled keys than the cap: they all stay, and null keys make up the rest.
+    before = F.when(F.col("__last").isNull(), order.isNotNull()).otherwise(order.cast("double") < F.col("__last"))
+    tied = F.col("__capped") & order.cast("double").eqNullSafe(F.col("__last"))
+    columns = [quoted(c) for c in df.columns]
+    whole = marked.where(F.col("__capped").isNull() | before).select(*columns)
+    counts = marked.where("__capped").groupBy(F.col(quoted(group)).alias("group")).agg(F.count_if(before).alias("n"))
+    needs = [(r.group, cap - r.n) for r in driver_rows(counts, "groups to cap")]
+    edge = marked.where(tied).select(*columns)
+    place = Window.partitionBy(quoted(group)).orderBy(F.xxhash64(*columns))
+    numbered = edge.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= cap)
+    last = attach_rows(numbered, needs, f"{quoted(group)} {kind}, __need bigint", [group]).where("__place <= __need")
+    return whole.unionByName(last.select(*columns))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import double_array
+from flowguard.functions.columns import double_array, quoted
 from flowguard.operators.quantiles import SKETCH_ACCURACY
 
 ROWS_PER_BUCKET = 1_000_000
@@ -28,7 +28,7 @@ def value_splits(
         return []
     grid = double_array([i / buckets for i in range(1, buckets)])
     sketches = df.agg(
-        *[F.percentile_approx(c, grid, F.lit(SKETCH_ACCURACY)).alias(f"q{i}") for i, c in enumerate(columns)]
+        *[F.percentile_approx(quoted(c), grid, F.lit(SKETCH_ACCURACY)).alias(f"q{i}") for i, c in enumerate(columns)]
     ).first()
     return sorted({float(v) for i in range(len(columns)) for v in (sketches[f"q{i}"] or [])})
 

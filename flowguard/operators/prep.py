@@ -86,7 +86,7 @@ def fit_impute(
         medians = exact_quantiles(present, features, [0.5], exact_rows)
         fills = {f: (q[0] if q else None) for f, q in medians.items()}
     elif cfg.impute_strategy == "mean":
-        row = present.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]).first()
+        row = present.agg(*[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
         fills = {f: row[f"m{i}"] for i, f in enumerate(features)}
     else:
         counts = (

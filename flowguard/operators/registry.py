@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.config import PROMOTION_GATES, GateThresholds
-from flowguard.functions.columns import as_column, fixed_text
+from flowguard.functions.columns import as_column, fixed_text, quoted
 
 # Names used in versions and decisions.
 NAMESPACE = "hybrid"
@@ -212,12 +212,14 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     Content is a sum of row hashes, so a map-side partial sum is all that is shuffled.
     """
     names = "|".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<null>")) for c in df.columns]
-    row_hash = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("rows"), F.sum(row_hash).alias("content")).select(
+    texts = [F.col(quoted(c)).cast("string") for c in df.columns]
+    # Cells carry their length, and a null has none: neither a separator nor a text can pass for another cell.
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    row_hash = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("rows"), F.sum(row_hash).cast("string").alias("content")).select(
         "rows",
         "content",
-        F.md5(F.concat_ws("|", F.lit(names), F.col("rows").cast("string"), F.col("content").cast("string"))).alias(
+        F.md5(F.concat_ws("|", F.lit(names), F.col("rows").cast("string"), F.col("content"))).alias(
             "fingerprint"
         ),
     )

@@ -35,11 +35,12 @@ def signal_range(df: DataFrame, clf: str, rec: str) -> SignalRange:
 
 
 def normalized(value: Column | str, low: float, high: float, clamp: bool = False) -> Column:
-    """Min-max scaled value; 0 for a constant range. ``clamp`` keeps unseen rows inside [0, 1]."""
+    """Min-max scaled value; 0 for a constant range. ``clamp`` keeps unseen rows inside [0, 1]. Null stays null."""
+    known = as_column(value).isNotNull()
     if high <= low:
-        return F.lit(0.0)
+        return F.when(known, F.lit(0.0))
     scaled = (as_column(value) - F.lit(low)) / F.lit(high - low)
-    return F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)) if clamp else scaled
+    return F.when(known, F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))) if clamp else scaled
 
 
 def dual_score(
@@ -152,9 +153,9 @@ def explode_requests(requests: DataFrame, body: str = "body", limit: int = MAX_B
 
 
 def missing_features(features: Column | str, names: Sequence[str]) -> Column:
-    """The first few required features that a request does not carry."""
+    """The required features that a request does not carry."""
     wanted = F.array(*[F.lit(n) for n in names])
-    return F.slice(F.array_except(wanted, F.map_keys(as_column(features))), 1, MISSING_SHOWN)
+    return F.array_except(wanted, F.map_keys(as_column(features)))
 
 
 def align_request(df: DataFrame, names: Sequence[str], features: str = "features", strict: bool = True) -> DataFrame:
@@ -162,7 +163,7 @@ def align_request(df: DataFrame, names: Sequence[str], features: str = "features
     missing = missing_features(features, names)
     others = [c for c in df.columns if c != features]
     if strict:
-        text = F.concat(F.lit("missing required features: "), F.array_join(missing, ", "))
+        text = F.concat(F.lit("missing required features: "), F.array_join(F.slice(missing, 1, MISSING_SHOWN), ", "))
         safe = F.when(F.size(missing) == 0, F.col(features)).otherwise(
             F.raise_error(text).cast("map<string,double>")
         )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.config import FoldConfig, SplitConfig
-from flowguard.functions.columns import hash_order
+from flowguard.functions.columns import hash_order, quoted
 from flowguard.operators.ordering import hash_cutoffs, not_after
 from flowguard.session import attach_rows, driver_rows
 
@@ -73,6 +73,8 @@ def attack_labels(df: DataFrame, cfg: FoldConfig = FoldConfig()) -> list[str]:
 def fold_table(df: DataFrame, key: str, cfg: FoldConfig = FoldConfig()) -> list[tuple[int, str, str, str]]:
     """(fold, held-out attack, last test hash, last test key) with a seed of its own per fold."""
     benign = df.where(F.col(cfg.label) == cfg.benign)
+    if not df.where(F.col(cfg.label).isNull()).isEmpty():
+        raise ValueError("the label column contains nulls")
     size = benign.count()
     if size == 0:
         raise ValueError("leave-one-attack-out needs benign rows but there are none")
@@ -115,7 +117,7 @@ def assign_folds(
         df.where(label.isNotNull())
         .withColumn("f", F.explode(table))
         .withColumn("role", role)
-        .select("f.fold", "f.held_out_attack", "role", *df.columns)
+        .select("f.fold", "f.held_out_attack", "role", *map(quoted, df.columns))
     )
 
 

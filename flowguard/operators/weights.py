@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.functions.columns import quoted
 from flowguard.operators.prep import require_columns
 from flowguard.session import driver_rows
 
@@ -41,7 +42,7 @@ def weight_map(weights: DataFrame) -> dict[str, float]:
 
 def apply_weights(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     require_columns(df, list(weights), "weighted")
-    return df.withColumns({f: F.col(f) * F.lit(float(w)) for f, w in weights.items()})
+    return df.withColumns({f: F.col(quoted(f)) * F.lit(float(w)) for f, w in weights.items()})
 
 
 def top_features(weights: DataFrame, k: int = 10) -> DataFrame:
@@ -50,5 +51,5 @@ def top_features(weights: DataFrame, k: int = 10) -> DataFrame:
 
 def mean_magnitude(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, mean absolute value); missing counts as 0."""
-    row = df.agg(*[F.avg(F.abs(F.coalesce(f, F.lit(0.0)))).alias(f) for f in features])
-    return row.unpivot([], list(features), "feature", "weight")
+    row = df.agg(*[F.avg(F.abs(F.coalesce(quoted(f), F.lit(0.0)))).alias(f) for f in features])
+    return row.unpivot([], [quoted(f) for f in features], "feature", "weight")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import METADATA, SOURCE, DriftConfig, PrepConfig, RetrainingPolicy, SplitConfig
+from flowguard.functions.columns import quoted
 from flowguard.operators import checks, drift, prep
 from flowguard.operators.ordering import exact_sample
 from flowguard.operators.splits import stratified_split
@@ -39,12 +40,15 @@ def prepare(
     key: str,
     device: str | None = None,
     max_total_rows: int | None = None,
-    max_feature_columns: int = 25,
+    max_feature_columns: int = 0,
     split: SplitConfig = SplitConfig(),
     cfg: PrepConfig = PrepConfig(),
     metadata: Sequence[str] = METADATA,
 ) -> PreparedData:
-    """Device filter, bounded sample, validation, feature cap, split, fit on train, transform all."""
+    """Device filter, bounded sample, validation, feature cap, split, fit on train, transform all.
+
+    All features stay unless ``max_feature_columns`` is positive.
+    """
     rows = device_filter(labelled, SOURCE, device) if device else labelled
     if max_total_rows is not None:
         rows = exact_sample(rows, key, max_total_rows, split.seed)
@@ -52,7 +56,7 @@ def prepare(
     keyed = rows if key == "row_key" else rows.withColumnRenamed(key, "row_key")
     checks.require_valid(keyed, features, metadata)
     chosen = features[:max_feature_columns] if max_feature_columns > 0 else features
-    narrow = keyed.select("row_key", *chosen, *metadata)
+    narrow = keyed.select("row_key", *map(quoted, chosen), *map(quoted, metadata))
     # Fitting reads the parts four times: they are written once, by split, so that each pass reads only train columns.
     parts = materialize(stratified_split(narrow, metadata[0], "row_key", split), "splits", partition_by="split")
     train = parts.where(F.col("split") == "train")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import BENIGN, LABEL, DualConfig, FoldConfig, HybridConfig
+from flowguard.functions.columns import quoted
 from flowguard.operators import metrics, models, prep, registry, scoring, weights
 from flowguard.operators.attribution import shap_weights
 from flowguard.operators.autoencoder import Autoencoder, fit_autoencoder
@@ -39,7 +40,7 @@ class HybridModel:
         scored = self.classifier.predict_proba(df, "proba").withColumn(
             "clf_score", F.lit(1.0) - F.col("proba")[self.classifier.benign_index]
         )
-        plain = {f: F.col(f) for f in features}
+        plain = {f: F.col(quoted(f)) for f in features}
         # The autoencoder sees weighted inputs; the prepared features stay as they are.
         weighted = scored.withColumns({f"__raw_{f}": c for f, c in plain.items()}) if self.input_weights else scored
         if self.input_weights:
@@ -154,7 +155,7 @@ def fit_hybrid(
     from the benign rows of ``threshold_split``.
     """
     label = F.col(LABEL) if cfg.multiclass else F.when(F.col(LABEL) == BENIGN, BENIGN).otherwise(ATTACK_CLASS)
-    table = materialize(rows.select(key, LABEL, "split", *features).withColumn("__class", label))
+    table = materialize(rows.select(key, LABEL, "split", *map(quoted, features)).withColumn("__class", label))
     train, val = (table.where(F.col("split") == s) for s in ("train", "val"))
     classes = _class_names(train, "__class", cfg.multiclass)
     has_val = not val.isEmpty()
@@ -221,7 +222,7 @@ def loao_experiment(
     refit: prep.PrepConfig | None = None,
 ) -> DataFrame:
     """Metric row per held-out attack. ``refit`` fits the preprocessing anew on each fold's train rows."""
-    table = materialize(rows.select(key, folds.label, *features))
+    table = materialize(rows.select(key, folds.label, *map(quoted, features)))
     parts = None
     for fold in fold_table(table, key, folds):
         source = table
@@ -247,7 +248,7 @@ def fit_or_load(
 ) -> tuple[HybridModel, bool]:
     """The stored model of this run if it is complete, else a new one; tells which."""
     spark = rows.sparkSession
-    path = f"{store}/{run_hash(rows.select(key, LABEL, 'split', *features), cfg)}"
+    path = f"{store}/{run_hash(rows.select(key, LABEL, 'split', *map(quoted, features)), cfg)}"
     if stores.path_exists(spark, f"{path}/dual/_SUCCESS"):
         return HybridModel.load(spark, path), True
     model = fit_hybrid(rows, features, cfg, key, params=params).model

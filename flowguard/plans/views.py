@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 TRAFFIC_FEATURES = ["f_value", "f_user", "f_hour", "f_k", "f_const"]
 FLOW_FEATURES = ["f_qty", "f_price", "f_disc", "f_tax"]
-VECTOR_FEATURES = [f"f{i}" for i in range(25)]
+VECTOR_FEATURES = [f"f{i}" for i in range(64)]
 
 _TRAFFIC = """
 SELECT event_id AS row_key,
@@ -118,7 +118,7 @@ _EVENT_VIEWS = {
 
 
 def _vectors(first: int, source: str) -> str:
-    cells = ", ".join(f"CAST(embedding[{first + i}] AS DOUBLE) AS f{i}" for i in range(25))
+    cells = ", ".join(f"CAST(embedding[{first + i}] AS DOUBLE) AS f{i}" for i in range(64))
     return (
         f"SELECT vec_id AS row_key, {cells}, CASE WHEN label = 0 THEN 'benign' WHEN label <= 4 THEN "
         f"concat('gafgyt_', CAST(label AS STRING)) ELSE concat('mirai_', CAST(label AS STRING)) END AS label "

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowguard.config import BENIGN, FAMILY, LABEL, SOURCE
+from flowguard.functions.columns import quoted
 from flowguard.operators.ordering import first_rows_per_group
 from flowguard.session import attach_rows, driver_rows
 from flowguard.sources.stores import path_exists
@@ -61,8 +62,9 @@ def infer_features(spark: SparkSession, csv_path: str) -> list[str]:
     return names
 
 
-def feature_schema(names: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.FloatType(), True) for n in names])
+def feature_schema(names: Sequence[str], order_key: str | None = None) -> T.StructType:
+    """Float columns; a column that orders rows stays a double, so that large keys do not collide."""
+    return T.StructType([T.StructField(n, T.DoubleType() if n == order_key else T.FloatType(), True) for n in names])
 
 
 def scan(
@@ -71,6 +73,7 @@ def scan(
     attack_dirs: Sequence[str],
     features: Sequence[str] | None = None,
     max_rows_per_file: int | None = None,
+    order_key: str | None = None,
 ) -> DataFrame:
     """One multi-path scan of all files: float features plus the three metadata columns.
 
@@ -79,7 +82,7 @@ def scan(
     paths = discover(spark, benign, attack_dirs)
     names = list(features) if features else infer_features(spark, benign)
     raw = (
-        spark.read.schema(feature_schema(names))
+        spark.read.schema(feature_schema(names, order_key))
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
@@ -109,18 +112,19 @@ def first_rows_of_files(rows: DataFrame, cap: int) -> DataFrame:
         seen[path] = before + n
     cut = [(p, b, need) for p, (b, need) in ends.items()]
     schema = f"{PATH} string, __end bigint, __need bigint"
-    marked = attach_rows(rows, cut, schema, [PATH]) if cut else rows.withColumns({"__end": F.lit(None), "__need": F.lit(None)})
-    whole = marked.where(F.col("__end").isNull() | (F.col(BLOCK) < F.col("__end"))).select(*rows.columns)
+    # The id is taken in the scan: after a shuffled join it would not follow the lines of the file.
+    numbered = rows.withColumn("__id", F.monotonically_increasing_id())
+    marked = attach_rows(numbered, cut, schema, [PATH]) if cut else rows.withColumns({"__end": F.lit(None), "__need": F.lit(None)})
+    whole = marked.where(F.col("__end").isNull() | (F.col(BLOCK) < F.col("__end"))).select(*map(quoted, rows.columns))
     if not cut:
         return whole
     place = Window.partitionBy(PATH).orderBy("__id")
     last = (
         marked.where(F.col(BLOCK) == F.col("__end"))
-        .withColumn("__id", F.monotonically_increasing_id())
         .withColumn("__no", F.row_number().over(place))
         .where(F.col("__no") <= F.col("__need"))
     )
-    return whole.unionByName(last.select(*rows.columns))
+    return whole.unionByName(last.select(*map(quoted, rows.columns)))
 
 
 def load(
@@ -144,15 +148,15 @@ def load(
     if order_key is None:
         table = scan(spark, benign, attack_dirs, max_rows_per_file=max_rows_per_file)
     else:
-        table = scan(spark, benign, attack_dirs)
+        table = scan(spark, benign, attack_dirs, order_key=order_key)
         if max_rows_per_file is not None:
             # One label per file; two families may have files of the same name.
             table = first_rows_per_group(table, LABEL, order_key, max_rows_per_file)
+    if table.isEmpty():
+        raise RuntimeError("no rows were loaded; check the input paths")
     if entry is not None:
         table.write.mode("overwrite").parquet(entry)
         table = spark.read.parquet(entry)
-    if table.isEmpty():
-        raise RuntimeError("no rows were loaded; check the input paths")
     return table
 
 

@@ -5,10 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowguard.config import DriftConfig, DualConfig, PrepConfig, RetrainingPolicy
-from flowguard.operators import checks, drift, metrics, prep, registry, scoring, weights
+from flowguard.config import BoostConfig, DriftConfig, DualConfig, PrepConfig, RetrainingPolicy
+from flowguard.operators import checks, drift, metrics, models, ordering, prep, registry, scoring, splits, weights
+from flowguard.operators.attribution import shap_weights
 from flowguard.plans import flow
 from flowguard.sources import stores, traffic_csv
+from flowguard.streaming import jobs
 
 
 def frame(spark, rows, schema):
@@ -234,7 +236,7 @@ def test_requests(spark):
     assert scoring.align_request(one, ["a"]).first().a == 1.0
     fails(scoring.align_request(one, ["a", "b", "c"]), "missing required features: b, c")
     lots = scoring.align_request(one, list("bcdefgh"), strict=False).first()
-    assert lots.missing == list("bcdef")
+    assert lots.missing == list("bcdefgh")
 
 
 def test_constant_batch_scores_zero(spark):
@@ -291,3 +293,74 @@ def test_file_hashes(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"model bytes")
     found = registry.file_hashes(spark.read.format("binaryFile").load(str(tmp_path))).first()
     assert found.hash == hashlib.sha256(b"model bytes").hexdigest()
+
+
+# ---- rows and features that must not be lost
+
+
+def test_cap_is_exact_with_ties_and_null_keys(spark):
+    rows = [("a", 1.0, i) for i in range(50)] + [("b", None, i) for i in range(9)] + [("b", 2.0, 99), ("c", 1.0, 0)]
+    df = frame(spark, rows, "g string, `k.ey` double, v int")
+    kept = ordering.first_rows_per_group(df, "g", "k.ey", 5)
+    assert {r.g: r["count"] for r in kept.groupBy("g").count().collect()} == {"a": 5, "b": 5, "c": 1}
+    assert kept.where("v = 99").count() == 1
+    again = ordering.first_rows_per_group(df.repartition(7), "g", "k.ey", 5)
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_names_with_dots_and_more_than_25_features(spark):
+    rng = np.random.default_rng(5)
+    names = [f"MI_L0.{i}_w" for i in range(30)]
+    rows = pd.DataFrame(rng.normal(size=(200, 30)), columns=names)
+    rows["id"], rows["label"] = range(200), np.where(np.arange(200) % 2 == 0, "benign", "x_y")
+    rows["attack_family"], rows["source_file"] = "f", "d"
+    data = flow.prepare(spark.createDataFrame(rows), key="id", cfg=PrepConfig(impute_strategy="mean"))
+    assert data.params.names == names
+    train = data.split("train")
+    model = models.fit_boosted(train, names[:3], ["benign", "x_y"], cfg=BoostConfig(trees=2, depth=2, early_stopping=False))
+    assert model.attack_score(data.table).where("clf_score IS NULL").isEmpty()
+    assert shap_weights(model, train, "row_key").count() == 3
+    assert drift.feature_drift(train, data.split("test"), names[:2]).count() == 2
+    assert {r.feature for r in weights.mean_magnitude(train, names[:2]).collect()} == set(names[:2])
+
+
+def test_empty_load_is_never_cached(spark, tmp_path):
+    (tmp_path / "benign.csv").write_text("w,m\n")
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="no rows"):
+            traffic_csv.load(spark, str(tmp_path / "benign.csv"), [], cache_dir=str(tmp_path / "cache"))
+
+
+def test_drift_against_an_empty_side_has_no_p_value(spark):
+    some = frame(spark, [(float(i),) for i in range(20)], "a double")
+    row = drift.kolmogorov_smirnov(some, some.where("a < 0"), ["a"]).first()
+    assert row.ks_statistic is None and row.ks_pvalue is None
+    assert drift.feature_drift(some, some.where("a < 0"), ["a"]).first().drifted is False
+
+
+def test_null_scores_stay_null(spark):
+    df = frame(spark, [(None, 0.5), (0.2, 0.5)], "c double, r double")
+    for span in ((0.0, 1.0), (0.0, 0.0)):
+        fitted = scoring.SignalRange(span, (0.0, 1.0))
+        found = scoring.with_dual_score(df, "c", "r", "fitted", fitted).collect()
+        assert found[0].dual_score is None and found[1].dual_score is not None
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    prints = {
+        registry.table_fingerprint(frame(spark, [r], "a string, b string")).first().fingerprint
+        for r in [("a|b", "c"), ("a", "b|c"), (None, "c"), ("-", "c"), ("<null>", "c")]
+    }
+    assert len(prints) == 5
+
+
+def test_streamed_header_must_match(spark, tmp_path):
+    (tmp_path / "benign.csv").write_text("m,w\n1,2\n")
+    with pytest.raises(Exception):
+        jobs.write_available(jobs.csv_stream(spark, str(tmp_path), ["w", "m"]), "reordered").collect()
+
+
+def test_null_labels_raise_in_folds(spark):
+    df = frame(spark, [(1, "benign"), (2, "benign"), (3, "x"), (4, None)], "k int, label string")
+    with pytest.raises(ValueError, match="nulls"):
+        splits.loao_folds(df, "k")
