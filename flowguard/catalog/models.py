@@ -98,7 +98,7 @@ def hybrid_train_metrics(spark, sf_dir):
 
 @query("exp_baseline_vs_fusion")
 def exp_baseline_vs_fusion(spark, sf_dir):
-    run = hybrid.fit_hybrid(vectors(spark, sf_dir), VECTOR_FEATURES, HYBRID)
+    run = hybrid.fit_hybrid(vectors(spark, sf_dir), VECTOR_FEATURES, replace(HYBRID, multiclass=True))
     table = hybrid.run_metrics(run)
     return table.groupBy("metric").pivot("model", ["baseline_multiclass", "hybrid_binary", "fusion_binary"]).agg(F.first("value"))
 
@@ -114,7 +114,7 @@ def loao_fold_metrics(spark, sf_dir):
 @query("loao_experiment")
 def loao_experiment(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return hybrid.loao_experiment(rows, VECTOR_FEATURES, replace(HYBRID, weighting="importance"))
+    return hybrid.loao_experiment(rows, VECTOR_FEATURES, replace(HYBRID, weighting="shap"))
 
 
 @query("score_batch")

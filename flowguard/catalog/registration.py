@@ -18,8 +18,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Event times are compared with engines that know no zone.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            # Sessions of a busy client are merged before the shuffle.
-            spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
             return fn(spark, sf_dir)
 
         if name in QUERIES:

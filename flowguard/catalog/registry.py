@@ -122,20 +122,13 @@ decisions AS (SELECT d.*, CASE WHEN approved THEN 'fusion' ELSE 'none' END AS ch
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = run_hashes(spark, sf_dir)
-    rows = experiments(spark, sf_dir)
-    metrics = registry.promotion_decision(rows, view(spark, sf_dir, "loao_runs")).drop("version")
-    versions = hashes.select(
-        "run_name",
-        registry.version_id(
-            [
-                registry.content_hash("exp1_hash"),
-                registry.content_hash(F.coalesce("exp2_hash", F.lit(""))),
-                registry.threshold_hash(),
-            ]
-        ).alias("version"),
+    return registry.promotion_decision(
+        experiments(spark, sf_dir),
+        view(spark, sf_dir, "loao_runs"),
+        experiment_text="exp1_hash",
+        runs_text=F.coalesce("exp2_hash", F.lit("")),
+        reports=run_hashes(spark, sf_dir),
     )
-    return metrics.join(versions, "run_name")
 
 
 @query(

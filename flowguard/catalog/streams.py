@@ -14,9 +14,6 @@ from flowguard.operators import drift, scoring
 from flowguard.plans.views import stream_view, view, with_views
 from flowguard.streaming import jobs
 
-# A window is emitted once the watermark (latest time minus the delay) has passed its end.
-CLOSED = "window_end <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE"
-
 
 def epoch_seconds(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.unix_micros(c) for c in columns})
@@ -66,7 +63,7 @@ METRICS_SQL = f"""CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WH
 
 def windowed(spark: SparkSession, sf_dir: str, size: str, slide: str | None, name: str) -> DataFrame:
     log = stream_view(spark, sf_dir, "request_log")
-    written = jobs.write_available(jobs.windowed_requests(log, size, slide), name)
+    written = jobs.write_complete(jobs.windowed_requests(log, size, slide, delay=None), name)
     return epoch_seconds(written, "window_start", "window_end").withColumns(
         {"mean_latency_ms": rounded("mean_latency_ms"), "max_latency_ms": rounded("max_latency_ms")}
     )
@@ -78,7 +75,7 @@ def windowed(spark: SparkSession, sf_dir: str, size: str, slide: str | None, nam
     + f"""SELECT CAST(epoch_us(window_start) AS BIGINT) AS window_start, CAST(epoch_us(window_end) AS BIGINT) AS window_end, endpoint, requests,
   errors, {r6('max_latency_ms')} AS max_latency_ms, mean_latency_ms FROM (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, endpoint,
-  {METRICS_SQL} FROM request_log GROUP BY 1, 2, 3) WHERE {CLOSED}""",
+  {METRICS_SQL} FROM request_log GROUP BY 1, 2, 3)""",
 )
 def window_metrics_tumbling(spark, sf_dir):
     return windowed(spark, sf_dir, "1 hour", None, "window-tumbling")
@@ -91,7 +88,7 @@ def window_metrics_tumbling(spark, sf_dir):
   errors, {r6('max_latency_ms')} AS max_latency_ms, mean_latency_ms FROM (
   SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, endpoint, {METRICS_SQL} FROM (
     SELECT *, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL (2 * i) HOUR AS window_start
-    FROM request_log, (VALUES (0), (1), (2)) AS back(i)) GROUP BY window_start, endpoint) WHERE {CLOSED}""",
+    FROM request_log, (VALUES (0), (1), (2)) AS back(i)) GROUP BY window_start, endpoint)""",
 )
 def window_metrics_sliding(spark, sf_dir):
     return windowed(spark, sf_dir, "6 hours", "2 hours", "window-sliding")
@@ -108,12 +105,12 @@ sessions AS (SELECT *, sum(fresh) OVER (PARTITION BY client ORDER BY ts, request
     + """SELECT client, CAST(epoch_us(session_start) AS BIGINT) AS session_start, CAST(epoch_us(session_end) AS BIGINT) AS session_end,
   requests, errors FROM (SELECT client, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end,
     CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE status >= 500) AS BIGINT) AS errors
-  FROM sessions GROUP BY client, session)
-WHERE session_end <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE""",
+  FROM sessions GROUP BY client, session)""",
 )
 def session_metrics(spark, sf_dir):
     log = stream_view(spark, sf_dir, "request_log")
-    return epoch_seconds(jobs.write_available(jobs.client_sessions(log, "6 hours"), "sessions"), "session_start", "session_end")
+    sessions = jobs.write_complete(jobs.client_sessions(log, "6 hours", delay=None), "sessions")
+    return epoch_seconds(sessions, "session_start", "session_end")
 
 
 @query(
@@ -161,13 +158,12 @@ def edge_sql(f: str) -> str:
         ),
     )
     + f"""SELECT CAST(epoch_us(CAST(day AS TIMESTAMP)) AS BIGINT) AS window_start, feature, {r6('psi')} AS psi
-FROM ({' UNION ALL '.join(psi_window_sql(f) for f in PSI_FEATURES)})
-WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+FROM ({' UNION ALL '.join(psi_window_sql(f) for f in PSI_FEATURES)})""",
 )
 def window_psi(spark, sf_dir):
     early = view(spark, sf_dir, "traffic").where("f_hour < 12")
     edges = drift.psi_edges(early, PSI_FEATURES)
     live = stream_view(spark, sf_dir, "timed_traffic")
-    bins = jobs.write_available(jobs.windowed_bins(live, edges, "1 day"), "window-psi")
+    bins = jobs.write_complete(jobs.windowed_bins(live, edges, "1 day", delay=None), "window-psi")
     table = jobs.window_psi(bins, early, edges)
     return epoch_seconds(table, "window_start").withColumn("psi", rounded("psi"))

@@ -90,6 +90,12 @@ class AutoencoderConfig:
     learning_rate: float = 5e-3
     weight_decay: float = 1e-4
     seed: int = SEED
+    # Networks trained side by side and averaged after each epoch. Part of the model, like the seed.
+    replicas: int = 8
+
+    def __post_init__(self) -> None:
+        if self.replicas < 1:
+            raise ValueError("replicas must be positive")
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,9 @@
 """Autoencoder trained by data-parallel parameter averaging, scored as an Arrow function.
 
-The network is a symmetric ReLU perceptron. In every epoch each partition runs mini-batch Adam from
-the shared weights over its own rows; the new weights are the row-weighted mean over partitions,
-summed by Spark parameter by parameter. Only the weights (fixed by the layer sizes) reach the driver.
+The network is a symmetric ReLU perceptron. Rows are dealt to ``replicas`` partitions by their hash. In every epoch
+each partition runs mini-batch Adam from the shared weights over its own rows, with moments that start anew; the new
+weights are the row-weighted mean over partitions, summed by Spark parameter by parameter. An epoch shuffles
+``replicas`` times the weights, whatever the number of rows. Only the weights (fixed by the layer sizes) reach the driver.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from pyspark.sql import functions as F
 from flowguard.config import AutoencoderConfig
 from flowguard.functions.columns import quoted, sql_double
 from flowguard.operators.prep import require_columns
-from flowguard.session import materialize
+from flowguard.session import shared_dir
 
 # Adam constants.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
-ROWS_PER_PARTITION = 200_000
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -148,22 +148,22 @@ def fit_autoencoder(
     features: Sequence[str],
     weights: Mapping[str, float] | None = None,
     cfg: AutoencoderConfig = AutoencoderConfig(),
-    rows_per_partition: int = ROWS_PER_PARTITION,
 ) -> Autoencoder:
-    """Trains on the given (benign) rows; ``losses`` holds the mean loss of every epoch."""
+    """Trains on the given (benign) rows; ``losses`` holds the mean loss of every epoch.
+
+    The result follows from the rows, the seed and ``replicas``; it does not depend on how the input is split.
+    """
     require_columns(benign, features, "feature")
     given = dict(weights) if weights else {}
     mean = sum(given.values()) / len(given) if given else 1.0
     aligned = np.array([given.get(f, mean) for f in features])
     spark = benign.sparkSession
-    # The epochs re-read one materialised table of feature arrays.
-    rows = materialize(benign.select(feature_array(features).alias("x")))
-    total = rows.count()
-    if total == 0:
+    shared_dir(spark)
+    # A reliable checkpoint keeps partitions and their order: the epochs re-read it without a shuffle.
+    hashed = benign.select(feature_array(features).alias("x")).withColumn("h", F.xxhash64("x"))
+    rows = hashed.repartition(cfg.replicas, "h").sortWithinPartitions("h", "x").select("x").checkpoint()
+    if rows.isEmpty():
         raise ValueError("no benign rows to train on")
-    wanted = max(1, -(-total // rows_per_partition))
-    if rows.rdd.getNumPartitions() > wanted:
-        rows = rows.coalesce(wanted)
     sizes = layer_sizes(len(features), cfg)
     flat = flatten(initial_layers(len(features), cfg))
     losses: list[float] = []

@@ -131,27 +131,32 @@ def promotion_decision(
     experiment_text: Column | str | None = None,
     runs_text: Column | str | None = None,
     namespace: str = NAMESPACE,
+    reports: DataFrame | None = None,
+    promoted_from: str = PROMOTED_FROM,
 ) -> DataFrame:
     """Metrics, gate outcome, champion and version of every run.
 
     The version hashes the two reports and the thresholds; by default the combined metrics stand for the reports.
+    ``reports`` has a row for each ``run_name`` with the columns that the two texts refer to.
     """
     decided = promotion_gate(combined_metrics(experiments, runs), thresholds)
+    names = decided.columns
+    if reports is not None:
+        decided = decided.join(reports, "run_name", "left")
     own = canonical_json(["run_name", "baseline_f1_weighted", "hybrid_f1", "fusion_f1", "fusion_auroc"])
     folds = canonical_json(["loao_mean_f1", "loao_min_f1", "loao_mean_attack_rate_pred", "loao_run_count"])
     first = own if experiment_text is None else as_column(experiment_text)
     second = folds if runs_text is None else as_column(runs_text)
     gates = threshold_hash(thresholds)
     hashes = [content_hash(first), content_hash(second), gates]
-    return decided.withColumns(
-        {
-            "champion_source": F.when(F.col("approved"), F.lit(CHAMPION)).otherwise(F.lit("none")),
-            "experiment_hash": content_hash(F.concat_ws("|", first, second)),
-            "config_hash": gates,
-            "version": version_id(hashes, namespace),
-            "model_name": F.lit(CHAMPION),
-            "promoted_from": F.lit(PROMOTED_FROM),
-        }
+    return decided.select(
+        *names,
+        F.when(F.col("approved"), F.lit(CHAMPION)).otherwise(F.lit("none")).alias("champion_source"),
+        content_hash(F.concat_ws("|", first, second)).alias("experiment_hash"),
+        gates.alias("config_hash"),
+        version_id(hashes, namespace).alias("version"),
+        F.lit(CHAMPION).alias("model_name"),
+        F.lit(promoted_from).alias("promoted_from"),
     )
 
 

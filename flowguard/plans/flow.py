@@ -65,7 +65,7 @@ def prepare(
     table = prep.encode_labels(
         prep.transform(parts, params, keep=["row_key", *metadata, "split"]), classes, metadata[0]
     )
-    return PreparedData(table, params, tuple(classes), checks.quality_summary(narrow, chosen, metadata))
+    return PreparedData(table, params, tuple(classes), checks.quality_summary(narrow.drop("row_key"), chosen, metadata))
 
 
 def split_drift(spark: SparkSession, sf_dir: str, cfg: DriftConfig = DriftConfig()) -> DataFrame:

@@ -51,15 +51,19 @@ class HybridModel:
         return found if with_proba else found.drop("proba")
 
     def score(self, df: DataFrame, normalize: str = "batch", prepared: bool = True) -> DataFrame:
-        """Predictions of every row; ``prepared=False`` applies the stored preprocessing first."""
+        """Predictions of every row; ``prepared=False`` applies the stored preprocessing first.
+
+        ``batch`` needs the range of the signals before it can scale them: they are computed once and stored.
+        """
         rows = df
         if not prepared:
             if self.params is None:
                 raise ValueError("the model carries no preprocessing parameters")
             rows = prep.transform(df, self.params)
-        dual = scoring.with_dual_score(
-            self.signals(rows), "clf_score", "rec_error", normalize, self.reference_range, self.dual
-        )
+        found = self.signals(rows)
+        if normalize == "batch":
+            found = materialize(found, "signals")
+        dual = scoring.with_dual_score(found, "clf_score", "rec_error", normalize, self.reference_range, self.dual)
         return scoring.fuse(dual, self.fusion.weights, self.fusion.intercept)
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -14,6 +14,8 @@ from flowguard.operators.scoring import SignalRange, fuse, with_dual_score
 from flowguard.session import scratch_path
 from flowguard.sources.traffic_csv import feature_schema, path_columns
 
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def csv_stream(
     spark: SparkSession, paths: str, features: Sequence[str], max_files_per_trigger: int | None = None
@@ -48,13 +50,51 @@ def write_available(df: DataFrame, name: str, output_mode: str = "append") -> Da
     return spark.read.schema(df.schema).parquet(f"{base}/data")
 
 
-def windowed_requests(log: DataFrame, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Request metrics per window; rows later than the watermark are dropped, closed windows are emitted once."""
-    return window_metrics(log.withWatermark("ts", delay), size, slide)
+def write_complete(df: DataFrame, name: str) -> DataFrame:
+    """Drains the stream in complete mode and returns the aggregate after its last trigger, open windows included.
+
+    Give it an aggregate without watermark: all groups stay in the state, and no row is late. A replayed trigger
+    overwrites its own folder, so the result is exact after a failure.
+    """
+    spark = df.sparkSession
+    base = scratch_path(spark, name)
+    numbers: list[int] = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/trigger-{number}")
+        numbers.append(number)
+
+    started = (
+        df.writeStream.outputMode("complete")
+        .foreachBatch(store)
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{base}/trigger-{max(numbers)}")
+
+
+def watermarked(rows: DataFrame, time: str, delay: str | None) -> DataFrame:
+    """``None`` sets no watermark, for results in complete mode."""
+    return rows if delay is None else rows.withWatermark(time, delay)
+
+
+def windowed_requests(
+    log: DataFrame, size: str, slide: str | None = None, delay: str | None = "10 minutes"
+) -> DataFrame:
+    """Request metrics per window. In append mode rows later than the watermark are dropped and closed windows are
+    emitted once."""
+    return window_metrics(watermarked(log, "ts", delay), size, slide)
 
 
-def client_sessions(log: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
-    return session_metrics(log.withWatermark("ts", delay), gap)
+def client_sessions(log: DataFrame, gap: str, delay: str | None = "10 minutes") -> DataFrame:
+    """Request metrics per client session. Each task merges its own sessions before the shuffle, so that a busy client
+    sends sessions instead of requests to its task."""
+    log.sparkSession.conf.set(MERGE_SESSIONS, "true")
+    return session_metrics(watermarked(log, "ts", delay), gap)
 
 
 def without_replays(log: DataFrame, keys: Sequence[str] = ("request_id",), delay: str = "1 day") -> DataFrame:
@@ -75,7 +115,7 @@ def scored_stream(
 
 
 def windowed_bins(
-    rows: DataFrame, edges: dict[str, list[float]], size: str, delay: str = "10 minutes", time: str = "ts"
+    rows: DataFrame, edges: dict[str, list[float]], size: str, delay: str | None = "10 minutes", time: str = "ts"
 ) -> DataFrame:
     """Histogram of every feature per window over fixed reference edges: one count per bin."""
     features = list(edges)
@@ -85,7 +125,7 @@ def windowed_bins(
     most = max(len(e) for e in edges.values()) - 1
     counts = F.array(*[F.count_if(F.col("bin") == b) for b in range(max(most, 1))])
     return (
-        long.withWatermark(time, delay)
+        watermarked(long, time, delay)
         .groupBy(F.window(time, size).alias("w"), "feature_id")
         .agg(counts.alias("counts"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature_id", "counts")

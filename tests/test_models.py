@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowguard.config import AutoencoderConfig, BoostConfig, HybridConfig, PrepConfig
-from flowguard.operators import attribution, autoencoder, models
+from flowguard.operators import attribution, autoencoder, models, scoring
 from flowguard.plans import hybrid
 from flowguard.streaming import jobs
-from flowguard.operators.monitor import window_metrics
+from flowguard.operators.monitor import session_metrics, window_metrics
 
 FEATURES = ["a", "b", "c"]
 SMALL = HybridConfig(
@@ -97,8 +97,8 @@ def test_gradient_of_the_network():
 
 def test_autoencoder_learns_benign_rows(spark, rows):
     benign = rows.where("label = 'benign'").repartition(3)
-    cfg = AutoencoderConfig(hidden=(8,), latent=2, epochs=12, batch_size=16, learning_rate=0.01)
-    model = autoencoder.fit_autoencoder(benign, FEATURES, {"a": 1.0, "b": 2.0}, cfg, rows_per_partition=100)
+    cfg = AutoencoderConfig(hidden=(8,), latent=2, epochs=12, batch_size=16, learning_rate=0.01, replicas=3)
+    model = autoencoder.fit_autoencoder(benign, FEATURES, {"a": 1.0, "b": 2.0}, cfg)
     assert model.weights == (1.0, 2.0, 1.5)
     assert model.losses[-1] < model.losses[0]
     scored = model.add_error(rows)
@@ -149,6 +149,25 @@ def test_folds_with_and_without_refit(rows):
         hybrid.fit_hybrid(rows, FEATURES, replace(SMALL, weighting="other"))
 
 
+def test_autoencoder_does_not_depend_on_input_splits(spark, rows):
+    benign = rows.where("label = 'benign'")
+    cfg = AutoencoderConfig(hidden=(4,), latent=2, epochs=2, batch_size=16, replicas=2)
+    one, many = (autoencoder.fit_autoencoder(benign.repartition(n), FEATURES, cfg=cfg) for n in (1, 7))
+    assert np.allclose(one.flat, many.flat, rtol=0, atol=1e-12) and np.allclose(one.losses, many.losses)
+    with pytest.raises(ValueError, match="replicas"):
+        AutoencoderConfig(replicas=0)
+    with pytest.raises(ValueError, match="no benign rows"):
+        autoencoder.fit_autoencoder(benign.limit(0), FEATURES, cfg=cfg)
+
+
+def test_batch_scores_do_not_change_when_signals_are_stored(rows):
+    run = hybrid.fit_hybrid(rows, FEATURES, SMALL)
+    found = {r.row_key: r for r in run.model.score(rows, normalize="batch").collect()}
+    lazy = scoring.with_dual_score(run.model.signals(rows), "clf_score", "rec_error", "batch", cfg=SMALL.dual)
+    for r in scoring.fuse(lazy, run.model.fusion.weights, run.model.fusion.intercept).collect():
+        assert found[r.row_key].confidence == pytest.approx(r.confidence, abs=1e-9)
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     """Append mode emits a window once and ignores rows behind the watermark."""
     schema = "ts timestamp, endpoint string, status int, latency_ms double"
@@ -168,3 +187,20 @@ def test_late_rows_are_dropped(spark, tmp_path):
     batch = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
     whole = {r.window_start.hour: r.requests for r in window_metrics(batch, "1 hour").collect()}
     assert whole[0] == 2 and found[0] == 1 and found[2] == 1
+    # Complete mode without watermark keeps late rows and open windows: it equals the batch result.
+    full = jobs.write_complete(jobs.windowed_requests(stream, "1 hour", delay=None), "complete").collect()
+    assert {r.window_start.hour: r.requests for r in full} == whole
+
+
+def test_sessions_in_complete_mode_equal_the_batch(spark, tmp_path):
+    minutes = [("c", 0), ("c", 4), ("c", 30), ("d", 2), ("c", 33), ("c", 2), (None, 5)]
+    folder = f"{tmp_path}/log"
+    for i, (client, m) in enumerate(minutes):
+        frame = spark.createDataFrame([(client, f"2024-01-01 00:{m:02d}:00", 200)], "client string, ts string, status int")
+        frame.selectExpr("client", "CAST(ts AS timestamp) AS ts", "status").write.parquet(f"{folder}/b={i}")
+    schema = "client string, ts timestamp, status int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(folder)
+    got = jobs.write_complete(jobs.client_sessions(stream, "10 minutes", delay=None), "sessions")
+    assert spark.conf.get(jobs.MERGE_SESSIONS) == "true"
+    batch = session_metrics(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder), "10 minutes")
+    assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty() and got.count() >= 3
