@@ -33,6 +33,9 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "respond", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "form", "search", "pagination", "pager", "toolbar", "copyright", "disclaimer"}
 MAIN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
+# Shapes, or partial wrappers, of one host that are aligned in one task.
+FAN = 256
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -258,21 +261,30 @@ def _merge(shapes: list[str]) -> str:
     return " ".join(wrapper)
 
 
-def wrappers(shapes: DataFrame, salts: int = 32) -> DataFrame:
+def wrappers(shapes: DataFrame, fan: int = FAN) -> DataFrame:
     """host, wrapper (the union-free expression) and content (paths of the article's slots).
 
     Pages are first counted by host and shape, so a host with many pages brings its distinct shapes only. They are
-    aligned in order of frequency, salted over several tasks and then once more among the partial wrappers.
+    aligned in order of frequency, about ``fan`` in a task; the partial wrappers of a host are aligned in the same way
+    until one is left. No task holds all shapes of a host with more than that.
     """
-    distinct = shapes.groupBy("host", "shape").agg(F.count("*").alias("pages"))
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(salts)))
+    if fan < 2:
+        raise ValueError("a task must align at least two shapes")
 
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["pages", "shape"], ascending=[False, True])
         return pd.DataFrame({"host": rows["host"].iloc[:1], "shape": [_merge(list(rows["shape"]))], "pages": [rows["pages"].sum()]})
 
-    once = salted.groupBy("host", "salt").applyInPandas(partial, "host string, shape string, pages bigint")
-    merged = once.groupBy("host").applyInPandas(partial, "host string, shape string, pages bigint")
+    merged = shapes.groupBy("host", "shape").agg(F.count("*").alias("pages"))
+    while True:
+        merged = materialize(merged, "partial-wrappers")
+        sizes = merged.groupBy("host").agg(F.count("*").alias("n"))
+        if sizes.where("n > 1").isEmpty():
+            break
+        salted = merged.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / F.lit(fan))))
+        aligned = salted.groupBy("host", "salt").applyInPandas(partial, "host string, shape string, pages bigint")
+        # Tasks that came to the same wrapper count as one.
+        merged = aligned.groupBy("host", "shape").agg(F.sum("pages").alias("pages"))
     paths = (
         shapes.select("host", F.explode("paths").alias("p"))
         .groupBy("host", "p.path")

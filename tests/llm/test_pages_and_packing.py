@@ -120,6 +120,19 @@ def test_wrappers_are_union_free():
     assert html_extract.tokens_of(text) == wrapper
 
 
+def test_wrappers_of_a_host_are_aligned_in_rounds(spark):
+    rows = [(i, f"http://a.org/{i}", f"<nav>{'<b><div>m</div>' * (i % 7)}</nav><article><h1>t{i}</h1>{'<p>x</p><table>y</table>' * (i % 5)}</article>") for i in range(70)]
+    rows += [(100, "http://b.org/", "<p>one</p>"), (101, None, None), (102, "http://b.org/", "<p>one</p>")]
+    shapes = html_extract.page_shapes(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for fan in (2, 3, 256):
+        found = {r.host: r for r in html_extract.wrappers(shapes, fan).collect()}
+        assert {h: r.pages for h, r in found.items()} == {"a.org": 70, "b.org": 2, "": 1}
+        assert all("article" in c for c in found["a.org"].content) and found["b.org"].wrapper == "p #"
+        assert "|" not in found["a.org"].wrapper and "article" in found["a.org"].wrapper
+    with pytest.raises(ValueError, match="at least two"):
+        html_extract.wrappers(shapes, 1)
+
+
 def test_long_broken_pages_take_linear_time():
     for part in ("<p title='", "<", "<!--", "<a \"b", "&", "<script>", "</", "<li>"):
         html_extract.slots(part * 20_000)
