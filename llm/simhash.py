@@ -223,13 +223,15 @@ def classes(docs: DataFrame, distance: int = DISTANCE, segments=SEGMENTS, crowde
     return stored.join(named.join(best, "root").select("fingerprint", "component_id"), "fingerprint")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row of each component: its smallest doc_id; among rows of that id, the smallest text hash, once.
 
+    The components are those of ``found``, a result of ``classes`` here or in ``near_copies``.
+
     A component none of whose rows has an id keeps the row of the smallest text hash. Decisions are made on the narrow
     table of fingerprints; texts move once, to meet them.
     """
-    decided = classes(docs).select("doc_id", "tie", "fingerprint", "component_id")
+    decided = (classes(docs) if found is None else found).select("doc_id", "tie", "fingerprint", "component_id")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("tie").isNull().alias("no_tie"), F.col("tie").alias("tie"))
     group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     chosen = decided.groupBy("component_id", group.alias("alone")).agg(F.min(place).alias("best")).select("best.*")
