@@ -186,29 +186,44 @@ def is_aside(name: str) -> bool:
 def choose(paths: dict[str, tuple[int, bool]]) -> list[str]:
     """The slots of the article among a wrapper's: ``paths`` maps a path to (characters, same text on all pages).
 
-    Left out are paths inside a container whose name says it is something else, and containers with one text on all
-    pages. Of the rest, an article or main element holds the article, else a container named so, else the deepest one that
-    has at least six tenths of the text.
+    Left out are paths inside a container whose name says it is something else. Of the rest, an article or main element holds
+    the article, else a container named so that has text that differs or most of the text, else the deepest one
+    that has at least six tenths of the differing text. Nothing within it is left out for having one text on all pages.
     """
     open_ = {p: v for p, v in paths.items() if not any(is_aside(n) for n in p.split(">")[_root(p) :])}
-    varied = {p: v for p, v in open_.items() if not v[1]} or open_
+    whole = sum(n for n, _ in open_.values())
+    varied = {p: v for p, v in open_.items() if not v[1]}
+    # Where nearly all text is constant, the pages are copies of one article.
+    if 10 * sum(n for n, _ in varied.values()) < whole:
+        varied = open_
     for good in (
         lambda n: n.split(".")[0] == "article",
         lambda n: n.split(".")[0] == "main" or n.endswith(".main"),
         lambda n: n.split(".")[0] in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(n.split(".")[1:]),
     ):
-        inside = [p for p in varied if any(good(n) for n in p.split(">"))]
-        if inside:
+        inside = [p for p in open_ if any(good(n) for n in p.split(">"))]
+        if any(p in varied for p in inside) or 10 * sum(open_[p][0] for p in inside) >= 6 * whole > 0:
             return inside
-    total = sum(n for n, _ in varied.values())
+    some = sum(n for n, _ in varied.values())
+    best = max((k for k, n in _weights(varied).items() if 10 * n >= 6 * some), key=lambda k: (k.count(">"), k), default="")
+    if not best or _root(best) == len(best.split(">")):
+        return list(varied)
+    return [p for p in open_ if _within(p, best)]
+
+
+def _within(path: str, container: str) -> bool:
+    return path == container or path.startswith(container + ">")
+
+
+def _weights(paths: dict[str, tuple[int, bool]]) -> dict[str, int]:
+    """Characters within every container."""
     weight: dict[str, int] = {}
-    for path, (n, _) in varied.items():
+    for path, (n, _) in paths.items():
         names = path.split(">")
         for i in range(len(names)):
             key = ">".join(names[: i + 1])
             weight[key] = weight.get(key, 0) + n
-    best = max((k for k, n in weight.items() if 10 * n >= 6 * total), key=lambda k: (k.count(">"), k), default="")
-    return [p for p in varied if not best or p == best or p.startswith(best + ">")]
+    return weight
 
 
 def _root(path: str) -> int:
@@ -219,13 +234,14 @@ def _root(path: str) -> int:
 
 def page_shapes(pages: DataFrame) -> DataFrame:
     """host, shape and the paths with their characters and text hash: what inference needs from each page."""
-    schema = "host string, shape string, paths array<struct<path:string,chars:bigint,hash:bigint>>"
+    schema = "host string, page bigint, shape string, paths array<struct<path:string,chars:bigint,hash:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, paths = [], []
+            shapes, paths, hashes = [], [], []
             for html in batch.column(1):
                 stream, blocks = slots(html.as_py() or "")
+                hashes.append(int.from_bytes(blake2b((html.as_py() or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True))
                 texts: dict[str, list[str]] = {}
                 for path, text in blocks:
                     texts.setdefault(path, []).append(text)
@@ -237,7 +253,7 @@ def page_shapes(pages: DataFrame) -> DataFrame:
                     ]
                 )
             kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("hash", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(paths, kind)], names=["host", "shape", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(shapes, pa.string()), pa.array(paths, kind)], names=["host", "page", "shape", "paths"])
 
     return pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInArrow(run, schema)
 
@@ -285,11 +301,15 @@ def wrappers(shapes: DataFrame, fan: int = FAN) -> DataFrame:
         aligned = salted.groupBy("host", "salt").applyInPandas(partial, "host string, shape string, pages bigint")
         # Tasks that came to the same wrapper count as one.
         merged = aligned.groupBy("host", "shape").agg(F.sum("pages").alias("pages"))
+    # A path has one text on all pages if all distinct pages of the host have it; copies of a page count once.
+    single = shapes.dropDuplicates(["host", "page"])
+    counted = single.groupBy("host").agg(F.count("*").alias("all"))
     paths = (
-        shapes.select("host", F.explode("paths").alias("p"))
+        single.select("host", F.explode("paths").alias("p"))
         .groupBy("host", "p.path")
         .agg(F.sum("p.chars").alias("chars"), F.count("*").alias("n"), F.min("p.hash").alias("low"), F.max("p.hash").alias("high"))
-        .select("host", "path", "chars", ((F.col("n") >= 3) & (F.col("low") == F.col("high"))).alias("same"))
+        .join(counted, "host")
+        .select("host", "path", "chars", ((F.col("n") >= 3) & (F.col("n") == F.col("all")) & (F.col("low") == F.col("high"))).alias("same"))
     )
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
