@@ -28,6 +28,8 @@ CONTAINERS = {"html", "body", "main", "article", "section", "div", "nav", "heade
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "tbody", "thead", "tfoot", "caption", "pre", "hr", "figcaption", "summary", "legend", "option", "hgroup", "search"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
+# Blocks that a dropped element may hold; any other one shows that it was not closed.
+HOLDS = {"select": {"option", "hr", "legend"}, "button": {"div"}}
 # Names of what is not the article: by tag, and by words within class or id.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "respond", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "form", "search", "pagination", "pager", "toolbar", "copyright", "disclaimer"}
@@ -70,7 +72,26 @@ def slots(html: str) -> tuple[list[str], list[tuple[str, str]]]:
     blocks: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     pending: list[str] = []
-    skip = 0
+    inside, depth = "", 0  # the dropped element around this place, and how often it is open
+    inner: list[str] = []  # containers opened within it
+    closed: dict[str, int] = {}
+
+    def ends(tag: str, close: bool, at: int) -> bool:
+        """Whether a block tag shows that the dropped element was never closed: its parent ends, or it cannot hold the block."""
+        if inside == "head":
+            return True
+        if inside not in closed:
+            closed[inside] = max((m.start() for m in re.finditer(f"</{inside}", html, re.I)), default=-1)
+        if closed[inside] < at or (inside in HOLDS and not close and tag not in HOLDS[inside]):
+            return True
+        if tag in CONTAINERS:
+            if not close:
+                inner.append(tag)
+            elif tag in inner:
+                inner.remove(tag)
+            else:
+                return any(t == tag for t, _ in stack)
+        return False
 
     def end_block() -> None:
         text = " ".join(unescape("".join(pending)).split())
@@ -82,23 +103,31 @@ def slots(html: str) -> tuple[list[str], list[tuple[str, str]]]:
 
     at = 0
     for found in _TOKEN.finditer(html):
-        if not skip:
+        if not inside:
             pending.append(html[at : found.start()])
         at = found.end()
         tag = found["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        if inside:
+            if tag == inside and found["close"]:
+                depth -= 1
+            elif tag == inside == "object":
+                depth += 1
+            elif tag in BLOCKS and ends(tag, bool(found["close"]), found.start()):
+                depth = 0
+            if depth == 0:
+                inside = ""
+                inner.clear()
+            if inside or tag in DROPPED:
+                continue
         if tag in DROPPED:
             # Raw elements are one token; of these only head, select, object and button get here.
             end_block()
-            skip = max(0, skip - 1) if found["close"] else skip + 1
+            if not found["close"]:
+                inside, depth = tag, 1
             continue
-        if skip:
-            if tag == "body" and not found["close"]:
-                skip = 0  # a head that was never closed
-            else:
-                continue
         if tag not in BLOCKS:
             if tag == "br":
                 pending.append(" ")
@@ -118,7 +147,7 @@ def slots(html: str) -> tuple[list[str], list[tuple[str, str]]]:
             name = label(tag, found["attributes"])
             stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name))
             stream.append(name)
-    if not skip:
+    if not inside:
         pending.append(html[at:])
     end_block()
     return stream, blocks
@@ -180,17 +209,28 @@ def _bare_optional(node: str) -> str:
 
 def is_aside(name: str) -> bool:
     tag, *words = name.split(".")
-    return tag in ASIDE or "hidden" in words or not ASIDE_WORDS.isdisjoint(words) or not ROLES.isdisjoint(words)
+    return "hidden" in words or tag != "main" and (tag in ASIDE or not ASIDE_WORDS.isdisjoint(words) or not ROLES.isdisjoint(words))
 
 
 def choose(paths: dict[str, tuple[int, bool]]) -> list[str]:
     """The slots of the article among a wrapper's: ``paths`` maps a path to (characters, same text on all pages).
 
-    Left out are paths inside a container whose name says it is something else. Of the rest, an article or main element holds
+    Left out are paths inside a container whose name says it is something else, unless it is layout: the container holds
+    nine tenths of the text and no article or main element is outside. Of the rest, an article or main element holds
     the article, else a container named so that has text that differs or most of the text, else the deepest one
     that has at least six tenths of the differing text. Nothing within it is left out for having one text on all pages.
     """
-    open_ = {p: v for p, v in paths.items() if not any(is_aside(n) for n in p.split(">")[_root(p) :])}
+    everything = _weights(paths)
+    total = sum(n for n, _ in paths.values())
+    mains = [p for p in paths if any(n.split(".")[0] in ("article", "main") for n in p.split(">"))]
+    layout = {k for k, n in everything.items() if 10 * n >= 9 * total and all(_within(p, k) for p in mains)}
+
+    def kept(path: str) -> bool:
+        names = path.split(">")
+        judged = range(_root(path), len(names))
+        return not any(is_aside(names[i]) and ("hidden" in names[i].split(".") or ">".join(names[: i + 1]) not in layout) for i in judged)
+
+    open_ = {p: v for p, v in paths.items() if kept(p)}
     whole = sum(n for n, _ in open_.values())
     varied = {p: v for p, v in open_.items() if not v[1]}
     # Where nearly all text is constant, the pages are copies of one article.

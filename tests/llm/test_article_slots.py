@@ -1,5 +1,7 @@
 """Article text that neither a constant path nor a name on a wrapper may drop."""
 
+import pytest
+
 from llm import html_extract
 
 
@@ -12,3 +14,24 @@ def test_constant_text_of_an_article_stays(spark):
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
     assert all(got[i] == f"first {i} text\nshared passage" for i in range(3)) and got[5] == "first 5 text"
     assert all(got[20 + i] == "one article that is copied" for i in range(4))
+
+
+def choose(html):
+    blocks = html_extract.slots(html)[1]
+    own = {}
+    for path, text in blocks:
+        own[path] = own.get(path, 0) + len(text)
+    wanted = set(html_extract.choose({p: (n, False) for p, n in own.items()}))
+    return "\n".join(t for p, t in blocks if p in wanted)
+
+
+@pytest.mark.parametrize("around", ["<form id=aspnetForm>{}</form>", "<div class='site has-sidebar'>{}</div>", "<main class='with-sidebar'>{}</main>"])
+def test_a_wrapper_around_the_page_is_layout(around):
+    assert choose("<body>" + around.format("<nav>menu</nav><div class=content><p>" + "long text " * 20 + "</p></div>") + "</body>") == ("long text " * 20).strip()
+
+
+def test_what_is_not_closed_ends_with_its_parent_or_at_a_block():
+    for tag in ("button", "select", "object"):
+        assert choose(f"<body><div><{tag}>drop</div><p>kept</p><p>too</p></body>") == "kept\ntoo"
+        assert choose(f"<body><div><{tag}>drop</div><p>kept</p><{tag}>b</{tag}><p>too</p></body>") == "kept\ntoo"
+    assert choose("<body><button><div>drop</div></button><p>kept</p></body>") == "kept"
