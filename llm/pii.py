@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +98,7 @@ def example_rows() -> list[tuple[str, list[Span]]]:
 def shape(word: str) -> str:
     """Letters as a and A, digits as 9; runs are written once, digit runs with their length up to twenty."""
     out, last = [], ""
-    for run in re.finditer(r"[0-9]+|[a-z]+|[A-Z]+|[^\W\d_]+|.", word[:64], re.S):
+    for run in re.finditer(r"[0-9]+|[a-z]+|[A-Z]+|[^\W\d_]+|.", word, re.S):
         head = run[0][0]
         mark = f"9{min(len(run[0]), 20)}" if "0" <= head <= "9" else "a" if head.islower() else "A" if head.isalpha() else head
         if mark != last or mark in "()":
@@ -266,22 +268,43 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, longest: int = 64) -
     return train(rows)
 
 
+def _begins(text: str, run: list[tuple[int, int]], at: int, kind: int) -> bool:
+    """Whether a word begins a span of its own beside a word of the same label."""
+    before, word = text[slice(*run[at - 1])], text[slice(*run[at])]
+    between = text[run[at - 1][1] : run[at][0]]
+    if KINDS[kind] in ("email", "ip") or "\n" in between or "\r" in between:
+        return True
+    # An area code goes on after a country code.
+    return KINDS[kind] == "phone" and (word[0] == "+" or word[0] == "(" and "+" not in before)
+
+
 def added_spans(text: str, run: list[tuple[int, int]], labels: np.ndarray, fixed: list[Span]) -> list[Span]:
-    """Stretches of one label, without the punctuation around them, that no fixed span overlaps."""
+    """Stretches of one label, without the punctuation around them, cut where a fixed span, a line or a number ends."""
+    starts = sorted((a, b) for _, a, b in fixed)
+    reach = list(accumulate((b for _, b in starts), max))
+    places = [a for a, _ in starts]
+
+    def free(start: int, stop: int) -> bool:
+        i = bisect_left(places, stop)
+        return i == 0 or reach[i - 1] <= start
+
     found: list[Span] = []
     at = 0
     while at < len(run):
+        if not labels[at] or not free(*run[at]):
+            at += 1
+            continue
+        kind = int(labels[at]) - 1
         stop = at + 1
-        while stop < len(run) and labels[stop] == labels[at]:
+        while stop < len(run) and labels[stop] == labels[at] and free(*run[stop]) and not _begins(text, run, stop, kind):
             stop += 1
-        if labels[at]:
-            start, end = run[at][0], run[stop - 1][1]
-            while start < end and not (text[start].isalnum() or text[start] in "+("):
-                start += 1
-            while end > start and not text[end - 1].isalnum():
-                end -= 1
-            if start < end and not any(a < end and start < b for _, a, b in fixed):
-                found.append((int(labels[at]) - 1, start, end))
+        start, end = run[at][0], run[stop - 1][1]
+        while start < end and not (text[start].isalnum() or text[start] in "+("):
+            start += 1
+        while end > start and not text[end - 1].isalnum():
+            end -= 1
+        if start < end and free(start, end):
+            found.append((kind, start, end))
         at = stop
     return found
 
