@@ -44,10 +44,11 @@ def running(
     Rows are range-sorted by group and order, so that a group of any size is spread over many tasks: each range
     reports its total, the totals (one row per group and range) are summed over, and every range then counts on
     from its own offset. ``group`` and ``order`` are read twice, so ``df`` should be a stored, narrow table. Group
-    columns must not be null.
+    columns must not be null. Rows that are equal in all of them follow in any order and are parted by their place in ``df``.
     """
     amount = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    ranges = df.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(c).asc() for c in group], *order)
+    placed = df.withColumn("__row", F.monotonically_increasing_id())
+    ranges = placed.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(c).asc() for c in group], *order, F.col("__row").asc()).drop("__row")
     stored = materialize(ranges.withColumn("__range", F.spark_partition_id()), "ranges")
     earlier = (Window.unboundedPreceding, -1)
     totals = stored.groupBy(*group, "__range").agg(F.sum(amount).alias("__total"))

@@ -39,7 +39,7 @@ class Ids:
 
     The file's vocabulary is read into the faster of two readers. The pattern that parts a text into units looks ahead
     only within runs of white space, so texts without such runs take a pattern without that look-ahead. Strings of
-    special tokens are ordinary text.
+    special tokens stand for these tokens, as in the file's own library, unless a text is read as ``ordinary``.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,11 +53,20 @@ class Ids:
         self.full = tiktoken.Encoding("full", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         short = PATTERN.replace(r"\s+(?!\S)|", "")
         self.short = tiktoken.Encoding("short", pat_str=short, mergeable_ranks=ranks, special_tokens={})
+        self.tokens = {n: token for token, n in ranks.items()}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in special.values()):
+            raise ValueError(f"added tokens with conditions: {path}")
+        self.special = {t.content: array("I", [n]).tobytes() for n, t in special.items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def encode(self, text: str) -> bytes:
+    def ordinary(self, text: str) -> bytes:
         reader = self.full if _TWO_SPACES.search(text) else self.short
         return array("I", reader.encode_ordinary(text)).tobytes()
 
+    def encode(self, text: str) -> bytes:
+        parts = self.marks.split(text) if self.special else [text]
+        return b"".join(self.special[p] if i % 2 else self.ordinary(p) for i, p in enumerate(parts))
+
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> Ids:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import fingerprint, html_extract, mixing, packing, pii, quality_rules, secret_scan, simhash, url_filter, warc
+from llm import alignment, bpe, fingerprint, html_extract, manifest, mixing, packing, pii, quality_rules, secret_scan, simhash, url_filter, warc
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,12 +131,17 @@ def _spans_sql() -> str:
         ("access", r"AKIA[A-Z0-9]+", 0, 16),
         ("hex", r"[0-9a-f]+", 0, 32),
         ("pem", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1),
+        ("github", r"(?:^|[^A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{36,})", 1, 1),
+        ("slack", r"(?:^|[^A-Za-z0-9])(xox[abeoprs]-[A-Za-z0-9-]{10,})", 1, 1),
+        ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, 1),
     ]
     parts = []
     for number, (kind, pattern, group, least) in enumerate(kinds):
+        # The character before a match is part of the hit where the pattern has one.
+        before = "length(hit) - length(part)" if pattern.startswith("(?:^") else "0"
         parts.append(
             f"""
-            SELECT doc_id, {number} AS number, '{kind}' AS kind, start, start + length(hit) AS stop FROM (
+            SELECT doc_id, {number} AS number, '{kind}' AS kind, start + {before} AS start, start + length(hit) AS stop FROM (
               SELECT doc_id, hit, part, sum(length(piece)) OVER w + coalesce(sum(length(hit)) OVER v, 0) AS start
               FROM (
                 SELECT doc_id, unnest(hits) AS hit, unnest(parts) AS part, unnest(pieces[1:len(hits)]) AS piece, unnest(range(len(hits))) AS i
@@ -281,3 +286,89 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def _levels_sql(name: str, source: str, levels: int) -> str:
+    """CTEs ``name``_0 to ``name``_<levels>: the nodes (tree, i, n, h) of ``source`` (tree, i, h), eight to a parent while there are several."""
+    parts = [f"{name}_0 AS (SELECT tree, i, count(*) OVER (PARTITION BY tree) AS n, h FROM {source})"]
+    for k in range(levels):
+        parts.append(
+            f"""{name}_{k + 1} AS (
+              SELECT tree, i // 8 AS i, (max(n) + 7) // 8 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h
+              FROM {name}_{k} GROUP BY tree, i // 8
+            )"""
+        )
+    return ", ".join(parts)
+
+
+def _folds_sql(name: str, source: str, nodes: str, levels: int) -> str:
+    """CTEs ``name``_0 to ``name``_<levels>: the rows (id, tree, i, v, proof) of ``source``, folded up the nodes."""
+    parts = [f"{name}_0 AS (SELECT id, tree, i, v, proof FROM {source})"]
+    for k in range(levels):
+        parts.append(
+            f"""{name}_{k + 1} AS (
+              SELECT f.id, f.tree, f.i // 8 AS i,
+                CASE WHEN g.n > 1 THEN sha256(array_to_string(g.hs[1:f.i % 8], '') || f.v || array_to_string(g.hs[f.i % 8 + 2:], '')) ELSE f.v END AS v,
+                CASE WHEN g.n > 1 THEN f.proof || array_to_string(g.hs[1:f.i % 8], '') || array_to_string(g.hs[f.i % 8 + 2:], '') ELSE f.proof END AS proof
+              FROM {name}_{k} f JOIN (SELECT tree, i // 8 AS p, max(n) AS n, list(h ORDER BY i) AS hs FROM {nodes}_{k} GROUP BY tree, i // 8) g
+                ON f.tree = g.tree AND f.i // 8 = g.p
+            )"""
+        )
+    return ", ".join(parts)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+
+# Levels of eight: enough for 8^8 documents of a language and 8^3 languages.
+LEAF_LEVELS, TOP_LEVELS = 8, 3
+
+
+@query(
+    "op11_manifest",
+    f"""
+    WITH c AS (
+      SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::UBIGINT)),
+        lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda z: 0::UBIGINT)),
+          lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::UBIGINT) ELSE r // 2 END)) AS crc
+      FROM documents
+    ),
+    d AS (
+      SELECT doc_id, coalesce('1' || lang, '0') AS tree, {_leaf_sql("text")} AS leaf,
+        {_leaf_sql("CASE WHEN xor(crc, 4294967295::UBIGINT) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")} AS replacement
+      FROM c
+    ),
+    l AS (
+      SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS LAST, leaf, replacement) - 1 AS i FROM d
+    ),
+    src AS (SELECT tree, i, leaf AS h FROM l),
+    {_levels_sql("a", "src", LEAF_LEVELS)},
+    sub AS (SELECT tree AS name, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i FROM a_{LEAF_LEVELS}),
+    tops AS (SELECT '' AS tree, i, h FROM sub),
+    {_levels_sql("b", "tops", TOP_LEVELS)},
+    given AS (SELECT id, tree, i, replacement AS v, '' AS proof FROM l),
+    {_folds_sql("f", "given", "a", LEAF_LEVELS)},
+    lifted AS (SELECT f.id, '' AS tree, sub.i, f.v, f.proof FROM f_{LEAF_LEVELS} f JOIN sub ON f.tree = sub.name),
+    {_folds_sql("g", "lifted", "b", TOP_LEVELS)}
+    SELECT l.doc_id, l.leaf, sub.h AS subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.v AS folded_root, g.v = r.h AS verified
+    FROM l JOIN g_{TOP_LEVELS} g USING (id) JOIN sub ON l.tree = sub.name JOIN b_{TOP_LEVELS} r ON r.tree = ''
+    """,
+)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.verify(docs, manifest.tampered(docs))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))

@@ -31,7 +31,8 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
-# Fixed values. The runs of "access" and "hex" are cut at their least length within the pattern, which finds the same
+# Fixed values. No pattern repeats a group of varying length other than possessively: Java would match it by recursion and
+# end the process on a long text. The runs of "access" and "hex" are cut at their least length within the pattern, which finds the same
 # matches as filtering whole runs, without listing every short run of a text.
 BASE = (
     Rule("assign", 1, r"""(?=[pstaPSTA])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, (":", "=")),
@@ -39,7 +40,7 @@ BASE = (
     Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
 ADDED = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", needs=("-----BEGIN ",)),
+    Rule("pem", 1, r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z0-9]+ )*+PRIVATE KEY-----", needs=("-----BEGIN ",)),
     Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}", needs=("_",)),
     Rule("slack", 1, r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
     Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", needs=("eyJ",)),
@@ -52,6 +53,26 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Sums of a long array up to and with each place. An array grows by copying, so sums are taken in blocks first."""
+    empty = F.array().cast("array<bigint>")
+
+    def short(part: Column) -> Column:
+        return F.aggregate(part, empty, lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + v)))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block) - 1, F.lit(0)).cast("int")), lambda i: F.slice(values, i * block + 1, F.lit(block))
+    )
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, v: acc + v)
+    return bind(
+        blocks,
+        lambda b: bind(
+            short(F.transform(b, total)),
+            lambda t: F.flatten(F.transform(b, lambda part, i: bind(F.get(t, i) - total(part), lambda before: F.transform(short(part), lambda v: v + before)))),
+        ),
+    )
+
+
 def find(text: Column, rule: Rule) -> Column:
     """Spans (start, stop) of a rule in a text that is not null, in code points.
 
@@ -61,14 +82,9 @@ def find(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
 
     def placed(parts: Column) -> Column:
-        step = lambda acc, p: F.struct(
-            (acc["at"] + p["before"] + p["length"]).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + p["before"])).alias("starts"),
-        )
-        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-        starts = F.aggregate(parts, first, step, lambda acc: acc["starts"])
+        ends = running_sums(F.transform(parts, lambda p: p["before"] + p["length"]))
         return bind(
-            starts,
+            F.zip_with(ends, parts, lambda end, p: end - p["length"]),
             lambda s: F.transform(
                 F.filter(
                     F.transform(

@@ -244,3 +244,28 @@ def test_field_learns_shapes(spark):
     assert sum(r.n_email for r in got) == 60 and sum(r.n_phone for r in got) == 60
     assert {r.spans for r in got if r.doc_id in (None, 99)} == {""}
     assert pii.digest(docs.limit(0), field).count() == 0
+
+
+LONG = 10**6
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("-----BEGIN " + "AB " * LONG, []),
+        ("-----BEGIN " + "AB " * LONG + "PRIVATE KEY-----", [("pem", 0, 3 * LONG + 27)]),
+        ("password: " + "g" * LONG, [("assign", 0, LONG + 10)]),
+        ("password" + " " * LONG, []),
+        ("AKIA" + "Z" * LONG, [("access", 0, LONG + 4)]),
+        ("0" * LONG, [("hex", 0, LONG)]),
+        ("ghp_" + "z" * LONG, [("github", 0, LONG + 4)]),
+        ("xoxb-" + "z-" * LONG, [("slack", 0, 2 * LONG + 5)]),
+        ("eyJ" * LONG, []),
+        ("eyJ" + "z" * LONG + "." + "y" * LONG + "." + "x" * LONG, [("jwt", 0, 3 * LONG + 5)]),
+        ("-----BEGIN RSA PRIVATE KEY-----\n" * 50_000, [("pem", 32 * i, 32 * i + 31) for i in range(50_000)]),
+    ],
+    ids=range(11),
+)
+def test_secrets_in_very_long_texts(spark, text, spans):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert secret_scan.digest(docs).head().spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
