@@ -2,12 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from flowguard.catalog import load_all
 from tests.oracle import compare, connect
 
 from .conftest import SF_TINY
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = load_all()
 
 
 @pytest.fixture(scope="module")
