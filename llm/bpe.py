@@ -23,8 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Units and pairs that a task remembers; a full memory starts anew.
+# Units that a task remembers, and a quarter of the pairs; a full memory starts anew. Units above SHORT are not kept.
 MEMORY = 1 << 18
+SHORT = 64
 NEVER = 1 << 40
 
 
@@ -121,35 +122,40 @@ class Bpe:
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
 
-    def _tolerate(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
-        found = self.pairs.get(pair)
-        if found is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            found = self.pairs[pair] = self.merges.tolerate(a, b)
+    def _learn(self, pair: int) -> bool:
+        if len(self.pairs) >= 4 * MEMORY:
+            self.pairs.clear()
+        found = self.pairs[pair] = self.merges.tolerate(pair >> 32, pair & 0xFFFFFFFF)
         return found
 
     def unit(self, text: str) -> tuple[int, ...]:
         """Ids of a text within which all merges may act."""
         word = text.encode("utf-8").decode("latin-1").translate(self.letters)
         n = len(word)
-        # Of every prefix: its last token, and where that begins. The arrays hold machine numbers, for units of any length.
-        last, start = array("l", bytes(8 * (n + 1))), array("l", bytes(8 * (n + 1)))
+        # Of every prefix: its last token, and where that begins. Arrays hold machine numbers, for units of any length.
+        last, start = ([0] * (n + 1), [0] * (n + 1)) if n <= SHORT else (array("l", bytes(8 * (n + 1))), array("l", bytes(8 * (n + 1))))
+        pairs = self.pairs
         done = 0  # the longest prefix whose last token is known
         for end, (token, size) in self.automaton.iter(word):
-            stop = end + 1
-            if stop > done:
-                at = stop - size
-                if at == 0 or self._tolerate(last[at], token):
-                    last[stop], start[stop], done = token, at, stop
+            if end >= done:
+                at = end + 1 - size
+                if at:
+                    pair = last[at] << 32 | token
+                    tolerated = pairs.get(pair)
+                    if tolerated is None:
+                        tolerated = self._learn(pair)
+                    if not tolerated:
+                        continue
+                done = end + 1
+                last[done], start[done] = token, at
         if done < n:
             raise ValueError("a prefix has no last token: the vocabulary lacks a byte")
         ids = []
         while n:
             ids.append(last[n])
             n = start[n]
-        return tuple(reversed(ids))
+        ids.reverse()
+        return tuple(ids)
 
     def _ordinary(self, text: str, ids: list[int]) -> None:
         known = self.known
@@ -157,7 +163,7 @@ class Bpe:
             found = known.get(part)
             if found is None:
                 found = self.unit(part)
-                if len(part) <= 64:
+                if len(part) <= SHORT:
                     if len(known) >= MEMORY:
                         known.clear()
                     known[part] = found
