@@ -11,11 +11,12 @@ from flowguard.catalog.registration import query
 from flowguard.catalog.scoring import signals
 from flowguard.config import AutoencoderConfig, BoostConfig, HybridConfig
 from flowguard.operators import models, prep, scoring, weights
+from flowguard.operators.boosting import fit_softmax
 from flowguard.operators.attribution import shap_weights as attribution_weights
 from flowguard.operators.autoencoder import fit_autoencoder
 from flowguard.operators.splits import stratified_split
 from flowguard.plans import hybrid
-from flowguard.plans.views import VECTOR_FEATURES, view
+from flowguard.plans.views import VECTOR_FEATURES, view, with_views
 from flowguard.session import materialize, scratch_path
 
 # Few and shallow rounds: the catalog shows the jobs, not a tuned detector.
@@ -24,9 +25,11 @@ AUTOENCODER = AutoencoderConfig(hidden=(32,), latent=8, epochs=4)
 HYBRID = HybridConfig(boost=replace(BOOST, trees=2, depth=2), autoencoder=AUTOENCODER, multiclass=False)
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings, split and scaled; classes are benign, gafgyt and mirai."""
-    rows = view(spark, sf_dir, "vectors").withColumn("label", F.split_part("label", F.lit("_"), F.lit(1)))
+def vectors(spark: SparkSession, sf_dir: str, families: bool = True) -> DataFrame:
+    """All embeddings, split and scaled; classes are benign, gafgyt and mirai, or else all ten labels."""
+    rows = view(spark, sf_dir, "vectors")
+    if families:
+        rows = rows.withColumn("label", F.split_part("label", F.lit("_"), F.lit(1)))
     parts = materialize(stratified_split(rows, "label", "row_key"), "splits", "split")
     params = prep.fit_preprocessor(parts.where("split = 'train'"), VECTOR_FEATURES)
     return materialize(prep.transform(parts, params, keep=["row_key", "label", "split"]))
@@ -139,3 +142,23 @@ def artifact_reuse(spark, sf_dir):
             )
         )
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "multiclass_boosting",
+    with_views("vectors")
+    + """SELECT label, count(*) AS n_rows, count(*)::DOUBLE AS probability, true AS in_range, true AS above_chance FROM vectors GROUP BY label""",
+)
+def multiclass_boosting(spark, sf_dir):
+    """All labels, default settings. What must hold whatever the trees: probabilities sum to one, and the true class gets more than chance."""
+    rows = vectors(spark, sf_dir, families=False)
+    labels = sorted(r[0] for r in rows.select("label").distinct().collect())
+    train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
+    scored = fit_softmax(train, VECTOR_FEATURES, labels, validation=val).predict_proba(rows)
+    own = F.element_at("proba", F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int"))
+    return scored.groupBy("label").agg(
+        F.count("*").alias("n_rows"),
+        F.round(F.sum(F.aggregate("proba", F.lit(0.0), lambda a, v: a + v)), 6).alias("probability"),
+        F.every(F.forall("proba", lambda v: (v > 0) & (v < 1))).alias("in_range"),
+        (F.avg(own) > 1 / len(labels)).alias("above_chance"),
+    )

@@ -79,6 +79,10 @@ class BoostConfig:
     max_bins: int = 256
     early_stopping: bool = True
     seed: int = SEED
+    # Leaf penalties and rounds without a lower loss, of the softmax booster.
+    alpha: float = 0.0
+    reg_lambda: float = 1.0
+    patience: int = 10
 
 
 @dataclass(frozen=True)
