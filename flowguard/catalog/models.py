@@ -17,7 +17,8 @@ from flowguard.operators.autoencoder import fit_autoencoder
 from flowguard.operators.splits import stratified_split
 from flowguard.plans import hybrid
 from flowguard.plans.views import VECTOR_FEATURES, view, with_views
-from flowguard.session import materialize, scratch_path
+from flowguard.session import materialize, scratch_path, shared_dir
+from flowguard.streaming import jobs
 
 # Few and shallow rounds: the catalog shows the jobs, not a tuned detector.
 BOOST = BoostConfig(trees=4, depth=3, early_stopping=False)
@@ -162,3 +163,46 @@ def multiclass_boosting(spark, sf_dir):
         F.every(F.forall("proba", lambda v: (v > 0) & (v < 1))).alias("in_range"),
         (F.avg(own) > 1 / len(labels)).alias("above_chance"),
     )
+
+
+def full_model(spark: SparkSession, sf_dir: str) -> tuple[hybrid.HybridModel, DataFrame]:
+    """The detector of all ten labels at its default size, stored once for each application, and the prepared rows."""
+    rows = view(spark, sf_dir, "vectors")
+    parts = materialize(stratified_split(rows, "label", "row_key"), "splits", "split")
+    params = prep.fit_preprocessor(parts.where("split = 'train'"), VECTOR_FEATURES)
+    prepared = materialize(prep.transform(parts, params, keep=["row_key", "label", "split"]))
+    store = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/full-models"
+    return hybrid.fit_or_load(prepared, VECTOR_FEATURES, HybridConfig(softmax=True), store, params=params)[0], prepared
+
+
+def request_bodies(rows: DataFrame) -> DataFrame:
+    """One request for each row: a JSON array of one feature map."""
+    cells = [x for f in VECTOR_FEATURES for x in (F.lit(f), F.col(f))]
+    return rows.select("row_key", F.to_json(F.array(F.create_map(*cells))).alias("body"))
+
+
+def agreement(found: DataFrame, model: hybrid.HybridModel, prepared: DataFrame) -> DataFrame:
+    """(row_key, times, same): how often a row was scored, and whether as in the prepared table."""
+    want = model.score(prepared, normalize="fitted").select("row_key", F.col("confidence").alias("c"), F.col("prediction").alias("p"))
+    same = (F.abs(F.col("confidence") - F.col("c")) < 1e-9) & (F.col("prediction") == F.col("p"))
+    return want.join(found, "row_key", "left").groupBy("row_key").agg(F.count("confidence").alias("times"), F.every(same).alias("same"))
+
+
+SCORED_ONCE = with_views("vectors") + "SELECT row_key, 1::BIGINT AS times, true AS same FROM vectors"
+
+
+@query("score_requests", SCORED_ONCE)
+def score_requests(spark, sf_dir):
+    model, prepared = full_model(spark, sf_dir)
+    found = model.score_requests(request_bodies(view(spark, sf_dir, "vectors")))
+    return agreement(found, model, prepared)
+
+
+@query("stream_model_scores", SCORED_ONCE)
+def stream_model_scores(spark, sf_dir):
+    model, prepared = full_model(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    cells = [F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(VECTOR_FEATURES)]
+    bodies = request_bodies(stream.select(F.col("vec_id").alias("row_key"), *cells))
+    return agreement(jobs.write_available(jobs.model_scores(model, bodies), "model-scores"), model, prepared)

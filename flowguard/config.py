@@ -154,3 +154,4 @@ class HybridConfig:
     weighting: str = "ones"  # ones, importance or shap
     multiclass: bool = True  # one boosted model per class, or benign against all attacks
     attribution_rows: int | None = None  # None: all training rows
+    softmax: bool = False  # one softmax booster of all classes in place of one binary model for each

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from flowguard.config import SEED
 from flowguard.functions.columns import quoted
+from flowguard.operators.boosting import SoftmaxBooster
 from flowguard.operators.models import BoostedClassifier
 from flowguard.operators.ordering import exact_sample
 from flowguard.session import driver_rows, scratch_path
@@ -82,7 +83,7 @@ def shapley_values(x: np.ndarray, leaves: Sequence[Leaf], width: int) -> np.ndar
 
 
 def shap_weights(
-    classifier: BoostedClassifier, rows: DataFrame, key: str, sample_rows: int | None = None, seed: int = SEED
+    classifier: BoostedClassifier | SoftmaxBooster, rows: DataFrame, key: str, sample_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """(feature, weight): mean absolute Shapley value over rows and class models.
 
@@ -90,7 +91,11 @@ def shap_weights(
     """
     spark = rows.sparkSession
     names = list(classifier.features)
-    forests = spark.sparkContext.broadcast([tree_leaves(spark, m) for m in classifier.models])
+    if isinstance(classifier, SoftmaxBooster):
+        found = [classifier.leaves(c) for c in range(len(classifier.classes))]
+    else:
+        found = [tree_leaves(spark, m) for m in classifier.models]
+    forests = spark.sparkContext.broadcast(found)
     narrow = rows.select(key, *map(quoted, names))
     chosen = narrow if sample_rows is None else exact_sample(narrow, key, sample_rows, seed)
     sample = chosen.select(*[F.coalesce(F.col(quoted(n)).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)])

@@ -7,6 +7,8 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from flowguard.config import BENIGN, LABEL, DualConfig, FoldConfig, HybridConfig
 from flowguard.functions.columns import quoted
 from flowguard.operators import metrics, models, prep, registry, scoring, weights
 from flowguard.operators.attribution import shap_weights
-from flowguard.operators.autoencoder import Autoencoder, fit_autoencoder
+from flowguard.operators.autoencoder import Autoencoder, feature_array, fit_autoencoder, forward, unflatten
+from flowguard.operators.boosting import SoftmaxBooster, fit_softmax, matrix
 from flowguard.operators.splits import assign_folds, fold_table
 from flowguard.session import driver_rows, materialize
 from flowguard.sources import stores
@@ -25,7 +28,7 @@ ATTACK_CLASS = "attack"
 
 @dataclass(frozen=True)
 class HybridModel:
-    classifier: models.BoostedClassifier
+    classifier: models.BoostedClassifier | SoftmaxBooster
     input_weights: dict[str, float]
     autoencoder: Autoencoder
     dual: DualConfig
@@ -36,6 +39,8 @@ class HybridModel:
 
     def signals(self, df: DataFrame, with_proba: bool = False) -> DataFrame:
         """Adds clf_score and rec_error to prepared rows."""
+        if isinstance(self.classifier, SoftmaxBooster):
+            return self._signals_in_one_pass(df, with_proba)
         features = list(self.classifier.features)
         scored = self.classifier.predict_proba(df, "proba").withColumn(
             "clf_score", F.lit(1.0) - F.col("proba")[self.classifier.benign_index]
@@ -50,6 +55,44 @@ class HybridModel:
             found = found.drop(*features).withColumnsRenamed({f"__raw_{f}": f for f in features})
         return found if with_proba else found.drop("proba")
 
+    def _signals_in_one_pass(self, df: DataFrame, with_proba: bool) -> DataFrame:
+        """Trees and network read the same Arrow batches; both travel as one broadcast of the model's own size."""
+        prep.require_columns(df, self.classifier.features, "feature")
+        scale = np.array([self.input_weights.get(f, 1.0) for f in self.classifier.features])
+        loss = np.array(self.autoencoder.weights)
+        shared = df.sparkSession.sparkContext.broadcast((self.classifier, self.autoencoder.flat, self.autoencoder.sizes))
+
+        @F.pandas_udf("proba array<double>, rec_error double")
+        def both(found: pd.Series) -> pd.DataFrame:
+            classifier, flat, sizes = shared.value
+            x = matrix(found, sizes[0])
+            weighted = x * scale
+            gap = weighted - forward(weighted, unflatten(flat, sizes))[-1]
+            return pd.DataFrame({"proba": list(classifier.probabilities(x)), "rec_error": (gap * gap * loss).mean(axis=1)})
+
+        scored = df.withColumn("__both", both(feature_array(self.classifier.features)))
+        found = scored.withColumns(
+            {
+                "proba": F.col("__both.proba"),
+                "clf_score": F.lit(1.0) - F.col("__both.proba")[self.classifier.benign_index],
+                "rec_error": F.col("__both.rec_error"),
+            }
+        ).drop("__both")
+        return found if with_proba else found.drop("proba")
+
+    def score_requests(self, requests: DataFrame, body: str = "body", strict: bool = True) -> DataFrame:
+        """Predictions of every item of JSON requests, batch or stream: explode, align, prepare, score by the stored range.
+
+        With ``strict`` a request without a required feature fails the job; otherwise the stored fill values take its place.
+        """
+        if self.params is None:
+            raise ValueError("the model carries no preprocessing parameters")
+        items = scoring.explode_requests(requests, body)
+        aligned = scoring.align_request(items, self.params.names, strict=strict)
+        kept = [c for c in aligned.columns if c not in self.params.names]
+        rows = prep.transform(aligned, self.params, keep=kept)
+        return self.score(rows, normalize="fitted")
+
     def score(self, df: DataFrame, normalize: str = "batch", prepared: bool = True) -> DataFrame:
         """Predictions of every row; ``prepared=False`` applies the stored preprocessing first.
 
@@ -92,7 +135,7 @@ class HybridModel:
         if stores.path_exists(spark, f"{path}/prep"):
             params = prep.PrepParams.from_frame(stores.read_table(spark, f"{path}/prep"))
         return HybridModel(
-            models.BoostedClassifier.load(spark, f"{path}/classifier"),
+            (SoftmaxBooster if stores.path_exists(spark, f"{path}/classifier/nodes") else models.BoostedClassifier).load(spark, f"{path}/classifier"),
             given,
             Autoencoder.from_frame(stores.read_table(spark, f"{path}/autoencoder")),
             DualConfig(dual.alpha, dual.beta, dual.threshold_quantile),
@@ -163,7 +206,8 @@ def fit_hybrid(
     train, val = (table.where(F.col("split") == s) for s in ("train", "val"))
     classes = _class_names(train, "__class", cfg.multiclass)
     has_val = not val.isEmpty()
-    classifier = models.fit_boosted(train, features, classes, "__class", cfg.boost, val if has_val else None)
+    fit = fit_softmax if cfg.softmax else models.fit_boosted
+    classifier = fit(train, features, classes, "__class", cfg.boost, val if has_val else None)
     found = _feature_weights(classifier, train, cfg, key)
     input_weights, loss_weights = (found, {}) if weight_inputs else ({}, found)
     benign = train.where(F.col(LABEL) == BENIGN)

@@ -168,3 +168,11 @@ def window_psi(bins: DataFrame, reference: DataFrame, edges: dict[str, list[floa
     name = F.element_at(F.array(*[F.lit(f) for f in features]), at)
     value = F.when(F.col("usable"), F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).otherwise(F.lit(0.0))
     return current.select("window_start", name.alias("feature"), value.alias("psi"))
+
+
+def model_scores(model, requests: DataFrame, body: str = "body") -> DataFrame:
+    """A stream of JSON requests scored by a fitted hybrid model, prepared and normalised by what the model has stored.
+
+    No state and no range of the batch is needed, so a file sink with a checkpoint holds every item exactly once.
+    """
+    return model.score_requests(requests, body).drop("details")
