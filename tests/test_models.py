@@ -204,3 +204,36 @@ def test_sessions_in_complete_mode_equal_the_batch(spark, tmp_path):
     assert spark.conf.get(jobs.MERGE_SESSIONS) == "true"
     batch = session_metrics(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder), "10 minutes")
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty() and got.count() >= 3
+
+
+def test_requests_and_streams_score_like_the_prepared_table(spark, tmp_path):
+    """A stream that is stopped and started anew scores every item once, as the batch does."""
+    from flowguard.operators import prep
+    from flowguard.session import scratch_path
+
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"row_key": np.arange(120), "label": rng.choice(["benign", "x", "y"], 120)})
+    for f in FEATURES:
+        frame[f] = rng.normal(size=120) + 2 * (frame.label == "x")
+    frame["split"] = rng.choice(["train", "val", "test"], 120, p=[0.6, 0.2, 0.2])
+    raw = spark.createDataFrame(frame)
+    params = prep.fit_preprocessor(raw.where("split = 'train'"), FEATURES)
+    table = prep.transform(raw, params, keep=["row_key", "label", "split"]).cache()
+    cfg = replace(SMALL, boost=BoostConfig(trees=3, depth=2, max_bins=16), softmax=True, multiclass=True, weighting="shap")
+    model = hybrid.fit_hybrid(table, FEATURES, cfg, params=params).model
+    model.save(spark, f"file://{tmp_path}/model")
+    back = hybrid.HybridModel.load(spark, f"file://{tmp_path}/model")
+    want = {r.row_key: r.confidence for r in model.score(table, normalize="fitted").collect()}
+    cells = [x for f in FEATURES for x in (F.lit(f), F.col(f))]
+    bodies = raw.select("row_key", F.to_json(F.array(F.create_map(*cells))).alias("body"))
+    assert {r.row_key: r.confidence for r in back.score_requests(bodies).collect()} == pytest.approx(want)
+    folder, base = scratch_path(spark, "requests"), scratch_path(spark, "scored")
+    for part in (0, 1):
+        bodies.where(F.col("row_key") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(bodies.schema).parquet(folder)
+        query = jobs.model_scores(back, stream).writeStream.format("parquet").option("path", f"{base}/data")
+        query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{base}/data").collect()
+    assert len(found) == 120 and {r.row_key: r.confidence for r in found} == pytest.approx(want)
+    with pytest.raises(Exception, match="missing required features"):
+        model.score_requests(bodies.withColumn("body", F.lit('[{"a": 1.0}]'))).collect()
