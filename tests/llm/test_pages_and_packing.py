@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from flowguard.session import materialize
-from llm import html_extract, packing, quality_rules, secret_scan, simhash, url_filter, warc
+from llm import html_extract, near_copies, packing, quality_rules, secret_scan, url_filter, warc
 
 URLS = [
     None, "", "no scheme", "http://", "http://EXAMPLE.org/en/1x?q#f", "https://blog.example.org/es/a", "http://example.org/es", "ftp://a.b.com/fr/x",
@@ -215,7 +215,7 @@ def test_pipeline_stages_follow_each_other(spark):
         if name == "quality_rules":
             assert after.count() == quality_rules.ledger(before).where(quality_rules.passes(quality_rules.RELEASE)).count()
         if name == "near_duplicates":
-            classes = {r.component_id for r in simhash.digest(before).collect()}
+            classes = {r.component_id for r in near_copies.classes(before).collect()}
             assert {r.doc_id for r in after.collect()} == classes and after.count() == len(classes)
         if name == "secret_scan":
             assert after.count() == before.count()
