@@ -43,20 +43,34 @@ def psi_sql(source: str, f: str) -> str:
       WHERE b.i < greatest(len(e.edges), 2) GROUP BY b.i)))"""
 
 
-def ks_sql(source: str, f: str) -> str:
-    return f"""SELECT '{f}' AS feature, d AS ks_statistic, CASE WHEN d = 0 THEN 1E0 ELSE least(greatest(2 *
-    list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1E0 ELSE -1E0 END * exp(-2E0 * k * k * lam2))), 0), 1) END AS ks_pvalue
-  FROM (SELECT max(abs(c0 / n0 - c1 / n1)) AS d, any_value(n0 * n1 / (n0 + n1)) * max(abs(c0 / n0 - c1 / n1)) ** 2 AS lam2 FROM (
+def ks_distance_sql(source: str, f: str) -> str:
+    return f"""SELECT '{f}' AS feature, any_value(CAST(n0 AS BIGINT)) AS n, any_value(CAST(n1 AS BIGINT)) AS m, max(abs(c0 / n0 - c1 / n1)) AS d FROM (
     SELECT CAST(sum(a0) OVER w AS DOUBLE) AS c0, CAST(sum(a1) OVER w AS DOUBLE) AS c1,
       CAST(sum(a0) OVER () AS DOUBLE) AS n0, CAST(sum(a1) OVER () AS DOUBLE) AS n1
     FROM (SELECT {f} AS v, count(*) FILTER (WHERE side = 0) AS a0, count(*) FILTER (WHERE side = 1) AS a1
-      FROM {source} WHERE {f} IS NOT NULL GROUP BY {f}) WINDOW w AS (ORDER BY v)))"""
+      FROM {source} WHERE {f} IS NOT NULL GROUP BY {f}) WINDOW w AS (ORDER BY v))"""
+
+
+# Up to 10,000 values a side: the share of merged orders that stay nearer than d, carried from diagonal to diagonal. Beyond, and where the
+# tail is below 1e-12, the limiting series.
+KS_SQL = """apart AS (SELECT *, d * d * n * m / (n + m) AS lam2, CAST(round(d * n * m / gcd(n, m)) AS BIGINT) * gcd(n, m) AS t FROM distances),
+ks AS (WITH RECURSIVE walk AS (
+  SELECT feature, n, m, t, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS lo, [1E0] AS mass FROM apart
+    WHERE d > 0 AND greatest(n, m) <= 10000 AND lam2 < 15
+  UNION ALL
+  SELECT feature, n, m, t, k + 1, lo2, list_transform(range(lo2, hi2 + 1), lambda i:
+      (coalesce(mass[i - lo], 0) * (n - i + 1) + coalesce(mass[i - lo + 1], 0) * (m - k + i)) / (n + m - k))
+    FROM (SELECT *, greatest(0, k + 1 - m, CAST(floor(((k + 1) * n - t) / (n + m)) AS BIGINT) + 1) AS lo2,
+      least(n, k + 1, CAST(ceil(((k + 1) * n + t) / (n + m)) AS BIGINT) - 1) AS hi2 FROM walk WHERE k < n + m))
+SELECT feature, d AS ks_statistic, CASE WHEN d = 0 THEN 1E0 WHEN mass IS NOT NULL THEN 1 - coalesce(mass[1], 0) ELSE least(greatest(2 *
+    list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1E0 ELSE -1E0 END * exp(-2E0 * j * j * lam2))), 0), 1) END AS ks_pvalue
+  FROM apart LEFT JOIN (SELECT feature, mass FROM walk WHERE k = n + m) USING (feature))"""
 
 
 def drift_ctes(source: str, features: list[str]) -> str:
     psi = " UNION ALL ".join(f"({psi_sql(source, f)})" for f in features)
-    ks = " UNION ALL ".join(f"({ks_sql(source, f)})" for f in features)
-    return f"""psi AS ({psi}), ks AS ({ks}), results AS (SELECT feature, psi, ks_statistic, ks_pvalue,
+    distances = " UNION ALL ".join(f"({ks_distance_sql(source, f)})" for f in features)
+    return f"""psi AS ({psi}), distances AS ({distances}), {KS_SQL}, results AS (SELECT feature, psi, ks_statistic, ks_pvalue,
   psi > 0.2 OR ks_pvalue < 0.05 AS drifted FROM psi JOIN ks USING (feature))"""
 
 

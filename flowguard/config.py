@@ -59,6 +59,8 @@ class DriftConfig:
     f1_drop: float = 0.05
     auroc_drop: float = 0.05
     confidence_shift: float = 0.10
+    # Kolmogorov-Smirnov p-values are exact up to this many values on each side.
+    ks_exact_rows: int = 10_000
     min_reference_rows: int = 0  # opt-in guard; 0 switches it off
 
 

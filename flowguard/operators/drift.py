@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowguard.config import DriftConfig, RetrainingPolicy
 from flowguard.functions.columns import (
@@ -21,8 +25,11 @@ from flowguard.operators.prefix import ROWS_PER_BUCKET, bucket_offsets, value_sp
 from flowguard.operators.quantiles import bucketed, exact_quantiles
 from flowguard.session import driver_rows
 
+# Features are dealt over at most this many tasks for their exact p-values.
+KS_TASKS = 200
 # Share used for an empty PSI bin, severity ranks and cuts.
 EMPTY_BIN_SHARE = 0.0001
+KS_EXACT_ROWS = DriftConfig.ks_exact_rows
 KS_TERMS = 100
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 UNKNOWN_SEVERITY_RANK = 0
@@ -94,7 +101,7 @@ def population_stability(
     )
 
 
-def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
+def ks_asymptotic_pvalue(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
     """Two-sided asymptotic p-value: alternating series, clamped to [0, 1], 1 for a zero statistic, null for none."""
     n1, n2 = n_ref.cast("double"), n_cur.cast("double")
     lam2 = statistic * statistic * n1 * n2 / (n1 + n2)
@@ -109,12 +116,57 @@ def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
     return F.when(statistic == 0, F.lit(1.0)).when(statistic.isNotNull(), clamped)
 
 
+def exact_tail(statistic: float, n_ref: int, n_cur: int) -> float:
+    """Probability that two samples of one distribution without ties are at least ``statistic`` apart.
+
+    The merged order of both samples is a random lattice path from (0, 0) to (n_ref, n_cur). Its probability is carried from
+    diagonal to diagonal within the band of smaller distances; what leaves the band is the tail, a sum of positive terms.
+    """
+    divisor = math.gcd(n_ref, n_cur)
+    # All distances are multiples of 1 / lcm; here they are integers, multiplied by n_ref * n_cur.
+    reach = round(statistic * (n_ref // divisor * n_cur)) * divisor
+    if reach <= 0:
+        return 1.0
+    total, low, inside, tail = n_ref + n_cur, 0, np.ones(1), 0.0
+    for k in range(total):
+        i = np.arange(low, low + len(inside))
+        grown = np.zeros(len(inside) + 1)
+        grown[1:] = inside * ((n_ref - i) / (total - k))
+        grown[:-1] += inside * ((n_cur - k + i) / (total - k))
+        first = max(0, k + 1 - n_cur, ((k + 1) * n_ref - reach) // total + 1)
+        last = min(n_ref, k + 1, -((-(k + 1) * n_ref - reach) // total) - 1)
+        before, after = first - low, last + 1 - low
+        tail += float(grown[:before].sum() + grown[after:].sum())
+        low, inside = first, grown[before:after]
+        if not len(inside):
+            break
+    return min(tail, 1.0)
+
+
+@F.pandas_udf(DoubleType())
+def _exact_pvalue(statistic: pd.Series, n_ref: pd.Series, n_cur: pd.Series, most: pd.Series) -> pd.Series:
+    rows = zip(statistic, n_ref, n_cur, most)
+    return pd.Series([exact_tail(d, int(a), int(b)) if d == d and 0 < max(a, b) <= n else None for d, a, b, n in rows], dtype="float64")
+
+
+def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column, exact_rows: int = KS_EXACT_ROWS) -> Column:
+    """Two-sided p-value: exact where neither side has more than ``exact_rows`` values, else asymptotic; null without a statistic."""
+    series = ks_asymptotic_pvalue(statistic, n_ref, n_cur)
+    exact = _exact_pvalue(statistic, n_ref, n_cur, F.lit(exact_rows))
+    return F.when(F.greatest(n_ref, n_cur) <= exact_rows, exact).otherwise(series)
+
+
 def kolmogorov_smirnov(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
+    reference: DataFrame,
+    current: DataFrame,
+    features: Sequence[str],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    exact_rows: int = KS_EXACT_ROWS,
 ) -> DataFrame:
     """(feature_id, n_ref, n_cur, ks_statistic, ks_pvalue) over the non-null values of each side.
 
-    Values are counted per (feature, value), then walked in value buckets; a bucket only reports its
+    The p-value is exact for features with at most ``exact_rows`` values on each side; these are dealt over the tasks. Beyond, it
+    is the asymptotic series, and a table without such small features is never read by Python. Values are counted per (feature, value), then walked in value buckets; a bucket only reports its
     totals and the extremes of its local difference, which the offsets of earlier buckets shift.
     """
     both = _both_sides(reference, current, [f"{coerced_sql(quoted(f))} AS {quoted(f)}" for f in features])
@@ -146,11 +198,12 @@ def kolmogorov_smirnov(
         F.sum("cur").alias("n_cur"),
     )
     both_present = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
-    return (
-        found.withColumn("ks_statistic", F.when(both_present, F.col("distance")))
-        .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")))
-        .drop("distance")
-    )
+    measured = found.withColumn("ks_statistic", F.when(both_present, F.col("distance"))).drop("distance")
+    sides = F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")
+    if any(0 < max(r, c) <= exact_rows and r and c for r, c in zip(n_ref, n_cur)):
+        spread = measured.repartition(min(len(features), KS_TASKS), "feature_id")
+        return spread.withColumn("ks_pvalue", ks_pvalue(*sides, exact_rows))
+    return measured.withColumn("ks_pvalue", ks_asymptotic_pvalue(*sides))
 
 
 def feature_drift(
@@ -169,7 +222,7 @@ def feature_drift(
         raise ValueError(f"the reference has fewer than {cfg.min_reference_rows} rows")
     edges = psi_edges(reference, names, cfg.bins)
     psi = population_stability(reference, current, names, edges)
-    ks = kolmogorov_smirnov(reference, current, names, rows_per_bucket)
+    ks = kolmogorov_smirnov(reference, current, names, rows_per_bucket, cfg.ks_exact_rows)
     name = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("feature_id") + 1)
     joined = psi.join(ks, "feature_id", "left")
     drifted = (F.col("psi") > cfg.psi_threshold) | F.coalesce(F.col("ks_pvalue") < cfg.ks_pvalue_threshold, F.lit(False))

@@ -1,6 +1,7 @@
 """Order statistics, samples, splits and running totals against brute force, with tiny bounds so that the large-data paths run."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowguard.config import FoldConfig, SplitConfig
 from flowguard.operators import metrics, ordering, quantiles, splits
-from flowguard.operators.drift import kolmogorov_smirnov
+from flowguard.operators.drift import exact_tail, kolmogorov_smirnov
 from flowguard.session import attach_rows
 
 
@@ -172,3 +173,43 @@ def test_kolmogorov_smirnov(spark, rows_per_bucket):
         both = np.sort(np.concatenate([ref[c], cur[c]]))
         gap = np.searchsorted(np.sort(ref[c]), both, "right") / 700 - np.searchsorted(np.sort(cur[c]), both, "right") / 500
         assert r.ks_statistic == pytest.approx(np.abs(gap).max(), abs=1e-12)
+
+
+def merged_orders(n, m):
+    """Largest distance, times n * m, of every order in which n and m values can be merged."""
+    for chosen in combinations(range(n + m), n):
+        steps = np.isin(np.arange(n + m), chosen)
+        yield int(np.abs(np.cumsum(steps) * m - np.cumsum(~steps) * n).max())
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 8), (3, 5), (4, 6), (6, 6), (8, 7), (8, 8)])
+def test_exact_tail_counts_all_merged_orders(n, m):
+    found = np.array(list(merged_orders(n, m)))
+    for reach in {*found.tolist(), 0, n * m}:
+        assert exact_tail(reach / (n * m), n, m) == pytest.approx((found >= reach).mean(), abs=1e-13)
+
+
+def test_exact_tail_is_near_the_series_for_large_samples_and_keeps_small_values():
+    distance = 0.02
+    lam2 = distance**2 * 10_000 * 9_000 / 19_000
+    series = 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * lam2) for k in range(1, 50))
+    assert exact_tail(distance, 10_000, 9_000) == pytest.approx(series, rel=0.05)
+    # Of all orders only two keep the samples apart.
+    assert exact_tail(1.0, 40, 40) == pytest.approx(2 / math.comb(80, 40), rel=1e-9)
+
+
+def test_pvalue_is_exact_up_to_the_bound_and_asymptotic_beyond(spark):
+    rng = np.random.default_rng(5)
+    ref, cur = rng.normal(size=30), rng.normal(0.8, size=25)
+    sides = [spark.createDataFrame([(float(v), float(v) if i < 9 else None, None) for i, v in enumerate(x)], "a double, b double, c double") for x in (ref, cur)]
+    found = {r.feature_id: r for r in kolmogorov_smirnov(*sides, ["a", "b", "c"], exact_rows=20).collect()}
+    whole = {r.feature_id: r for r in kolmogorov_smirnov(*sides, ["a", "b", "c"]).collect()}
+    assert whole[0].ks_pvalue == exact_tail(whole[0].ks_statistic, 30, 25)
+    assert found[1].ks_pvalue == whole[1].ks_pvalue == exact_tail(found[1].ks_statistic, 9, 9)
+    lam2 = found[0].ks_statistic ** 2 * 30 * 25 / 55
+    series = 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * lam2) for k in range(1, 101))
+    assert found[0].ks_pvalue == pytest.approx(series, abs=1e-12) and found[0].ks_pvalue != whole[0].ks_pvalue
+    # Neither a feature without values nor a table beyond the bound is read by Python.
+    assert 2 not in whole
+    plan = kolmogorov_smirnov(*sides, ["a", "b", "c"], exact_rows=5)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
