@@ -330,6 +330,26 @@ def report_json(spark, sf_dir):
     )
 
 
+@query(
+    "quality_report",
+    with_views("traffic", rest=f"""summary AS ({_QUALITY}),
+labels AS (SELECT coalesce(label, 'NaN') AS k, count(*) AS n FROM (SELECT CASE WHEN f_k <> 1 THEN label END AS label FROM traffic) GROUP BY label),
+families AS (SELECT attack_family AS k, count(*) AS n FROM traffic GROUP BY attack_family)""")
+    + """SELECT rows, "columns", feature_columns, missing_ratio,
+  (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM labels) AS label_distribution,
+  (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM families) AS family_distribution FROM summary""",
+)
+def quality_report(spark, sf_dir):
+    """The nested report of rows some of which have lost their label, written as JSON and read back."""
+    path = scratch_path(spark, "nested-report")
+    rows = view(spark, sf_dir, "traffic").withColumn("label", F.when(F.col("f_k") != 1, F.col("label")))
+    report = checks.quality_report(rows, TRAFFIC_FEATURES)
+    stores.write_report(report.withColumn("missing_ratio", rounded("missing_ratio")), path)
+    flat = lambda c: F.array_join(F.transform(F.sort_array(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias(c)
+    stored = stores.read_report(spark, path, checks.REPORT_SCHEMA)
+    return stored.select("rows", "columns", "feature_columns", "missing_ratio", flat("label_distribution"), flat("family_distribution"))
+
+
 @query(
     "report_read",
     with_views("experiments")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowguard.catalog.registration import query, r6
@@ -260,11 +259,9 @@ def report_lines(spark, sf_dir):
         )
     )
     lines = metrics.report_lines(rows, artifacts, "run_name", ["run_name"])
-    # A report has as many lines as it has metrics and artifacts.
-    order = Window.partitionBy("run_name").orderBy("block", "position")
-    numbered = lines.select("run_name", F.row_number().over(order).alias("line_no"), "line")
-    stores.write_lines(numbered.orderBy("run_name", "line_no"), scratch_path(spark, "report"))
-    return numbered
+    path = scratch_path(spark, "report")
+    stores.write_documents(metrics.report_documents(lines, ["run_name"]), path, "report")
+    return metrics.document_lines(stores.read_documents(spark, path, "report"))
 
 
 @query(

@@ -9,6 +9,7 @@ from flowguard.catalog.evaluate import round_doubles
 from flowguard.catalog.registration import query, r6
 from flowguard.operators import registry
 from flowguard.plans.views import view, with_views
+from flowguard.session import scratch_path
 
 EXP = "coalesce(fusion_auroc, fusion_auroc_ovr_weighted, 0) AS fusion_auroc"
 METRICS_SQL = f"""loao AS (SELECT run_name, avg(f1) AS loao_mean_f1, min(f1) AS loao_min_f1,
@@ -141,6 +142,36 @@ def promotion_decision(spark, sf_dir):
     return round_doubles(table)
 
 
+def published_manifests(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Publishes the decisions in two batches. A run counts as promoted when its rows were complete."""
+    sizes = experiments(spark, sf_dir).select("run_name", F.col("n_rows").alias("promoted_at"), (F.col("user_id") % 2).alias("half"))
+    rows = decisions(spark, sf_dir).join(sizes, "run_name")
+    for half in (0, 1):
+        registry.publish_manifests(rows.where(F.col("half") == half), folder, "promoted_at")
+
+
+@query(
+    "promotion_manifest",
+    with_views("experiments", "loao_runs", rest=DECISION_SQL)
+    + f"""SELECT d.run_name, d.approved, d.champion_source, d.reason, d.version, 'fusion' AS model_name,
+  sha256('{{"exp1":"' || d.run_name || '","exp2":' || CAST(d.loao_run_count AS BIGINT) || '}}') AS data_hash, gate_hash AS config_hash,
+  sha256(concat_ws('|', exp1_hash, coalesce(exp2_hash, ''))) AS experiment_hash, 'exp1_ae_vs_baseline + exp2_loao' AS promoted_from,
+  {r6('d.loao_min_f1')} AS loao_min_f1, n_rows AS promoted_at, e.user_id % 2 = 1 AS in_latest
+FROM decisions d JOIN hashed USING (run_name) LEFT JOIN folds USING (run_name) JOIN (SELECT run_name, user_id FROM experiments) e USING (run_name), gates""",
+)
+def promotion_manifest(spark, sf_dir):
+    """Manifests read back from the store, with a mark at those of the latest batch."""
+    folder = scratch_path(spark, "manifests")
+    published_manifests(spark, sf_dir, folder)
+    stored = registry.stored_manifests(spark, folder)
+    latest = registry.stored_manifests(spark, folder, latest=True).select("run_name", F.lit(True).alias("in_latest"))
+    table = stored.join(latest, "run_name", "left").select(
+        "run_name", "approved", "champion_source", "reason", *registry.VERSION_INFO, "metrics.loao_min_f1", "promoted_at",
+        F.coalesce("in_latest", F.lit(False)).alias("in_latest"),
+    )
+    return round_doubles(table)
+
+
 @query(
     "deployment_summary",
     with_views("experiments", "loao_runs", rest=DECISION_SQL)
@@ -201,11 +232,13 @@ UNION ALL SELECT 'approved', coalesce(max(version), 'unversioned'), coalesce(max
 UNION ALL SELECT 'none', 'unversioned', 'unknown'""",
 )
 def champion_model(spark, sf_dir):
-    sizes = experiments(spark, sf_dir).select("run_name", F.col("n_rows").alias("promoted_at"))
-    manifests = decisions(spark, sf_dir).join(sizes, "run_name")
+    folder = scratch_path(spark, "manifests")
+    published_manifests(spark, sf_dir, folder)
+    stored = registry.stored_manifests(spark, folder)
+    nothing = registry.stored_manifests(spark, f"{folder}/none")
     return (
-        registry.champion_model(manifests)
+        registry.champion_model(stored)
         .withColumn("pick", F.lit("any"))
-        .unionByName(registry.champion_model(manifests, approved_only=True).withColumn("pick", F.lit("approved")))
-        .unionByName(registry.champion_model(manifests.where("promoted_at < 0")).withColumn("pick", F.lit("none")))
+        .unionByName(registry.champion_model(stored, approved_only=True).withColumn("pick", F.lit("approved")))
+        .unionByName(registry.champion_model(nothing).withColumn("pick", F.lit("none")))
     )

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from flowguard.config import FAMILY, LABEL, METADATA, SOURCE
 from flowguard.functions.columns import INFINITY, number_sql, quoted
 
+
+# Fixed value: name of the null group in nested distributions.
+NULL_GROUP = "NaN"
+REPORT_SCHEMA = (
+    "rows bigint, columns int, feature_columns int, missing_ratio double, "
+    "label_distribution map<string, bigint>, family_distribution map<string, bigint>"
+)
+
+
 def duplicate_columns(names: Sequence[str]) -> list[str]:
     return sorted(n for n, times in Counter(names).items() if times > 1)
 
@@ -119,6 +128,24 @@ def distribution_sets(df: DataFrame, label: str = LABEL, family: str = FAMILY) -
     )
 
 
+def quality_report(
+    df: DataFrame,
+    features: Sequence[str] | None = None,
+    metadata: Sequence[str] = METADATA,
+    label: str = LABEL,
+    family: str = FAMILY,
+) -> DataFrame:
+    """One row: the quality summary and, nested, the rows of every label and of every family; nulls count under ``NULL_GROUP``.
+
+    Groups are counted before they are nested. A row holds as many entries as there are labels and families.
+    """
+    entry = lambda c: F.struct(F.coalesce(F.col(c), F.lit(NULL_GROUP)).alias("key"), "rows")
+    nested = lambda c, level: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("level") == level, entry(c)))))
+    groups = distribution_sets(df, label, family).agg(nested(label, 1).alias("label_distribution"), nested(family, 2).alias("family_distribution"))
+    one = F.lit(1)
+    return quality_summary(df, features, metadata).withColumn("one", one).join(groups.withColumn("one", one), "one").drop("one")
+
+
 def column_presence(df: DataFrame, required: Sequence[str] = (LABEL, FAMILY, SOURCE)) -> DataFrame:
     """Per required column: is it there, and how many rows carry a value."""
     there = [c for c in required if c in df.columns]

@@ -232,6 +232,10 @@ def evaluate_bundle(
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# Fixed value: first line of a report, before its title.
+REPORT_HEADING = "# Experiment Report: "
+
+
 def report_lines(metrics: DataFrame, artifacts: DataFrame, title: Column | str, by: Sequence[str]) -> DataFrame:
     """The text report of each run as ordered lines: three metric blocks and the artifact list.
 
@@ -261,10 +265,25 @@ def report_lines(metrics: DataFrame, artifacts: DataFrame, title: Column | str,
         *by,
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("block"), F.lit(0).alias("position"), F.concat(F.lit("# Experiment Report: "), "title").alias("line")),
+                F.struct(F.lit(0).alias("block"), F.lit(0).alias("position"), F.concat(F.lit(REPORT_HEADING), "title").alias("line")),
                 *[F.struct(F.lit(b).alias("block"), F.lit(-2).alias("position"), F.lit("").alias("line")) for b, _ in fixed],
                 *[F.struct(F.lit(b).alias("block"), F.lit(-1).alias("position"), F.lit(h).alias("line")) for b, h in fixed],
             )
         ).alias("l"),
     ).select(*by, "l.*")
     return metric_lines.unionByName(artifact_lines).unionByName(frame)
+
+
+def report_documents(lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, report): the lines of ``report_lines`` as one text for each run. It has as many lines as its run has metrics and artifacts."""
+    ordered = F.sort_array(F.collect_list(F.struct("block", "position", "line")))
+    return lines.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("report"))
+
+
+def document_lines(reports: DataFrame, report: str = "report") -> DataFrame:
+    """(run_name, line_no, line) of report texts; the run's name is read from the heading."""
+    lines = F.split(report, "\n")
+    name = F.substring(lines[0], len(REPORT_HEADING) + 1, 2**31 - 1)
+    return reports.select(name.alias("run_name"), F.posexplode(lines).alias("at", "line")).select(
+        "run_name", (F.col("at") + 1).alias("line_no"), "line"
+    )

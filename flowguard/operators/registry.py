@@ -6,17 +6,18 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.config import PROMOTION_GATES, GateThresholds
 from flowguard.functions.columns import as_column, fixed_text, quoted
+from flowguard.sources import stores
 
-# Names used in versions and decisions.
+# Names used in versions, decisions and manifests.
 NAMESPACE = "hybrid"
 CHAMPION = "fusion"
 VERSION_DIGITS = 12
-PROMOTED_FROM = "baseline experiment + leave-one-attack-out experiment"
+PROMOTED_FROM = "exp1_ae_vs_baseline + exp2_loao"
 PASSED = "passed promotion gates"
 
 
@@ -148,11 +149,13 @@ def promotion_decision(
     first = own if experiment_text is None else as_column(experiment_text)
     second = folds if runs_text is None else as_column(runs_text)
     gates = threshold_hash(thresholds)
+    data = F.struct(F.col("run_name").alias("exp1"), F.col("loao_run_count").cast("bigint").alias("exp2"))
     hashes = [content_hash(first), content_hash(second), gates]
     return decided.select(
         *names,
         F.when(F.col("approved"), F.lit(CHAMPION)).otherwise(F.lit("none")).alias("champion_source"),
         content_hash(F.concat_ws("|", first, second)).alias("experiment_hash"),
+        content_hash(F.to_json(data, {"ignoreNullFields": "false"})).alias("data_hash"),
         gates.alias("config_hash"),
         version_id(hashes, namespace).alias("version"),
         F.lit(CHAMPION).alias("model_name"),
@@ -160,16 +163,47 @@ def promotion_decision(
     )
 
 
+MANIFEST_METRICS = (
+    "baseline_f1_weighted", "hybrid_f1", "fusion_f1", "fusion_auroc", "loao_mean_f1", "loao_min_f1",
+    "loao_mean_attack_rate_pred", "loao_run_count",
+)
+VERSION_INFO = ("version", "model_name", "data_hash", "config_hash", "experiment_hash", "promoted_from")
+MANIFEST_SCHEMA = (
+    "run_name string, approved boolean, champion_source string, reason string, "
+    f"version_info struct<{', '.join(f'{n}: string' for n in VERSION_INFO)}>, "
+    f"metrics struct<{', '.join(f'{n}: double' for n in MANIFEST_METRICS)}>, promoted_at bigint"
+)
+
+
 def deployment_summary(decisions: DataFrame) -> DataFrame:
-    metric_names = [
-        "baseline_f1_weighted", "hybrid_f1", "fusion_f1", "fusion_auroc", "loao_mean_f1", "loao_min_f1",
-        "loao_mean_attack_rate_pred", "loao_run_count",
-    ]
     return decisions.select(
-        "run_name", "approved", "reason", "champion_source", "version", F.struct(*metric_names).alias("metrics")
+        "run_name", "approved", "reason", "champion_source", "version", F.struct(*MANIFEST_METRICS).alias("metrics")
     )
 
 
+def manifests(decisions: DataFrame, promoted_at: Column | str) -> DataFrame:
+    """One promotion manifest for each decision, with the columns of ``MANIFEST_SCHEMA``."""
+    return decisions.select(
+        "run_name",
+        "approved",
+        "champion_source",
+        "reason",
+        F.struct(*VERSION_INFO).alias("version_info"),
+        F.struct(*MANIFEST_METRICS).alias("metrics"),
+        as_column(promoted_at).cast("bigint").alias("promoted_at"),
+    )
+
+
+def publish_manifests(decisions: DataFrame, folder: str, promoted_at: Column | str) -> str:
+    """Adds the decisions' manifests to the folder as one batch, all or none; returns the batch's name."""
+    return stores.publish(manifests(decisions, promoted_at), folder)
+
+
+def stored_manifests(spark: SparkSession, folder: str, latest: bool = False) -> DataFrame:
+    """Manifests of all batches or of the latest, version fields beside the nested ones; no rows where none was published."""
+    return stores.read_published(spark, folder, MANIFEST_SCHEMA, latest).select("*", "version_info.*")
+
+
 def evaluation_summary(experiments: DataFrame, runs: DataFrame) -> DataFrame:
     """Run name, fusion F1 and the fold list (one entry per held-out attack, sorted)."""
     folds = runs.groupBy("run_name").agg(

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
+# Ends a document in a text file of several.
+RECORD_END = "\x1e"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Looks the path up in whatever file system its scheme names."""
+def _located(spark: SparkSession, path: str):
+    """The path and the file system that its scheme names."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm_path, system = _located(spark, path)
     return bool(system.exists(jvm_path))
 
 
@@ -54,3 +63,49 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_lines(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(line).write.mode("overwrite").text(path)
+
+
+def write_documents(df: DataFrame, path: str, column: str) -> None:
+    """Texts of several lines, each ended by ``RECORD_END``."""
+    df.select(column).write.mode("overwrite").option("lineSep", RECORD_END).text(path)
+
+
+def read_documents(spark: SparkSession, path: str, column: str) -> DataFrame:
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"documents not found: {path}")
+    return spark.read.option("lineSep", RECORD_END).text(path).withColumnRenamed("value", column)
+
+
+def publish(df: DataFrame, folder: str) -> str:
+    """Appends the rows as one JSON batch that readers see whole or not at all; returns its name.
+
+    The batch is written under a name that readers skip and renamed when it is complete, so a job that dies leaves nothing behind
+    that is read. Names start with the time of publication and are never used twice.
+    """
+    spark = df.sparkSession
+    unique = uuid.uuid4().hex
+    hidden, system = _located(spark, f"{folder}/_unfinished-{unique}")
+    df.write.option("ignoreNullFields", False).json(hidden.toString())
+    name = f"batch={time.time_ns():020d}-{unique}"
+    if not system.rename(hidden, _located(spark, f"{folder}/{name}")[0]):
+        raise RuntimeError(f"could not publish {name} in {folder}")
+    return name
+
+
+def published(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the published batches, oldest first; none without the folder. Read from the listing alone."""
+    path, system = _located(spark, folder)
+    if not system.exists(path):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(path)]
+    return sorted(n for n in names if n.startswith("batch="))
+
+
+def read_published(spark: SparkSession, folder: str, schema: str, latest: bool = False) -> DataFrame:
+    """The rows of all batches, or of the latest alone, with the batch's name; no rows without a batch."""
+    names = published(spark, folder)[-1 if latest else 0 :]
+    whole = f"{schema}, batch string"
+    if not names:
+        return spark.createDataFrame([], whole)
+    source = folder if not latest else f"{folder}/{names[0]}"
+    return spark.read.schema(whole).option("mode", "FAILFAST").option("basePath", folder).json(source)

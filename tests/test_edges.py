@@ -1,5 +1,7 @@
 """Small frames for the edges of the semantics."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -364,3 +366,57 @@ def test_null_labels_raise_in_folds(spark):
     df = frame(spark, [(1, "benign"), (2, "benign"), (3, "x"), (4, None)], "k int, label string")
     with pytest.raises(ValueError, match="nulls"):
         splits.loao_folds(df, "k")
+
+
+def decided(spark, names):
+    metrics = {"baseline_f1_weighted": 0.5, "hybrid_f1": 0.6, "fusion_f1": 0.9, "fusion_auroc": 0.9}
+    experiments = spark.createDataFrame(pd.DataFrame([{"run_name": n, **metrics} for n in names]))
+    runs = frame(spark, [(n, 0.8, 0.5) for n in names for _ in range(2)], "run_name string, f1 double, attack_rate_pred double")
+    return registry.promotion_decision(experiments, runs)
+
+
+def test_manifests_are_appended_whole_and_read_from_the_listing(spark, tmp_path):
+    folder = str(tmp_path / "manifests")
+    assert registry.stored_manifests(spark, folder).count() == 0 and stores.published(spark, folder) == []
+    none = registry.champion_model(registry.stored_manifests(spark, folder, latest=True)).first()
+    assert (none.model_version, none.champion_source) == ("unversioned", "unknown")
+    first = registry.publish_manifests(decided(spark, ["a", "b"]), folder, F.lit(1))
+    second = registry.publish_manifests(decided(spark, ["c"]), folder, F.lit(2))
+    # What a job that died has left is not read.
+    (tmp_path / "manifests" / "_unfinished-0").mkdir()
+    (tmp_path / "manifests" / "_unfinished-0" / "part-0.json").write_text('{"run_name": "half')
+    assert stores.published(spark, folder) == [first, second]
+    stored = registry.stored_manifests(spark, folder)
+    assert {(r.run_name, r.batch) for r in stored.collect()} == {("a", first[6:]), ("b", first[6:]), ("c", second[6:])}
+    latest = registry.stored_manifests(spark, folder, latest=True).collect()
+    assert [r.run_name for r in latest] == ["c"] and latest[0].version_info.promoted_from == registry.PROMOTED_FROM
+    assert registry.champion_model(stored).first().model_version == latest[0].version
+    expected = hashlib.sha256(b'{"exp1":"c","exp2":2}').hexdigest()
+    assert latest[0].data_hash == expected and latest[0].metrics.loao_run_count == 2.0
+    # A batch that fails is not published.
+    with pytest.raises(Exception):
+        registry.publish_manifests(decided(spark, ["d"]), folder, F.raise_error(F.lit("stop")))
+    assert stores.published(spark, folder) == [first, second]
+
+
+def test_quality_report_nests_the_null_group(spark, tmp_path):
+    rows = [(1.0, "x", "f", "s"), (None, "x", "g", "s"), (2.0, None, "g", "s"), (3.0, None, None, "s")]
+    df = frame(spark, rows, "a double, label string, attack_family string, source_file string")
+    stores.write_report(checks.quality_report(df), str(tmp_path / "q"))
+    found = stores.read_report(spark, str(tmp_path / "q"), checks.REPORT_SCHEMA).first()
+    assert (found.rows, found.columns, found.feature_columns, found.missing_ratio) == (4, 4, 1, 0.25)
+    assert found.label_distribution == {"x": 2, "NaN": 2}
+    assert found.family_distribution == {"f": 1, "g": 2, "NaN": 1}
+    empty = checks.quality_report(df.where("a > 9")).first()
+    assert empty.rows == 0 and empty.label_distribution == {}
+
+
+def test_report_documents_survive_the_store(spark, tmp_path):
+    values = frame(spark, [("r 1", "fusion_binary", 0, "f1", 0.5), ("r,2", "fusion_binary", 0, "f1", None)], "run_name string, model string, position int, metric string, value double")
+    artifacts = frame(spark, [("r 1", 0, "m", "models/m")], "run_name string, position int, name string, location string")
+    lines = metrics.report_lines(values, artifacts, "run_name", ["run_name"])
+    stores.write_documents(metrics.report_documents(lines, ["run_name"]), str(tmp_path / "r"), "report")
+    back = metrics.document_lines(stores.read_documents(spark, str(tmp_path / "r"), "report")).collect()
+    found = [r.line for r in sorted((r for r in back if r.run_name == "r 1"), key=lambda r: r.line_no)]
+    assert found[0] == "# Experiment Report: r 1" and "- f1: 0.500000" in found and found[-1] == "- m: models/m"
+    assert {r.run_name for r in back} == {"r 1", "r,2"}
