@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.catalog.registration import query
-from flowguard.catalog.scoring import signals
+from flowguard.catalog.evaluate import round_doubles
+from flowguard.catalog.registration import query, r6
+from flowguard.catalog.scoring import signal_sql, signals
 from flowguard.config import AutoencoderConfig, BoostConfig, HybridConfig
 from flowguard.operators import models, prep, scoring, weights
 from flowguard.operators.boosting import fit_softmax
@@ -88,10 +89,40 @@ def ae_training_loss(spark, sf_dir):
     return errors.selectExpr(f"stack({len(model.losses)}, {cells}) AS (epoch, loss)", "benign_error", "attack_error")
 
 
-@query("fusion_fit")
+def solved_sql(n: int, source: str) -> str:
+    """Columns x0 ... of the solution of the linear system a00 ... a(n-1)(n-1), g0 ... in every row of ``source``."""
+    for c in range(n - 1):
+        rest = range(c + 1, n)
+        cells = [f"a{i}{j} - a{i}{c} * a{c}{j} / a{c}{c} AS a{i}{j}" for i in rest for j in rest]
+        cells += [f"g{i} - a{i}{c} * g{c} / a{c}{c} AS g{i}" for i in rest]
+        source = f"SELECT * REPLACE ({', '.join(cells)}) FROM ({source})"
+    for i in reversed(range(n)):
+        known = "".join(f" - a{i}{j} * x{j}" for j in range(i + 1, n))
+        source = f"SELECT *, (g{i}{known}) / a{i}{i} AS x{i} FROM ({source})"
+    return source
+
+
+def newton_sql(steps: int = 20) -> str:
+    """Undamped Newton steps of the penalised loss; the last of four coefficients is the intercept."""
+    gradient = [f"sum(w * (p - y) * v{i}){f' + any_value(b{i})' if i < 3 else ''} AS g{i}" for i in range(4)]
+    second = [f"sum(w * p * (1 - p) * v{i} * v{j}){' + 1' if i == j < 3 else ''} AS a{i}{j}" for i in range(4) for j in range(4)]
+    margin = " + ".join(f"b{i} * v{i}" for i in range(4))
+    sums = f"""SELECT k, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(4))}, {', '.join(gradient + second)}
+      FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS p FROM newton, cases WHERE k < {steps}) GROUP BY k"""
+    return f"""cases AS (SELECT clf_score AS v0, rec_error AS v1, dual_score AS v2, 1E0 AS v3, CAST(y AS DOUBLE) AS y,
+    count(*) OVER () / (2E0 * count(*) OVER (PARTITION BY y)) AS w FROM dual),
+fit AS (WITH RECURSIVE newton AS (SELECT 0 AS k, 0E0 AS b0, 0E0 AS b1, 0E0 AS b2, 0E0 AS b3
+  UNION ALL SELECT k + 1, {', '.join(f'b{i} - x{i}' for i in range(4))} FROM ({solved_sql(4, sums)}))
+SELECT * FROM newton WHERE k = {steps})"""
+
+
+@query(
+    "fusion_fit",
+    signal_sql(" UNION ALL ".join(f"SELECT {o} AS ord, {r6(f'b{i}')} AS value FROM fit" for o, i in [(-1, 3), (0, 0), (1, 1), (2, 2)]), newton_sql()),
+)
 def fusion_fit(spark, sf_dir):
     rows = scoring.with_dual_score(signals(spark, sf_dir), "clf_score", "rec_error")
-    return models.fit_fusion(rows, hybrid.SIGNALS, "y").to_frame(spark)
+    return round_doubles(models.fit_fusion(rows, hybrid.SIGNALS, "y").to_frame(spark))
 
 
 @query("hybrid_train_metrics")

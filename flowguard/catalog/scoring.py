@@ -101,8 +101,8 @@ fitted AS (SELECT row_key, (0.6 * least(greatest((clf_score - c0) / (c1 - c0), 0
 fused AS (SELECT *, 1 / (1 + exp(-(-3.5 + 4.0 * clf_score + 1.5 * rec_error + 2.0 * dual_score))) AS p FROM dual)"""
 
 
-def signal_sql(rest: str) -> str:
-    return with_views("scored", rest=SIGNALS_SQL) + rest
+def signal_sql(rest: str, more: str = "") -> str:
+    return with_views("scored", rest=f"{SIGNALS_SQL}, {more}" if more else SIGNALS_SQL) + rest
 
 
 @query(

@@ -1,11 +1,13 @@
-"""Boosted attack classifier and logistic fusion as Spark ML fits, scores as native expressions."""
+"""Boosted attack classifier as a Spark ML fit, logistic fusion by Newton steps, scores as native expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+import numpy as np
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,11 @@ from flowguard.session import driver_rows
 from flowguard.sources import stores
 
 
+# A fit has settled when its next step would lower the loss by this share at most.
+SETTLED = 1e-13
+HALVINGS = 40
+
+
 def argmax_class(probabilities: Column | str) -> Column:
     p = as_column(probabilities)
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
@@ -173,28 +180,67 @@ class FusionModel:
         return FusionModel(tuple(rows[i] for i in range(len(rows) - 1)), rows[-1])
 
 
+def _loss_pass(rows: DataFrame, names: Sequence[str], point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted logistic loss at a point (intercept last), its gradient and its second derivatives, in one aggregation."""
+    x = [*[F.col(n) for n in names], F.lit(1.0)]
+    z = sum((c * F.lit(float(b)) for c, b in zip(x[:-1], point)), F.lit(float(point[-1])))
+    tail = F.exp(-F.abs(F.col("__z")))
+    p = F.when(F.col("__z") >= 0, 1 / (1 + tail)).otherwise(tail / (1 + tail))
+    at = [(i, j) for i in range(len(x)) for j in range(i + 1)]
+    sums = rows.withColumn("__z", z).withColumn("__p", p).select(
+        *names, "__z", "__p", "__w", "__y", (F.col("__w") * F.col("__p") * (1 - F.col("__p"))).alias("__h")
+    ).agg(
+        F.sum(F.col("__w") * (F.greatest("__z", F.lit(0.0)) + F.log1p(tail) - F.col("__y") * F.col("__z"))),
+        *[F.sum(F.col("__w") * (F.col("__p") - F.col("__y")) * c) for c in x],
+        *[F.sum(F.col("__h") * x[i] * x[j]) for i, j in at],
+    ).head()
+    second = np.zeros((len(x), len(x)))
+    for (i, j), v in zip(at, sums[1 + len(x) :]):
+        second[i, j] = second[j, i] = v
+    return sums[0], np.array(sums[1 : 1 + len(x)]), second
+
+
 def fit_fusion(df: DataFrame, signals: Sequence[str], y: str, cfg: FusionConfig = FusionConfig()) -> FusionModel:
-    """L2 logistic regression with inverse strength C and balanced classes.
+    """L2 logistic regression with inverse strength C and balanced classes, intercept without penalty, at its optimum.
 
-    Minimising C * sum(w * loss) + |b|^2 / 2 equals Spark's mean loss with regParam = 1 / (C * sum(w)),
-    and balanced weights sum to the row count.
+    Minimises C * sum(w * loss) + |b|^2 / 2 by Newton steps. Each is one aggregation of a gradient and a matrix of the size of
+    the signals, so few passes over the rows are enough whatever the signals' scales. A step that does not lower the loss is
+    halved. Rows without a signal or of one class only raise, and so does a fit that does not settle in ``cfg.max_iter`` steps.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(y).agg(F.count("*")).collect()}
-    if len(counts) != 2:
+    values = [F.col(quoted(s)).cast("double") for s in signals]
+    names = [f"__in{i}" for i in range(len(signals))]
+    gaps = reduce(lambda a, b: a | b, [v.isNull() | F.isnan(v) for v in values])
+    groups = {r[0]: (r.n, r.gaps) for r in df.groupBy(y).agg(F.count("*").alias("n"), F.count_if(gaps).alias("gaps")).collect()}
+    if len(groups) != 2:
         raise ValueError("fusion needs rows of both classes")
-    total = sum(counts.values())
+    if any(g for _, g in groups.values()):
+        raise ValueError(f"fusion signals have gaps: {sum(g for _, g in groups.values())} rows")
+    total = sum(n for n, _ in groups.values())
     weight = F.lit(1.0)
     if cfg.balanced:
-        weight = F.when(F.col(y) == 1, F.lit(total / (2.0 * counts[1]))).otherwise(F.lit(total / (2.0 * counts[0])))
-    rows = df.select(*[F.col(s).cast("double").alias(s) for s in signals], F.col(y).cast("double").alias("__y"), weight.alias("__w"))
-    fit = LogisticRegression(
-        featuresCol="features",
-        labelCol="__y",
-        weightCol="__w",
-        regParam=1.0 / (cfg.c * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=cfg.max_iter,
-        tol=1e-8,
-    ).fit(assembled(rows, signals))
-    return FusionModel(tuple(float(v) for v in fit.coefficients.toArray()), float(fit.intercept))
+        weight = F.when(F.col(y) == 1, F.lit(total / (2.0 * groups[1][0]))).otherwise(F.lit(total / (2.0 * groups[0][0])))
+    rows = df.select(*[v.alias(n) for v, n in zip(values, names)], F.col(y).cast("double").alias("__y"), weight.alias("__w"))
+    ridge = np.array([1.0] * len(names) + [0.0])
+
+    def measure(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, gradient, second = _loss_pass(rows, names, point)
+        return cfg.c * loss + ridge @ point**2 / 2, cfg.c * gradient + ridge * point, cfg.c * second + np.diag(ridge)
+
+    point = np.zeros(len(ridge))
+    loss, gradient, second = measure(point)
+    for _ in range(cfg.max_iter):
+        scale = 1 / np.sqrt(np.diag(second))
+        step = -scale * np.linalg.solve(second * np.outer(scale, scale), scale * gradient)
+        gain = -(gradient @ step) / 2
+        if gain <= SETTLED * max(1.0, loss):
+            found = point + step
+            return FusionModel(tuple(float(v) for v in found[:-1]), float(found[-1]))
+        for part in range(HALVINGS):
+            there = point + step / 2**part
+            new = measure(there)
+            if new[0] < loss:
+                break
+        else:
+            break
+        point, (loss, gradient, second) = there, new
+    raise RuntimeError(f"the fusion fit did not settle: gradient {np.abs(gradient).max():.3g}")

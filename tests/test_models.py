@@ -118,9 +118,25 @@ def test_fusion_is_at_the_optimum(rows):
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     p = 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.intercept)))
     gradient = x.T @ (w * (p - y)) + np.array(model.weights)
-    assert np.abs(gradient).max() < 1e-2 and abs((w * (p - y)).sum()) < 1e-2
+    assert np.abs(gradient).max() < 1e-6 and abs((w * (p - y)).sum()) < 1e-6
     with pytest.raises(ValueError, match="both classes"):
         models.fit_fusion(table.where("y = 1"), FEATURES, "y")
+    with pytest.raises(ValueError, match="gaps: 1 "):
+        models.fit_fusion(table.withColumn("b", F.expr("CASE WHEN row_key = 0 THEN NULL ELSE b END")), FEATURES, "y")
+
+
+def test_fusion_settles_on_signals_of_any_scale(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 400)
+    # Separable in one signal, a huge and a tiny one, and a constant.
+    pdf = pd.DataFrame({"u": y + rng.random(400) / 4, "v.1": rng.normal(y, 1) * 1e6, "w": rng.normal(size=400) * 1e-7, "k": 3.0, "y": y})
+    names = ["u", "v.1", "w", "k"]
+    model = models.fit_fusion(spark.createDataFrame(pdf), names, "y")
+    x, w = pdf[names].to_numpy(), np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    p = 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.intercept)))
+    gradient = x.T @ (w * (p - y)) + np.array(model.weights)
+    assert (np.abs(gradient) < 1e-7 * np.abs(x).sum(axis=0)).all() and abs((w * (p - y)).sum()) < 1e-6
+    assert model.weights[0] > 1
 
 
 def test_hybrid_run_and_store(spark, rows, tmp_path):

@@ -32,7 +32,6 @@ def test_only_iterative_fits_lack_sql():
         "importance_weights",
         "shap_weights",
         "ae_training_loss",
-        "fusion_fit",
         "hybrid_train_metrics",
         "exp_baseline_vs_fusion",
         "loao_fold_metrics",
