@@ -140,16 +140,20 @@ def exp_baseline_vs_fusion(spark, sf_dir):
 
 @query("loao_fold_metrics")
 def loao_fold_metrics(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    fold = hybrid.fold_table(rows, "row_key")[0]
-    cfg = replace(HYBRID, weighting="shap")
-    return hybrid.run_fold(rows, fold, VECTOR_FEATURES, cfg, "row_key", hybrid.FoldConfig())
+    """Every family held out in turn, with the mean score of the fold's attack and benign rows."""
+    scores = hybrid.loao_scores(vectors(spark, sf_dir), VECTOR_FEATURES, replace(HYBRID, weighting="shap"))
+    by = ["fold", "held_out_attack"]
+    means = scores.groupBy(*by).agg(*[F.avg(F.when(F.col("y") == y, F.col("score"))).alias(f"{n}_score") for n, y in (("attack", 1), ("benign", 0))])
+    return hybrid.metrics.fold_f1(scores, "y", "prediction", by).join(means, by)
 
 
 @query("loao_experiment")
 def loao_experiment(spark, sf_dir):
+    """Every family held out in turn, each row with the experiment's summary."""
     rows = vectors(spark, sf_dir)
-    return hybrid.loao_experiment(rows, VECTOR_FEATURES, replace(HYBRID, weighting="shap"))
+    found = materialize(hybrid.loao_experiment(rows, VECTOR_FEATURES, replace(HYBRID, weighting="shap")))
+    summary = hybrid.loao_summary(found).withColumn("one", F.lit(1))
+    return found.withColumn("one", F.lit(1)).join(summary, "one").drop("one")
 
 
 @query("score_batch")

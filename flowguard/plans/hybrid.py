@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,40 +251,73 @@ def run_metrics(run: TrainedRun, split: str = "test") -> DataFrame:
     )
 
 
-def run_fold(
+def fold_scores(
     rows: DataFrame, fold: tuple[int, str, str, str], features: Sequence[str], cfg: HybridConfig, key: str, folds: FoldConfig
 ) -> DataFrame:
-    """One held-out attack: train without it, test on it and unseen benign rows; one metric row.
+    """One held-out attack: train without it, score it and unseen benign rows: (fold, held_out_attack, key, y, score, prediction).
 
     With attribution the autoencoder's inputs are weighted; the threshold comes from the train benign rows.
     """
     table = assign_folds(rows.drop("split"), [fold], key, folds).withColumnRenamed("role", "split")
     run = fit_hybrid(table, features, cfg, key, weight_inputs=True, threshold_split="train")
-    scored = run.split("test").withColumns({"fold": F.lit(fold[0]), "held_out_attack": F.lit(fold[1])})
-    return metrics.fold_f1(scored, "y", "prediction", ["fold", "held_out_attack"])
+    named = F.lit(fold[0]).alias("fold"), F.lit(fold[1]).alias("held_out_attack")
+    return run.split("test").select(*named, key, "y", F.col("fusion_probability").alias("score"), "prediction")
 
 
-def loao_experiment(
+def run_fold(
+    rows: DataFrame, fold: tuple[int, str, str, str], features: Sequence[str], cfg: HybridConfig, key: str, folds: FoldConfig
+) -> DataFrame:
+    """The metric row of one held-out attack."""
+    return metrics.fold_f1(fold_scores(rows, fold, features, cfg, key, folds), "y", "prediction", ["fold", "held_out_attack"])
+
+
+def loao_scores(
     rows: DataFrame,
     features: Sequence[str],
     cfg: HybridConfig = HybridConfig(weighting="shap"),
     key: str = "row_key",
     folds: FoldConfig = FoldConfig(),
     refit: prep.PrepConfig | None = None,
+    at_once: int = 1,
 ) -> DataFrame:
-    """Metric row per held-out attack. ``refit`` fits the preprocessing anew on each fold's train rows."""
+    """Stored scores of the test rows of every fold, see ``fold_scores``. ``refit`` fits the preprocessing anew on each fold's train rows.
+
+    The jobs of up to ``at_once`` folds run side by side, each fold from its own thread; a fold that fails ends the experiment.
+    """
     table = materialize(rows.select(key, folds.label, *map(quoted, features)))
-    parts = None
-    for fold in fold_table(table, key, folds):
+    named = fold_table(table, key, folds)
+    if not named:
+        raise ValueError("there is no attack label to hold out")
+
+    def run(fold: tuple[int, str, str, str]) -> DataFrame:
         source = table
         if refit is not None:
             train = assign_folds(table, [fold], key, folds).where(F.col("role") == "train")
             source = prep.transform(table, prep.fit_preprocessor(train, features, refit))
-        result = run_fold(source, fold, features, cfg, key, folds)
-        parts = result if parts is None else parts.unionByName(result)
-    if parts is None:
-        raise ValueError("there is no attack label to hold out")
-    return parts
+        return materialize(fold_scores(source, fold, features, cfg, key, folds), "fold-scores")
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(named)))) as pool:
+        # Each task gets its own copy of the caller's job properties.
+        started = [pool.submit(inheritable_thread_target(rows.sparkSession)(run), fold) for fold in named]
+        return reduce(DataFrame.unionByName, [s.result() for s in started])
+
+
+def loao_experiment(
+    rows: DataFrame,
+    features: Sequence[str],
+    cfg: HybridConfig = HybridConfig(weighting="shap"),
+    key: str = "row_key",
+    folds: FoldConfig = FoldConfig(),
+    refit: prep.PrepConfig | None = None,
+    at_once: int = 1,
+) -> DataFrame:
+    """Metric row per held-out attack, from the stored scores of ``loao_scores``."""
+    return metrics.fold_f1(loao_scores(rows, features, cfg, key, folds, refit, at_once), "y", "prediction", ["fold", "held_out_attack"])
+
+
+def loao_summary(results: DataFrame) -> DataFrame:
+    """One row: ``total_runs`` and the sorted ``held_out_attacks`` of an experiment. It has one entry for each label."""
+    return results.agg(F.count("*").alias("total_runs"), F.sort_array(F.collect_set("held_out_attack")).alias("held_out_attacks"))
 
 
 def run_hash(rows: DataFrame, cfg: HybridConfig) -> str:

@@ -161,6 +161,15 @@ def test_folds_with_and_without_refit(rows):
     assert {r.held_out_attack for r in plain} == {"x", "y"} and all(0 <= r.f1 <= 1 for r in plain)
     refit = hybrid.loao_experiment(rows.drop("split"), FEATURES, replace(cfg, weighting="importance"), refit=PrepConfig()).collect()
     assert {r.heldout_rows for r in refit} == {r.heldout_rows for r in plain}
+    scores = hybrid.loao_scores(rows.drop("split"), FEATURES, cfg, at_once=2)
+    again = hybrid.metrics.fold_f1(scores, "y", "prediction", ["fold", "held_out_attack"]).collect()
+    assert {(r.fold, r.held_out_attack, r.heldout_rows) for r in again} == {(r.fold, r.held_out_attack, r.heldout_rows) for r in plain}
+    attack = scores.join(rows.select("row_key", "label"), "row_key").where("y = 1")
+    assert attack.where("label <> held_out_attack").isEmpty() and attack.count() == sum(r.heldout_rows for r in plain) - scores.where("y = 0").count()
+    summary = hybrid.loao_summary(scores.select("held_out_attack").distinct()).first()
+    assert summary.total_runs == 2 and summary.held_out_attacks == ["x", "y"]
+    with pytest.raises(ValueError, match="no attack label"):
+        hybrid.loao_scores(rows.drop("split").where("label = 'benign'"), FEATURES, cfg)
     with pytest.raises(ValueError, match="unknown weighting"):
         hybrid.fit_hybrid(rows, FEATURES, replace(SMALL, weighting="other"))
 
