@@ -2,8 +2,9 @@
 
 A page is a stream of tokens: block tags and text slots. Repeats that follow one another are folded to groups. The
 streams of a host are aligned one after another: what differs becomes an optional group, what repeats a repeated
-group, and text becomes a slot, until one expression without unions, the wrapper, describes them all. The wrapper's
-slots are then told apart: menus, notices and the like from the slots of the article.
+group, and text becomes a slot, until one expression without unions, the wrapper, describes them all. Every page is
+then matched against its host's wrapper, which says for each text in which slot it stands. Slots are counted over the
+pages of the host and told apart: those with one text on all pages from those of the article.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +38,12 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "respond", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "form", "search", "pagination", "pager", "toolbar", "copyright", "disclaimer"}
 MAIN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
+KNOWN_WORDS = ASIDE_WORDS | MAIN_WORDS | ROLES | {"hidden"}
+
+# Longest group of tokens that is folded where it follows itself.
+LONGEST = 64
+# Wrappers and slots of all hosts are broadcast up to this many bytes, else joined by host.
+BROADCAST_BYTES = 32 << 20
 # Shapes, or partial wrappers, of one host that are aligned in one task.
 FAN = 256
 
@@ -62,8 +71,14 @@ def label(tag: str, attributes: str) -> str:
     return ".".join([tag, *dict.fromkeys(words)])
 
 
+def known(name: str) -> str:
+    """A container's name without the words that say nothing about its role, so paths do not grow with class names."""
+    tag, *words = name.split(".")
+    return ".".join([tag, *(w for w in words if w in KNOWN_WORDS)])
+
+
 def slots(html: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """The token stream of a page, and its text blocks as (path of containers, text).
+    """The token stream of a page, and its text blocks as (path of containers, text), one for each "#" of the stream.
 
     Blocks end at every block tag. A close tag without an open one is passed over; what is not closed ends with its
     parent. White space within a block, line breaks included, is one space.
@@ -145,7 +160,7 @@ def slots(html: str) -> tuple[list[str], list[tuple[str, str]]]:
                     break
         else:
             name = label(tag, found["attributes"])
-            stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name))
+            stack.append((tag, f"{stack[-1][1]}>{known(name)}" if stack else known(name)))
             stream.append(name)
     if not inside:
         pending.append(html[at:])
@@ -153,24 +168,64 @@ def slots(html: str) -> tuple[list[str], list[tuple[str, str]]]:
     return stream, blocks
 
 
-def folded(stream: list[str], longest: int = 8) -> list[str]:
-    """Groups of up to ``longest`` tokens that follow themselves become one repeated group, written "(a b)+"."""
-    for size in range(1, longest + 1):
+def fold(stream: list[str], longest: int = LONGEST) -> tuple[list[str], list[int]]:
+    """Groups of up to ``longest`` tokens that follow themselves become one repeated group, written "(a b)+".
+
+    The second list says how many tokens of the stream each node stands for.
+    """
+    lengths = [1] * len(stream)
+    for size in range(1, min(longest, len(stream) // 2) + 1):
         out: list[str] = []
+        kept: list[int] = []
         at = 0
         while at < len(stream):
-            group = stream[at : at + size]
             stop = at + size
-            while len(group) == size and stream[stop : stop + size] == group:
-                stop += size
+            if stop < len(stream) and stream[at] == stream[stop]:
+                group = stream[at:stop]
+                while stream[stop : stop + size] == group:
+                    stop += size
             if stop > at + size:
                 out.append(group[0] if size == 1 and group[0].endswith(")+") else f"({' '.join(group)})+")
+                kept.append(sum(lengths[at:stop]))
                 at = stop
             else:
                 out.append(stream[at])
+                kept.append(lengths[at])
                 at += 1
-        stream = out
-    return stream
+        stream, lengths = out, kept
+    return stream, lengths
+
+
+def folded(stream: list[str], longest: int = LONGEST) -> list[str]:
+    return fold(stream, longest)[0]
+
+
+def text_nodes(stream: list[str], lengths: list[int]) -> list[tuple[int, int]]:
+    """For each text of a stream its node in the folded stream, and the node that opens its container (-1: none)."""
+    found: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    tokens = iter(stream)
+    for node, length in enumerate(lengths):
+        for token in islice(tokens, length):
+            tag = token.split(".")[0]
+            if token == "#":
+                found.append((node, stack[-1][1] if stack else -1))
+            elif tag in CONTAINERS:
+                stack.append((tag, node))
+            elif tag[0] == "/":
+                while stack.pop()[0] != tag[1:]:
+                    pass
+    return found
+
+
+@lru_cache(4096)
+def matched(wrapper: str, shape: str) -> list[int]:
+    """For each node of a page's shape the node of the wrapper that describes it, -1 where none does; and -1 at the end."""
+    nodes = [_bare(x) for x in tokens_of(shape)]
+    found = [-1] * (len(nodes) + 1)
+    for i, j, n in SequenceMatcher(None, [_bare(x) for x in tokens_of(wrapper)], nodes, autojunk=False).get_matching_blocks():
+        found[j : j + n] = range(i, i + n)
+    return found
 
 
 def _bare(node: str) -> str:
@@ -212,53 +267,80 @@ def is_aside(name: str) -> bool:
     return "hidden" in words or tag != "main" and (tag in ASIDE or not ASIDE_WORDS.isdisjoint(words) or not ROLES.isdisjoint(words))
 
 
-def choose(paths: dict[str, tuple[int, bool]]) -> list[str]:
-    """The slots of the article among a wrapper's: ``paths`` maps a path to (characters, same text on all pages).
+def is_article(name: str) -> bool:
+    return name.split(".")[0] == "article"
 
-    Left out are paths inside a container whose name says it is something else, unless it is layout: the container holds
-    nine tenths of the text and no article or main element is outside. Of the rest, an article or main element holds
-    the article, else a container named so that has text that differs or most of the text, else the deepest one
-    that has at least six tenths of the differing text. Nothing within it is left out for having one text on all pages.
-    """
-    everything = _weights(paths)
-    total = sum(n for n, _ in paths.values())
-    mains = [p for p in paths if any(n.split(".")[0] in ("article", "main") for n in p.split(">"))]
-    layout = {k for k, n in everything.items() if 10 * n >= 9 * total and all(_within(p, k) for p in mains)}
 
-    def kept(path: str) -> bool:
-        names = path.split(">")
-        judged = range(_root(path), len(names))
-        return not any(is_aside(names[i]) and ("hidden" in names[i].split(".") or ">".join(names[: i + 1]) not in layout) for i in judged)
+def is_main(name: str) -> bool:
+    return name.split(".")[0] == "main" or name.endswith(".main")
+
 
-    open_ = {p: v for p, v in paths.items() if kept(p)}
+def is_named(name: str) -> bool:
+    tag, *words = name.split(".")
+    return tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(words)
+
+
+def choose(keys: dict[str, tuple[int, bool]]) -> list[str]:
+    """The slots of the article among a wrapper's: ``keys`` maps a slot to (characters, same text on all pages).
+
+    A slot is written "node:box:path": its node in the wrapper, the node that opens its container, and the names of the
+    containers around it. A page alone has paths only. Left out are slots inside a container whose name says it is
+    something else, unless it is layout: it holds an article or main element and none is outside, or it holds nine tenths of
+    the text and no such element is outside. Of the rest, an article element with text that differs holds the article,
+    else a main element, else a container named so. Without any of these all slots whose text differs belong to it,
+    whatever their size, and those with one text on all pages only where they share a container below the body
+    with one that differs, or stand in an element as above. Nothing within an article is left out for having one text.
+    """
+    path = {k: k.rsplit(":", 1)[-1] for k in keys}
+    everything: dict[str, int] = {}
+    for key, (n, _) in keys.items():
+        everything[path[key]] = everything.get(path[key], 0) + n
+    weights = _weights(everything)
+    total = sum(everything.values())
+    mains = [p for p in everything if any(n.split(".")[0] in ("article", "main") and not is_aside(n) for n in p.split(">"))]
+
+    def layout(container: str) -> bool:
+        around = mains and not any(n.split(".")[0] in ("article", "main") for n in container.split(">"))
+        return all(_within(p, container) for p in mains) and bool(around or 10 * weights[container] >= 9 * total)
+
+    aside = {k for k in weights if is_aside(k.split(">")[-1]) and ("hidden" in k.split(">")[-1].split(".") or not layout(k))}
+
+    def kept(p: str) -> bool:
+        names = p.split(">")
+        return not any(">".join(names[: i + 1]) in aside for i in range(_root(p), len(names)))
+
+    open_paths = {p for p in everything if kept(p)}
+    open_ = {k: v for k, v in keys.items() if path[k] in open_paths}
     whole = sum(n for n, _ in open_.values())
-    varied = {p: v for p, v in open_.items() if not v[1]}
+    varied = {k for k, v in open_.items() if not v[1]}
     # Where nearly all text is constant, the pages are copies of one article.
-    if 10 * sum(n for n, _ in varied.values()) < whole:
-        varied = open_
-    for good in (
-        lambda n: n.split(".")[0] == "article",
-        lambda n: n.split(".")[0] == "main" or n.endswith(".main"),
-        lambda n: n.split(".")[0] in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(n.split(".")[1:]),
-    ):
-        inside = [p for p in open_ if any(good(n) for n in p.split(">"))]
-        if any(p in varied for p in inside) or 10 * sum(open_[p][0] for p in inside) >= 6 * whole > 0:
+    if 10 * sum(open_[k][0] for k in varied) < whole:
+        varied = set(open_)
+    good_slots: set[str] = set()
+    for good in (is_article, is_main, is_named):
+        good_paths = {p for p in open_paths if any(good(n) for n in p.split(">"))}
+        inside = [k for k in open_ if path[k] in good_paths]
+        if not varied.isdisjoint(inside):
             return inside
-    some = sum(n for n, _ in varied.values())
-    best = max((k for k, n in _weights(varied).items() if 10 * n >= 6 * some), key=lambda k: (k.count(">"), k), default="")
-    if not best or _root(best) == len(best.split(">")):
-        return list(varied)
-    return [p for p in open_ if _within(p, best)]
+        good_slots.update(inside)
+    boxes = {_box(k) for k in varied} - {None}
+    return [k for k in open_ if k in varied or k in good_slots or _box(k) in boxes]
+
+
+def _box(key: str) -> str | None:
+    """The container of a slot, as the wrapper has it; None for text right below the body or outside the wrapper."""
+    parts = key.split(":")
+    return ":".join(parts[1:]) if len(parts) == 3 and parts[1] != "-1" and _root(parts[2]) < len(parts[2].split(">")) else None
 
 
 def _within(path: str, container: str) -> bool:
     return path == container or path.startswith(container + ">")
 
 
-def _weights(paths: dict[str, tuple[int, bool]]) -> dict[str, int]:
+def _weights(paths: dict[str, int]) -> dict[str, int]:
     """Characters within every container."""
     weight: dict[str, int] = {}
-    for path, (n, _) in paths.items():
+    for path, n in paths.items():
         names = path.split(">")
         for i in range(len(names)):
             key = ">".join(names[: i + 1])
@@ -273,31 +355,28 @@ def _root(path: str) -> int:
 
 
 def page_shapes(pages: DataFrame) -> DataFrame:
-    """host, shape and the paths with their characters and text hash: what inference needs from each page."""
-    schema = "host string, page bigint, shape string, paths array<struct<path:string,chars:bigint,hash:bigint>>"
+    """host, page (hash of the html), shape and its texts in order: node, box, path, characters, hash."""
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("box", pa.int32()), ("path", pa.string()), ("chars", pa.int64()), ("hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, paths, hashes = [], [], []
+            shapes, texts, hashes = [], [], []
             for html in batch.column(1):
-                stream, blocks = slots(html.as_py() or "")
-                hashes.append(int.from_bytes(blake2b((html.as_py() or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True))
-                texts: dict[str, list[str]] = {}
-                for path, text in blocks:
-                    texts.setdefault(path, []).append(text)
-                shapes.append(" ".join(folded(stream)))
-                paths.append(
-                    [
-                        {"path": p, "chars": sum(map(len, t)), "hash": int.from_bytes(blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)}
-                        for p, t in texts.items()
-                    ]
-                )
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("hash", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(shapes, pa.string()), pa.array(paths, kind)], names=["host", "page", "shape", "paths"])
-
+                stream, blocks = slots(html.as_py())
+                nodes, lengths = fold(stream)
+                hashes.append(_hash(html.as_py()))
+                shapes.append(" ".join(nodes))
+                texts.append([{"node": n, "box": b, "path": p, "chars": len(t), "hash": _hash(t)} for (n, b), (p, t) in zip(text_nodes(stream, lengths), blocks)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(shapes, pa.string()), pa.array(texts, kind)], names=["host", "page", "shape", "texts"])
+
+    schema = "host string, page bigint, shape string, texts array<struct<node:int,box:int,path:string,chars:bigint,hash:bigint>>"
     return pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInArrow(run, schema)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+
+
 def tokens_of(shape: str) -> list[str]:
     """Top-level nodes of a written stream or wrapper."""
     out, depth, now = [], 0, []
@@ -317,8 +396,8 @@ def _merge(shapes: list[str]) -> str:
     return " ".join(wrapper)
 
 
-def wrappers(shapes: DataFrame, fan: int = FAN) -> DataFrame:
-    """host, wrapper (the union-free expression) and content (paths of the article's slots).
+def expressions(shapes: DataFrame, fan: int = FAN) -> DataFrame:
+    """host, wrapper (the union-free expression) and pages (how many it describes).
 
     Pages are first counted by host and shape, so a host with many pages brings its distinct shapes only. They are
     aligned in order of frequency, about ``fan`` in a task; the partial wrappers of a host are aligned in the same way
@@ -341,49 +420,94 @@ def wrappers(shapes: DataFrame, fan: int = FAN) -> DataFrame:
         aligned = salted.groupBy("host", "salt").applyInPandas(partial, "host string, shape string, pages bigint")
         # Tasks that came to the same wrapper count as one.
         merged = aligned.groupBy("host", "shape").agg(F.sum("pages").alias("pages"))
-    # A path has one text on all pages if all distinct pages of the host have it; copies of a page count once.
+    return merged.select("host", F.col("shape").alias("wrapper"), "pages")
+
+
+def _with_host(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows with what is stored about their host, which is broadcast if it is measured to be small."""
+    size = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in hosts.columns)
+    small = (hosts.agg(F.sum(size).alias("n")).first().n or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(hosts) if small else hosts, "host", "left")
+
+
+def slot_table(shapes: DataFrame, found: DataFrame) -> DataFrame:
+    """host, slot, chars, pages (distinct pages that have it), optional (some lack it) and same (one text on all, three at least).
+
+    Copies of a page count once. Slots are matched page by page and counted by partial sums, so a host of any number of pages
+    is never in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, shape, wrapper, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                at = matched(wrapper, shape)
+                own: dict[str, list] = {}
+                for t in texts:
+                    place = own.setdefault(f"{at[t['node']]}:{at[t['box']]}:{t['path']}", [0, []])
+                    place[0] += t["chars"]
+                    place[1].append(t["hash"])
+                rows += [(host, k, n, _hash(str(h))) for k, (n, h) in own.items()]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "slot", "chars", "hash"])
+
     single = shapes.dropDuplicates(["host", "page"])
     counted = single.groupBy("host").agg(F.count("*").alias("all"))
-    paths = (
-        single.select("host", F.explode("paths").alias("p"))
-        .groupBy("host", "p.path")
-        .agg(F.sum("p.chars").alias("chars"), F.count("*").alias("n"), F.min("p.hash").alias("low"), F.max("p.hash").alias("high"))
+    placed = _with_host(single, found).select("host", "shape", "wrapper", "texts").mapInArrow(run, "host string, slot string, chars bigint, hash bigint")
+    return (
+        placed.groupBy("host", "slot")
+        .agg(F.sum("chars").alias("chars"), F.count("*").alias("pages"), F.min("hash").alias("low"), F.max("hash").alias("high"))
         .join(counted, "host")
-        .select("host", "path", "chars", ((F.col("n") >= 3) & (F.col("n") == F.col("all")) & (F.col("low") == F.col("high"))).alias("same"))
+        .select("host", "slot", "chars", "pages", (F.col("pages") < F.col("all")).alias("optional"), ((F.col("pages") >= 3) & (F.col("pages") == F.col("all")) & (F.col("low") == F.col("high"))).alias("same"))
     )
 
+
+def contents(slot_rows: DataFrame) -> DataFrame:
+    """host and content: the slots of the article. A host's slots are bounded by its wrapper and the known names, not by its pages."""
+
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        found = choose({p: (int(c), bool(s)) for p, c, s in zip(rows["path"], rows["chars"], rows["same"])})
+        found = choose({k: (int(c), bool(s)) for k, c, s in zip(rows["slot"], rows["chars"], rows["same"])})
         return pd.DataFrame({"host": rows["host"].iloc[:1], "content": [sorted(found)]})
 
-    content = paths.groupBy("host").applyInPandas(pick, "host string, content array<string>")
-    return merged.select("host", F.col("shape").alias("wrapper"), "pages").join(content, "host", "left")
+    return slot_rows.groupBy("host").applyInPandas(pick, "host string, content array<string>")
 
 
-def extract(pages: DataFrame, few: int = 20_000) -> DataFrame:
+def wrappers(shapes: DataFrame, fan: int = FAN) -> DataFrame:
+    """host, wrapper, pages and content (the article's slots of the wrapper) of every host."""
+    found = materialize(expressions(shapes, fan), "wrappers")
+    return found.join(contents(slot_table(shapes, found)), "host", "left")
+
+
+def article(html: str, wrapper: str, content: set[str]) -> str:
+    """The text of a page: its blocks that stand in one of the article's slots of the wrapper, else by the page alone."""
+    stream, blocks = slots(html)
+    nodes, lengths = fold(stream)
+    at = matched(wrapper, " ".join(nodes))
+    keys = [f"{at[n]}:{at[b]}:{p}" for (n, b), (p, _) in zip(text_nodes(stream, lengths), blocks)]
+    if content.isdisjoint(keys):
+        own: dict[str, int] = {}
+        keys = [p for p, _ in blocks]
+        for p, t in blocks:
+            own[p] = own.get(p, 0) + len(t)
+        content = set(choose({p: (n, False) for p, n in own.items()}))
+    return "\n".join(t for k, (_, t) in zip(keys, blocks) if k in content)
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
     Null html is empty and has an empty text; null or odd urls share the wrapper of the empty host. Pages that lack all of
-    their host's article slots are read by the same rules from the page alone. Repeated rows give equal rows. The wrappers
-    (one row for each host) are broadcast when they are counted to be at most ``few``, else joined by host.
+    their host's article slots are read by the same rules from the page alone. Repeated rows give equal rows, an empty table
+    an empty one; other columns are not read. Texts of any length are read whole.
     """
-    found = materialize(wrappers(materialize(page_shapes(pages), "page-shapes")), "wrappers").select("host", "content")
-    small = found.count() <= few
+    found = materialize(wrappers(materialize(page_shapes(pages), "page-shapes")), "wrapper-contents").select("host", "wrapper", "content")
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    joined = rows.join(F.broadcast(found) if small else found, "host", "left").select("page_id", "url", "html", "content")
+    joined = _with_host(rows, found).select("page_id", "url", "html", "wrapper", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, content in zip(batch.column(2), batch.column(3)):
-                blocks = slots(html.as_py())[1]
-                wanted = set(content.as_py() or ())
-                if wanted.isdisjoint(p for p, _ in blocks):
-                    own: dict[str, int] = {}
-                    for p, t in blocks:
-                        own[p] = own.get(p, 0) + len(t)
-                    wanted = set(choose({p: (n, False) for p, n in own.items()}))
-                texts.append("\n".join(t for p, t in blocks if p in wanted))
+            texts = [article(h.as_py(), w.as_py() or "", set(c.as_py() or ())) for h, w, c in zip(*batch.columns[2:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
