@@ -92,6 +92,11 @@ def softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def probabilities_of(x: np.ndarray, arrays: Sequence[np.ndarray]) -> np.ndarray:
+    """Class probabilities by the arrays of a forest."""
+    return softmax(margins_of(x, Forest(*arrays), binned=False))
+
+
 def shrunk(g: np.ndarray | float, alpha: float):
     """The gradient after the L1 penalty."""
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
@@ -173,17 +178,17 @@ class SoftmaxBooster:
         return self.classes.index(BENIGN)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return softmax(margins_of(x, self.forest, binned=False))
+        return probabilities_of(x, self.forest.arrays())
 
     def predict_proba(self, df: DataFrame, output: str = "proba") -> DataFrame:
         """Adds the array of class probabilities, indexed by class id."""
         require_columns(df, self.features, "feature")
-        model = df.sparkSession.sparkContext.broadcast(self)
+        # A broadcast is pickled by reference to its classes, which executors need not have: only arrays travel.
+        model, width = df.sparkSession.sparkContext.broadcast(self.forest.arrays()), len(self.features)
 
         @F.pandas_udf("array<double>")
         def predict(found: pd.Series) -> pd.Series:
-            own = model.value
-            return pd.Series(list(own.probabilities(matrix(found, len(own.features)))))
+            return pd.Series(list(probabilities_of(matrix(found, width), model.value)))
 
         return df.withColumn(output, predict(feature_array(self.features)))
 

@@ -1,12 +1,14 @@
 """Softmax boosting against plain loops over single rows."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from flowguard.config import BoostConfig
-from flowguard.operators import boosting
+from flowguard.operators import boosting, quantiles
 from flowguard.operators.attribution import expected_value, shapley_values
 
 FEATURES = ["a", "b", "c.d"]
@@ -122,3 +124,21 @@ def test_odd_inputs(spark, table):
     odd = table.unionByName(table.limit(3).withColumn("a", F.lit(None).cast("double")))
     model = boosting.fit_softmax(odd, FEATURES, CLASSES, cfg=CFG)
     assert model.predict_proba(odd.where("a IS NULL")).where("abs(aggregate(proba, 0D, (s, v) -> s + v) - 1) < 1e-9").count() == 3
+
+
+def test_bin_edges_of_many_columns_beyond_the_direct_way(spark):
+    wide = pd.DataFrame(np.random.default_rng(3).normal(size=(3000, 40)), columns=[f"f{i}" for i in range(40)])
+    wide.iloc[::7, 3], wide.iloc[:, 5] = 0.25, 1.0
+    levels = [i / 256 for i in range(1, 256)]
+    found = quantiles.exact_quantiles(spark.createDataFrame(wide).repartition(3), list(wide), levels, direct_rows=100)
+    for name in wide:
+        assert found[name] == pytest.approx(list(wide[name].quantile(levels)))
+
+
+def test_broadcast_models_hold_no_class_of_the_library(spark, table, monkeypatch):
+    model = boosting.fit_softmax(table.where("part = 'train'"), FEATURES, CLASSES, cfg=CFG)
+    sent = []
+    given = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or given(self, value))
+    assert model.predict_proba(table).count() == table.count()
+    assert sent and not any(b"flowguard" in pickle.dumps(value) for value in sent)
