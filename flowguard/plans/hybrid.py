@@ -20,7 +20,7 @@ from flowguard.functions.columns import quoted
 from flowguard.operators import metrics, models, prep, registry, scoring, weights
 from flowguard.operators.attribution import shap_weights
 from flowguard.operators.autoencoder import Autoencoder, feature_array, fit_autoencoder, forward, unflatten
-from flowguard.operators.boosting import SoftmaxBooster, fit_softmax, matrix
+from flowguard.operators.boosting import SoftmaxBooster, fit_softmax, matrix, probabilities_of
 from flowguard.operators.splits import assign_folds, fold_table
 from flowguard.session import driver_rows, materialize
 from flowguard.sources import stores
@@ -63,15 +63,15 @@ class HybridModel:
         prep.require_columns(df, self.classifier.features, "feature")
         scale = np.array([self.input_weights.get(f, 1.0) for f in self.classifier.features])
         loss = np.array(self.autoencoder.weights)
-        shared = df.sparkSession.sparkContext.broadcast((self.classifier, self.autoencoder.flat, self.autoencoder.sizes))
+        shared = df.sparkSession.sparkContext.broadcast((self.classifier.forest.arrays(), self.autoencoder.flat, self.autoencoder.sizes))
 
         @F.pandas_udf("proba array<double>, rec_error double")
         def both(found: pd.Series) -> pd.DataFrame:
-            classifier, flat, sizes = shared.value
+            trees, flat, sizes = shared.value
             x = matrix(found, sizes[0])
             weighted = x * scale
             gap = weighted - forward(weighted, unflatten(flat, sizes))[-1]
-            return pd.DataFrame({"proba": list(classifier.probabilities(x)), "rec_error": (gap * gap * loss).mean(axis=1)})
+            return pd.DataFrame({"proba": list(probabilities_of(x, trees)), "rec_error": (gap * gap * loss).mean(axis=1)})
 
         scored = df.withColumn("__both", both(feature_array(self.classifier.features)))
         found = scored.withColumns(
