@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import logging
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,14 +14,15 @@ from pyspark.sql import types as T
 from flowguard.config import BENIGN, FAMILY, LABEL, SOURCE
 from flowguard.functions.columns import quoted
 from flowguard.operators.ordering import first_rows_per_group
-from flowguard.session import attach_rows, driver_rows
-from flowguard.sources.stores import path_exists
+from flowguard.session import attach_rows, driver_rows, materialize
+from flowguard.sources.stores import path_exists, promote
 
 LOGGER = logging.getLogger(__name__)
 
-# Naming of the attack folders and files.
-ATTACK_PATH = r"([^/]+)_attacks/([^/]+)\.csv"
-FILE_NAME = r"([^/]+\.csv)"
+# Naming of the attack folders and files. A match starts where a name does; elsewhere none is tried, which would
+# take the square of a name's length for every row.
+ATTACK_PATH = r"(?<![^/])([^/]+)_attacks/([^/]+)\.csv"
+FILE_NAME = r"(?<![^/])([^/]+\.csv)"
 
 PATH, BLOCK = "__path", "__block"
 BLOCK_LIMIT = 2_000_000
@@ -150,8 +152,8 @@ def load(
     else:
         table = scan(spark, benign, attack_dirs, order_key=order_key)
         if max_rows_per_file is not None:
-            # One label per file; two families may have files of the same name.
-            table = first_rows_per_group(table, LABEL, order_key, max_rows_per_file)
+            # One label per file; two families may have files of the same name. The passes below read the parsed rows.
+            table = first_rows_per_group(materialize(table, "parsed"), LABEL, order_key, max_rows_per_file)
     if table.isEmpty():
         raise RuntimeError("no rows were loaded; check the input paths")
     if entry is not None:
@@ -170,14 +172,21 @@ def device_filter(df: DataFrame, path: str, device: str) -> DataFrame:
 
 
 def write_tree(df: DataFrame, path_column: str, root: str, columns: Sequence[str]) -> list[str]:
-    """Writes the rows as a CSV tree, one folder per source path; returns the source paths."""
-    paths = sorted(r[0] for r in driver_rows(df.select(path_column).distinct(), "source paths"))
-    for p in paths:
-        (
-            df.where(F.col(path_column) == p)
-            .select(*columns)
-            .write.mode("overwrite")
-            .option("header", True)
-            .csv(f"{root}/{p}")
-        )
+    """Writes the rows as a CSV tree, one folder per source path; returns the source paths.
+
+    All folders are written in one pass, a path in as many files as its share of about twice the cores, so the number of files does
+    not grow with the rows. A folder is renamed to its path when the pass is complete.
+    """
+    spark = df.sparkSession
+    counted = driver_rows(df.groupBy(F.col(path_column).alias("path")).agg(F.count("*").alias("n")), "source paths")
+    if any(not r.path for r in counted):
+        raise ValueError("rows without a source path")
+    paths, total, files = sorted(r.path for r in counted), sum(r.n for r in counted), 2 * spark.sparkContext.defaultParallelism
+    shards = [(r.path, -(-files * r.n // total)) for r in counted]
+    named = df.select(*columns, F.col(path_column).alias(PATH)).withColumn("__row", F.monotonically_increasing_id())
+    dealt = attach_rows(named, shards, f"{PATH} string, __shards bigint", [PATH]).withColumn("__shard", F.col("__row") % F.col("__shards"))
+    unfinished = f"{root}/_unfinished-{uuid.uuid4().hex}"
+    rows = dealt.repartition(files, PATH, "__shard").select(*columns, PATH)
+    rows.write.partitionBy(PATH).option("header", True).csv(unfinished)
+    promote(spark, unfinished, PATH, root)
     return paths
