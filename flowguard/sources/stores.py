@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,21 @@ def _located(spark: SparkSession, path: str):
     return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def promote(spark: SparkSession, folder: str, column: str, root: str) -> None:
+    """Renames the partitions of ``folder`` by ``column`` to the paths below ``root`` that they are named by; what is there goes."""
+    source, system = _located(spark, folder)
+    for status in system.listStatus(source):
+        name = status.getPath().getName()
+        if not name.startswith(f"{column}="):
+            continue
+        target = _located(spark, f"{root}/{unquote(name.removeprefix(f'{column}='))}")[0]
+        system.delete(target, True)
+        system.mkdirs(target.getParent())
+        if not system.rename(status.getPath(), target):
+            raise RuntimeError(f"could not rename {name} to {target}")
+    system.delete(source, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path, system = _located(spark, path)
     return bool(system.exists(jvm_path))

@@ -1,6 +1,7 @@
 """Small frames for the edges of the semantics."""
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -420,3 +421,27 @@ def test_report_documents_survive_the_store(spark, tmp_path):
     found = [r.line for r in sorted((r for r in back if r.run_name == "r 1"), key=lambda r: r.line_no)]
     assert found[0] == "# Experiment Report: r 1" and "- f1: 0.500000" in found and found[-1] == "- m: models/m"
     assert {r.run_name for r in back} == {"r 1", "r,2"}
+
+
+def test_tree_is_written_in_one_pass_and_few_files(spark, tmp_path):
+    paths = ["dev/benign_traffic.csv", "dev/my_x_attacks/a b=1.csv", "dev/y_attacks/scan.csv"]
+    rows = spark.range(0, 3000, 1, 60).select((F.col("id") * 1.0).alias("a"), F.element_at(F.array(*map(F.lit, paths)), (F.col("id") % 3 + 1).cast("int")).alias("p"))
+    assert traffic_csv.write_tree(rows, "p", str(tmp_path), ["a"]) == sorted(paths)
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.glob("*/**/*.csv") if f.is_dir()) == sorted(paths)
+    # As many files as the cores ask for, however many partitions the rows have.
+    assert len([f for f in tmp_path.glob("**/part-*.csv") if f.is_file()]) <= 2 * spark.sparkContext.defaultParallelism + len(paths)
+    back = traffic_csv.load(spark, f"{tmp_path}/dev/benign_traffic.csv", [f"{tmp_path}/dev/my_x_attacks", f"{tmp_path}/dev/y_attacks"])
+    assert {(r.label, r.attack_family): r.n for r in back.groupBy("label", "attack_family").agg(F.countDistinct("a").alias("n")).collect()} == {
+        ("benign", "benign"): 1000, ("my_x_a%20b=1", "my_x"): 1000, ("y_scan", "y"): 1000,
+    }
+    with pytest.raises(ValueError, match="source path"):
+        traffic_csv.write_tree(rows.withColumn("p", F.lit(None).cast("string")), "p", str(tmp_path), ["a"])
+
+
+def test_long_folder_names_cost_no_square_of_their_length(spark):
+    at = lambda p: tuple(spark.createDataFrame([(p,)], "p string").select(*traffic_csv.path_columns("p").values()).first())
+    assert at("x_attacks/y_attacks/z.csv.csv") == ("y_z.csv", "y", "z.csv.csv")
+    assert at("/_attacks/.csv/b.csv/part-0.csv") == ("benign", "benign", "b.csv")
+    start = time.time()
+    assert at("/".join(["n" * 30_000] * 3) + "/q_attacks/r.csv") == ("q_r", "q", "r.csv")
+    assert time.time() - start < 5
