@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, similarity 0.8) stays: the one with the smallest id."""
+    """One document of each component of near copies (SimHash, exact check and join: five words, similarity 0.8) stays: the one with the smallest id."""
     return simhash.one_of_each(docs, near_copies.classes(docs))
 
 

@@ -1,4 +1,7 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles: a join with prefix filter.
+"""Near copies by SimHash, checked by the exact Jaccard similarity of their sets of word shingles, and a join with prefix filter.
+
+Sets whose SimHash fingerprints are linked meet first, and what is similar there is joined. At a similarity of 0.8 most fingerprints
+differ in more bits than any index can look up, so the join finds the rest:
 
 Let all shingles have one order. Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each,
 so only these are looked up, and no pair is missed. The order is that of the shingles' hashes; it needs no counts.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from flowguard.session import BROADCAST_ROWS, materialize
 from llm.common import shuffle_partitions
-from llm.simhash import SEED, components
+from llm.simhash import SEED, components, links, majority
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -74,7 +77,7 @@ def parities(values: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``tie`` (hash of the text) and ``node`` (hash of the set of shingles) with its size and parities, for every row."""
+    """``doc_id``, ``tie`` (hash of the text) and ``node`` (hash of the set of shingles) with its size, SimHash and parities, for every row."""
     source = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +88,11 @@ def nodes(docs: DataFrame, width: int) -> DataFrame:
                 node = np.array([xxhash.xxh64_intdigest(v.tobytes(), SEED) for v in found], dtype=np.uint64).view(np.int64)
                 size = pa.array([len(v) for v in found], pa.int32())
                 bits = np.array([parities(v) for v in found], dtype=np.int64).reshape(-1, 4)
-                columns = [batch.column(0), batch.column(1), pa.array(node), size, *(pa.array(bits[:, i].copy()) for i in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "node", "size", *PARITIES])
+                prints = pa.array(np.array([majority(v) for v in found], dtype=np.uint64).view(np.int64))
+                columns = [batch.column(0), batch.column(1), pa.array(node), size, prints, *(pa.array(bits[:, i].copy()) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "node", "size", "fingerprint", *PARITIES])
 
-    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tie bigint, node bigint, size int, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tie bigint, node bigint, size int, fingerprint bigint, {', '.join(f'{p} bigint' for p in PARITIES)}")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, width: int, part: Callable[[np.ndarray], np.ndarray], repeated: bool = True) -> DataFrame:
@@ -171,9 +175,9 @@ class Join:
         self.rows = materialize(nodes(docs, width), "shingle-sets")
         self.repeated = not self.rows.groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
         best = F.min(F.struct("doc_id", "tie")).alias("best")
-        equal = (F.first(c).alias(c) for c in ("size", *PARITIES))
+        equal = (F.first(c).alias(c) for c in ("size", "fingerprint", *PARITIES))
         self.distinct = materialize(
-            self.rows.groupBy("node").agg(best, F.min("doc_id").alias("least"), *equal).select("node", "best.*", "least", "size", *PARITIES), "distinct-sets"
+            self.rows.groupBy("node").agg(best, F.min("doc_id").alias("least"), *equal).select("node", "best.*", "least", "size", "fingerprint", *PARITIES), "distinct-sets"
         )
         limit = similarity
         self.prefixes = materialize(sets(docs, self.distinct.where("size > 0"), width, lambda v: v[: prefix_length(len(v), limit)], self.repeated), "prefixes")
@@ -211,6 +215,14 @@ class Join:
         self._roots = None
         return True
 
+    def alike(self) -> DataFrame:
+        """Pairs (a, b) of every set with the least of its class of linked SimHash fingerprints."""
+        given = self.distinct.where("size > 0").select("node", "fingerprint")
+        prints = materialize(given.select("fingerprint").distinct(), "fingerprints")
+        roots = components(links(prints)).select(F.col("node").alias("fingerprint"), "root")
+        named = given.join(roots, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("root"), F.col("node").alias("b"))
+        return named.join(named.groupBy("root").agg(F.min("b").alias("a")), "root").where("a <> b").select("a", "b")
+
     def open_keys(self, met: DataFrame) -> DataFrame:
         """(key, root, node, own, size, place, parities) of the keys under which several components meet."""
         named = met.join(self.roots(), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "own", "size", "place")
@@ -386,6 +398,7 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     joined before any comparison. Texts of any length are read whole, other columns are ignored, an empty table has no rows.
     """
     join = Join(docs, width, similarity, frequent)
+    join.compare(join.alike())
     keys = join.prefixes.select("node", "size", F.lit(True).alias("own"), F.posexplode("values").alias("place", "key"))
     met = materialize(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "shared-keys")
     join.connect(met.where(F.col("n") <= frequent).drop("n"))

@@ -33,6 +33,15 @@ CROWDED = 20_000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A number with the bits that are set in over half the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(((2 * ones > len(hashes)).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a text, as an unsigned number."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
@@ -47,11 +56,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     spans = zip(starts[: len(found) - reach].tolist(), stops[reach:].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(((2 * ones > len(hashes)).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

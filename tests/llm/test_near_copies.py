@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from llm import near_copies
+from llm import near_copies, simhash
 
 
 def brute_classes(texts):
@@ -142,3 +142,18 @@ def test_partners_keep_every_pair_that_can_be_similar():
     got = {(a, b) for part in near_copies._partners(64, 0.8)(iter([rows])) for a, b in part.to_numpy().tolist()}
     true = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(np.intersect1d(found[i], found[j])) >= 0.8 * len(np.union1d(found[i], found[j]))}
     assert true and true <= got and len(got) < 40 * 39 // 2
+
+
+def test_sets_with_linked_fingerprints_meet_first(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(["y", *base[1:]]), " ".join(base[::-1]), "some other text of few words", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    join = near_copies.Join(docs, near_copies.WIDTH, near_copies.SIMILARITY, near_copies.FREQUENT)
+    nodes = {r.doc_id: (r.node, r.fingerprint) for r in join.distinct.collect()}
+    prints = {i: simhash.majority(near_copies.shingles(t)) for i, t in enumerate(texts)}
+    assert all(p % 2**64 == prints[i] for i, (_, p) in nodes.items())
+    near = {i for i in nodes if i < 5 and any(j != i and j < 5 and (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE for j in nodes)}
+    found = join.alike().collect()
+    assert near and {n for r in found for n in r} == {nodes[i][0] for i in near}
+    join.compare(join.alike())
+    assert join.edges.count() >= 1
